@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, url_filter
+from . import language_id, mixing, packing, sharding, simhash, telephony, url_filter, vector_files
 from .common import read
 
 
@@ -24,19 +25,42 @@ def op2_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(read(spark, sf_dir, "documents"))
 
 
+def op3_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(read(spark, sf_dir, "documents"))
+
+
+def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telephony.telephony_columns(read(spark, sf_dir, "documents"))
+
+
 def op7_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_words(read(spark, sf_dir, "documents"))
 
 
+def op8_approximation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_files.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op9_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op10_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizer())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_redirect_equivalence": op1_redirect_equivalence,
-    "op2_bounded_ring": op2_bounded_ring,
-    "op7_low_discrepancy_mix": op7_low_discrepancy_mix,
-    "op10_minimum_bin_slack": op10_minimum_bin_slack,
+    f.__name__: f
+    for f in (
+        op1_redirect_equivalence,
+        op2_bounded_ring,
+        op3_compression_language,
+        op4_telephony_audio,
+        op7_low_discrepancy_mix,
+        op8_approximation_files,
+        op9_simhash_bk_trees,
+        op10_minimum_bin_slack,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
