@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -34,9 +35,9 @@ def spread(key: Column | str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key) if isinstance(key, str) else key), F.lit(buckets))
 
 
-def bucket_count(rows: int, per_bucket: int = 20_000) -> int:
-    """Buckets so that each holds about ``per_bucket`` rows; grows with the data."""
-    return max(1, -(-rows // per_bucket))
+def bucket_count(rows: int) -> int:
+    """Buckets for a two-level running sum: about the root of the rows, so that neither a bucket nor the list of buckets grows as the rows do."""
+    return max(1, math.isqrt(max(rows, 1)))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

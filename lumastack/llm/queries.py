@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, packing, sharding, simhash, telephony, url_filter, vector_files
+from . import debruijn, language_id, mixing, packing, sharding, simhash, suffix_groups, telephony, url_filter, vector_files
 from .common import read
 
 
@@ -33,6 +33,14 @@ def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.telephony_columns(read(spark, sf_dir, "documents"))
 
 
+def op5_debruijn_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.remove_repeated_windows(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op6_lyndon_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_groups.remove_repeated_bytes(read(spark, sf_dir, "documents"))
+
+
 def op7_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_words(read(spark, sf_dir, "documents"))
 
@@ -56,6 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_bounded_ring,
         op3_compression_language,
         op4_telephony_audio,
+        op5_debruijn_compaction,
+        op6_lyndon_suffix_groups,
         op7_low_discrepancy_mix,
         op8_approximation_files,
         op9_simhash_bk_trees,
