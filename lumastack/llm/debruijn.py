@@ -73,17 +73,18 @@ def repeated_spans(packed: DataFrame, shared: DataFrame, k: int = WINDOW, anchor
 
 
 def remove_repeated_windows(
-    docs: DataFrame, k: int = WINDOW, anchor: int = ANCHOR, doc_id: str = "doc_id", text: str = "text", with_text: bool = False
+    docs: DataFrame, k: int = WINDOW, anchor: int = ANCHOR, doc_id: str = "doc_id", text: str = "text", carry: bool = False
 ) -> DataFrame:
     """Remove each word that a window of ``k`` words covers whose words also start in a document with a smaller id.
 
     Returns ``doc_id, n_words, n_removed, n_spans, kept_sha256`` and with
-    ``with_text`` the ``kept`` words joined by one blank. Windows are judged on
+    ``carry`` also ``kept`` (the words left, joined by one blank; untouched texts
+    as they are) and ``row`` (the other columns). Windows are judged on
     the input. Null texts have no words; texts of fewer than k words keep all;
     rows with a null doc_id are neither judged nor judge; repeated rows, which
     share their doc_id, don't remove each other; an empty table gives no rows.
     """
     units = Units("word", k, anchor)
-    packed = packed_documents(docs, doc_id, text)
+    packed = packed_documents(docs, doc_id, text, carry)
     spans = repeated_spans(packed, shared_anchors(docs, units, doc_id, text), k, anchor)
-    return cleaned_documents(packed, spans, units, with_text).withColumnRenamed("units", "n_words")
+    return cleaned_documents(packed, spans, units).withColumnRenamed("units", "n_words")

@@ -128,8 +128,11 @@ class Units:
         return lambda start, units: b" ".join(words[start : start + units])
 
 
-def packed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id long, z binary``: whole texts as zstandard frames (null: null), so that shuffles move less."""
+def packed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
+    """``doc_id long, z binary``: whole texts as zstandard frames (null: null), so that shuffles move less. With ``carry`` also ``row struct`` of the other columns."""
+    rest = F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("row")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("z"), *[rest] * carry)
+    schema = rows.withColumn("z", F.lit(b"")).schema
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -137,9 +140,9 @@ def packed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         press = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             frames = [press(v.as_py().encode()) if v.is_valid else None for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(frames, pa.binary())], ["doc_id", "z"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(frames, pa.binary()), *batch.columns[2:]], ["doc_id", "z", "row"][: 2 + carry])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(pack, "doc_id long, z binary")
+    return rows.mapInArrow(pack, schema)
 
 
 def _groups(docs: DataFrame, units: Units, text: str) -> int:
@@ -327,9 +330,19 @@ def covered(lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(steps)[:n] > 0
 
 
-def cleaned_documents(packed: DataFrame, spans: DataFrame, units: Units, with_text: bool = False) -> DataFrame:
-    """Remove the spans: ``doc_id, units, n_removed, n_spans, kept_sha256`` and with ``with_text`` also ``kept`` (words joined by one blank, or the bytes as text)."""
-    schema = "doc_id long, units long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
+def cleaned_documents(packed: DataFrame, spans: DataFrame, units: Units) -> DataFrame:
+    """Remove the spans: ``doc_id, units, n_removed, n_spans, kept_sha256``.
+
+    If ``packed`` carries rows, also ``kept string`` and ``row``: what is left
+    (words joined by one blank, or bytes without torn characters), or the text
+    as it was if nothing is removed.
+    """
+    carry = "row" in packed.columns
+    joined = packed.join(spans, "doc_id", "left").select("doc_id", "z", "spans", *["row"] * carry)
+    numbers = {c: F.lit(0).cast("long") for c in ("units", "n_removed", "n_spans")}
+    schema = joined.drop("z", "spans", "row").withColumns({**numbers, "kept_sha256": F.lit(""), **({"kept": F.lit("")} if carry else {})}).schema
+    if carry:
+        schema = schema.add(joined.schema["row"])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -339,7 +352,7 @@ def cleaned_documents(packed: DataFrame, spans: DataFrame, units: Units, with_te
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for doc, z, spans_ in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for z, spans_ in zip(batch.column(1), batch.column(2), strict=True):
                 raw = unpack.decompress(z.as_py()) if z.is_valid else b""
                 words = _WORDS.findall(raw) if units.kind == "word" else None
                 n = len(raw if words is None else words)
@@ -352,9 +365,11 @@ def cleaned_documents(packed: DataFrame, spans: DataFrame, units: Units, with_te
                 else:
                     kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]) if gone.any() else b" ".join(words)
                 runs = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + bool(n and gone[0]))
-                rows.append((doc, n, int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), *[kept.decode(errors="ignore")] * with_text))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.string()] * with_text]
-            names = [x.split()[0] for x in schema.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
-
-    return packed.join(spans, "doc_id", "left").select("doc_id", "z", "spans").mapInArrow(clean, schema)
+                text = (kept if gone.any() else raw).decode(errors="ignore") if carry and z.is_valid else None
+                rows.append((n, int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), text))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()][: 4 + carry]
+            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+            names = ["doc_id", "units", "n_removed", "n_spans", "kept_sha256", "kept", "row"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[3:]], names[: 5 + 2 * carry])
+
+    return joined.mapInArrow(clean, schema)

@@ -175,18 +175,19 @@ def segment_origins(pieces: DataFrame, k: int = WINDOW, group_bytes: int = GROUP
 
 
 def remove_repeated_bytes(
-    docs: DataFrame, k: int = WINDOW, anchor: int = ANCHOR, doc_id: str = "doc_id", text: str = "text", with_text: bool = False
+    docs: DataFrame, k: int = WINDOW, anchor: int = ANCHOR, doc_id: str = "doc_id", text: str = "text", carry: bool = False
 ) -> DataFrame:
     """Remove each byte that a string of ``k`` bytes covers that also starts in a document with a smaller id.
 
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and with
-    ``with_text`` the ``kept`` text (torn characters left out). Strings are
+    ``carry`` also ``kept`` (the text left, without torn characters) and ``row``
+    (the other columns). Strings are
     judged on the input and never cross documents. Null texts are empty; texts
     shorter than k keep all; rows with a null doc_id are neither judged nor
     judge; repeated rows don't remove each other; an empty table gives no rows.
     """
     units = Units("byte", k, anchor)
-    packed = packed_documents(docs, doc_id, text)
+    packed = packed_documents(docs, doc_id, text, carry)
     found = materialise(segments(packed, shared_anchors(docs, units, doc_id, text), units), "suffix-segments")
     origins = segment_origins(materialise(distinct_segments(found), "suffix-distinct"), k)
-    return cleaned_documents(packed, removed_spans(found, origins, k), units, with_text).withColumnRenamed("units", "n_bytes")
+    return cleaned_documents(packed, removed_spans(found, origins, k), units).withColumnRenamed("units", "n_bytes")
