@@ -1,0 +1 @@
+"""Frame stacks (position, time, depth, channel, row, column) as distributed tables, on Spark."""
