@@ -1,11 +1,16 @@
-"""Tracks: crop boxes, galleries."""
+"""Tracks: one-to-one links between frames, chains, crop boxes, galleries, scores."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.graph import least_reachable, written
+from .joins import link_candidates
+
 
 def crop_boxes(rows: DataFrame, height: int, width: int) -> DataFrame:
     """Each track's union box, widened to three times its size and clipped; boxes under 4 px are the whole frame."""
@@ -26,3 +31,121 @@ def gallery_layout(boxes: DataFrame, per_page: int) -> DataFrame:
     pads = boxes.agg(F.max(F.col("cy1") - F.col("cy0")).alias("pad_h"), F.max(F.col("cx1") - F.col("cx0")).alias("pad_w"))
     ranked = boxes.select("track_id", n.alias("n"))
     return ranked.crossJoin(F.broadcast(pads)).select("track_id", F.expr(f"cast(n div {per_page} as int)").alias("page"), F.expr(f"cast(n % {per_page} as int)").alias("place"), "pad_h", "pad_w")
+
+
+def assign(cost: np.ndarray) -> list[int]:
+    """Row -> column of least total cost (rows at most columns), by shortest augmenting paths with potentials."""
+    n, m = cost.shape
+    u, v = np.zeros(n + 1), np.zeros(m + 1)
+    owner = np.zeros(m + 1, dtype=int)
+    for i in range(1, n + 1):
+        owner[0], j = i, 0
+        least, came, used = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=int), np.zeros(m + 1, dtype=bool)
+        while owner[j]:
+            used[j] = True
+            reduced = cost[owner[j] - 1] - u[owner[j]] - v[1:]
+            better = ~used[1:] & (reduced < least[1:])
+            least[1:][better], came[1:][better] = reduced[better], j
+            nxt = int(np.argmin(np.where(used[1:], np.inf, least[1:]))) + 1
+            delta = least[nxt]
+            u[owner[used]] += delta
+            v[used] -= delta
+            least[~used] -= delta
+            j = nxt
+        while j:
+            owner[j] = owner[came[j]]
+            j = came[j]
+    out = [-1] * n
+    for j in range(1, m + 1):
+        if owner[j]:
+            out[owner[j] - 1] = j - 1
+    return out
+
+
+PAIR = ["source_file", "m", "c", "frame_a", "frame_b"]
+
+
+def one_to_one(candidates: DataFrame, distance: float) -> DataFrame:
+    """Of the candidate links of each frame pair the one-to-one choice of least total cost; an object left out costs distance + 1.
+
+    Links whose ends have no other candidate stand. The others fall into
+    components, as only candidates compete; each is solved by itself, which is
+    exact and keeps a task's matrix to one cluster of crowded objects.
+    """
+    a, b = Window.partitionBy(*PAIR, "label_a"), Window.partitionBy(*PAIR, "label_b")
+    marked = candidates.withColumn("lone", (F.count("*").over(a) == 1) & (F.count("*").over(b) == 1))
+    alone, crowded = marked.where("lone").drop("lone"), written(marked.where("NOT lone").drop("lone"), "crowded-links")
+    if not crowded.limit(1).count():
+        return alone
+    node = lambda side: F.struct(*PAIR, F.lit(side).alias("side"), F.col(f"label_{side}").alias("label"))
+    parts = least_reachable(crowded.select(node("a").alias("a"), node("b").alias("b"))).where("node.side = 'a'")
+    keyed = crowded.withColumn("node", node("a")).join(parts, "node").select(*candidates.columns, F.col("label.side").alias("part_side"), F.col("label.label").alias("part"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, cols = sorted(pdf.label_a.unique()), sorted(pdf.label_b.unique())
+        at_r, at_c = {k: i for i, k in enumerate(rows)}, {k: i for i, k in enumerate(cols)}
+        cost = np.full((len(rows), len(cols)), distance + 1.0)
+        for r, c, d in zip(pdf.label_a, pdf.label_b, pdf.distance):
+            cost[at_r[r], at_c[c]] = d
+        flip = len(rows) > len(cols)
+        chosen = {(j, i) if flip else (i, j) for i, j in enumerate(assign(cost.T if flip else cost))}
+        keep = [(at_r[r], at_c[c]) in chosen for r, c in zip(pdf.label_a, pdf.label_b)]
+        return pdf[keep][candidates.columns]
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in candidates.schema)
+    return alone.unionByName(keyed.groupBy(*PAIR, "part_side", "part").applyInPandas(solve, schema))
+
+
+def link_objects(rows: DataFrame, max_displacement: float, min_length: int = 2, min_circularity: float | None = None, max_eccentricity: float | None = None) -> DataFrame:
+    """Track objects over frames: all rows with ``track_id, track_length``.
+
+    ``rows``: ``source_file, m, c, frame, label_id, cy, cx, y0, x0, y1, x1`` and
+    optionally ``circularity, eccentricity``. Nulls pass the filters. Objects of
+    consecutive present frames link one to one if near enough and their boxes
+    (at least 1 px) overlap. Every frame pair is independent; chains of links
+    are tracks. Ids count from 1 over (m, c, first frame, label); tracks shorter
+    than ``min_length`` lose their id but keep their length; objects of a group
+    with a single frame, and filtered ones, have neither.
+    """
+    ok = F.lit(True)
+    if min_circularity is not None:
+        ok = ok & (F.col("circularity").isNull() | (F.col("circularity") >= min_circularity))
+    if max_eccentricity is not None:
+        ok = ok & (F.col("eccentricity").isNull() | (F.col("eccentricity") <= max_eccentricity))
+    group = ["source_file", "m", "c"]
+    fit = rows.where(ok)
+    frames = fit.groupBy(*group).agg(F.count_distinct("frame").alias("n_")).where("n_ > 1").select(*group)
+    fit = fit.join(frames, group, "left_semi").withColumns({"y1": F.greatest("y1", F.col("y0") + 1), "x1": F.greatest("x1", F.col("x0") + 1)})
+    links = one_to_one(link_candidates(fit, max_displacement), max_displacement)
+    node = lambda f, k: F.struct("m", "c", F.col(f).alias("frame"), F.col(k).alias("label_id"), "source_file")
+    chains = least_reachable(links.select(node("frame_a", "label_a").alias("a"), node("frame_b", "label_b").alias("b")))
+    own = written(fit.select(*group, "frame", "label_id", node("frame", "label_id").alias("node")).join(chains, "node", "left").withColumn("label", F.coalesce("label", "node")), "chains")
+    tracks = own.groupBy("label").agg(F.count("*").alias("track_length"))
+    # ids follow the order of first objects; the running number of a global sort comes from ranges
+    ids = tracks.withColumn("nth", F.row_number().over(Window.partitionBy("label.source_file").orderBy("label.m", "label.c", "label.frame", "label.label_id")))
+    told = own.join(ids, "label").select(*group, "frame", "label_id", F.when(F.col("track_length") >= min_length, F.col("nth")).alias("track_id"), "track_length")
+    return rows.join(told, [*group, "frame", "label_id"], "left")
+
+
+def track_queue(tracked: DataFrame) -> DataFrame:
+    """Tracks by first frame, then id."""
+    return tracked.where("track_id IS NOT NULL").groupBy("track_id").agg(F.min("frame").alias("first_frame"), F.count("*").alias("n")).orderBy("first_frame", "track_id")
+
+
+def gallery(rgb: DataFrame, boxes: DataFrame, members: DataFrame) -> DataFrame:
+    """Crops of each track in its frames: ``track_id, t, y, x, r, g, b`` in crop coordinates. Boxes are few and broadcast per track."""
+    near = members.join(boxes, "track_id").select("t", "track_id", "cy0", "cx0", "cy1", "cx1")
+    hit = rgb.join(near, "t").where("y >= cy0 AND y < cy1 AND x >= cx0 AND x < cx1")
+    return hit.select("track_id", "t", (F.col("y") - F.col("cy0")).alias("y"), (F.col("x") - F.col("cx0")).alias("x"), "r", "g", "b")
+
+
+def detection_score(found: DataFrame, truth: DataFrame, gate: float) -> DataFrame:
+    """One-to-one matches within ``gate`` of ``frame, label_id, cy, cx``: ``tp, fp, fn, precision, recall``."""
+    box = {k: v for k, v in (("y0", F.col("cy") - gate), ("x0", F.col("cx") - gate), ("y1", F.col("cy") + gate), ("x1", F.col("cx") + gate))}
+    side = lambda d, f: d.select(F.lit("s").alias("source_file"), F.col("frame").alias("m"), F.lit("c").alias("c"), F.lit(f).alias("frame"), "label_id", "cy", "cx").withColumns(box)
+    links = one_to_one(link_candidates(side(truth, 0).unionByName(side(found, 1)), gate), gate)
+    sums = links.agg(F.count("*").alias("tp")).crossJoin(found.agg(F.count("*").alias("nf"))).crossJoin(truth.agg(F.count("*").alias("nt")))
+    return sums.select(
+        "tp", (F.col("nf") - F.col("tp")).alias("fp"), (F.col("nt") - F.col("tp")).alias("fn"),
+        F.when(F.col("nf") > 0, F.col("tp") / F.col("nf")).otherwise(0.0).alias("precision"), F.when(F.col("nt") > 0, F.col("tp") / F.col("nt")).otherwise(0.0).alias("recall"),
+    )
