@@ -17,43 +17,95 @@ from .common import bucket_count, materialise, spread
 CAPACITY = 2048
 END_ID = 1
 TOKENIZER = "byte_bpe_50k.json"
-#: Distinct units (a blank and what follows it) whose ids a task keeps.
-KEPT_UNITS = 400_000
+#: Distinct units (a blank and what follows it) whose ids a Python worker keeps.
+KEPT_UNITS = 1_000_000
 
 #: A blank between blanks (or at the end): only there a cut before a single blank could part a token.
 _UNSAFE = re.compile(r"\s \s|\s $")
+_CLOSING = ".,;:!?"
 
 
 class UnitEncoder:
     """Token ids of texts as little-endian 32-bit bytes, by the given tokenizer.
 
     The byte-level pre-tokenizer never joins what stands before a blank with
-    the blank, if not both sides are blank. Texts are cut at such blanks, and
-    each distinct unit is encoded once; other texts are encoded whole.
+    the blank, if not both sides are blank; nor a letter with a line feed or a
+    closing mark after it. Texts are cut there, and each distinct unit is
+    encoded once; other texts are encoded whole. New units go to the tokenizer
+    as lines of one text, whose ids are dealt out again by their bytes.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        #: Bytes of each id: the vocabulary writes every byte as one character.
+        self.width = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)
         self.kept: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    @staticmethod
+    def _parts(unit: str) -> list[str]:
+        """The unit cut at single line feeds within it and before one closing mark."""
+        lines = unit.split("\n") if "\n" in unit else [unit]
+        if len(lines) > 1 and not all(x and not x[0].isspace() and not x[-1].isspace() for x in [lines[0].lstrip(" "), *lines[1:]]):
+            return [unit]
+        parts = []
+        for i, line in enumerate(lines):
+            if i:
+                parts.append("\n")
+            if len(line) > 1 and line[-1] in _CLOSING and line[-2].isalpha():
+                parts += [line[:-1], line[-1]]
+            elif line:
+                parts.append(line)
+        return parts
+
+    def _learn(self, units: set[str]) -> None:
+        cut = {u: self._parts(u) for u in units}
+        new = {p for parts in cut.values() for p in parts if p not in self.kept}
+        lines = [p for p in new if not p[-1].isspace() and (not p[0].isspace() or p[0] == " " and not p[1].isspace())]
+        for p in new.difference(lines):
+            self.kept[p] = self._ids(p).tobytes()
+        if lines:
+            ids = self._ids("\n".join(lines))
+            raw, reached = ids.tobytes(), np.cumsum(self.width[ids])
+            ends = np.cumsum([len(p.encode()) + 1 for p in lines]) - 1
+            stops = (np.searchsorted(reached, ends) + 1).tolist()
+            starts = [0, *[x + 1 for x in stops[:-1]]]
+            for p, lo, hi in zip(lines, starts, stops, strict=True):
+                self.kept[p] = raw[4 * lo : 4 * hi]
+        for unit, parts in cut.items():
+            if len(parts) != 1:
+                self.kept[unit] = b"".join([self.kept[p] for p in parts])
 
     def __call__(self, text: str) -> bytes:
-        if _UNSAFE.search(text) or "<|" in text:
-            return self._encode([text])[0]
-        first, *rest = text.split(" ")
-        units = [first, *[" " + x for x in rest]]
-        kept = self.kept
-        new = [u for u in dict.fromkeys(units) if u not in kept]
-        if new:
-            if len(kept) + len(new) > KEPT_UNITS:
-                kept.clear()
-                new = list(dict.fromkeys(units))
-            kept.update(zip(new, self._encode(new), strict=True))
-        return b"".join([kept[u] for u in units])
+        if "<|" in text or "\0" in text or _UNSAFE.search(text):
+            return self._ids(text).tobytes()
+        units = text.replace(" ", "\0 ").split("\0")
+        found = list(map(self.kept.get, units))
+        if None in found:
+            if len(self.kept) > KEPT_UNITS:
+                self.kept.clear()
+                self._learn(set(units))
+            else:
+                self._learn({u for u, f in zip(units, found, strict=True) if f is None})
+            found = list(map(self.kept.get, units))
+        return b"".join(found)
+
+
+_ENCODERS: dict[str, UnitEncoder] = {}
+
+
+def encoder(path: str) -> UnitEncoder:
+    """The Python worker's encoder, kept from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = UnitEncoder(path)
+    return _ENCODERS[path]
 
 
 def token_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -63,7 +115,7 @@ def token_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, end = UnitEncoder(path), np.asarray([end_id], dtype="<u4").tobytes()
+        encode, end = encoder(path), np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
             for doc, row, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
