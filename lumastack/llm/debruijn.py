@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import discard, materialise
 from .repeats import Units, cleaned_documents, distinct_segments, packed_documents, removed_spans, segments, shared_anchors
 
 #: Words of a window, and of the m-gram that anchors it.
 WINDOW = 13
-ANCHOR = 4
+ANCHOR = 7
 
 
 def kmer_edges(pieces: DataFrame, k: int = WINDOW) -> DataFrame:
@@ -24,19 +24,28 @@ def kmer_edges(pieces: DataFrame, k: int = WINDOW) -> DataFrame:
     64-bit hashes); the edge itself is named by 128 bits of its words.
     """
 
+    kinds = (pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+    names = ["skey", "at", "edge", "tail", "head", "doc", "pos", "last"]
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
         signed = lambda x: x - (1 << 64) if x >> 63 else x
+        rows: list[tuple] = []
         for batch in batches:
-            rows: list[tuple] = []
             for key, doc, start, last, content in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
                 words = content.split(b" ")
-                nodes = [signed(xxh3_64_intdigest(b" ".join(words[i : i + k - 1]))) for i in range(len(words) - k + 2)]
-                rows += [(key, i, xxh3_128_digest(b" ".join(words[i : i + k])), nodes[i], nodes[i + 1], doc, start + i, last) for i in range(len(words) - k + 1)]
-            kinds = (pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            names = ["skey", "at", "edge", "tail", "head", "doc", "pos", "last"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+                head = signed(xxh3_64_intdigest(b" ".join(words[: k - 1])))
+                for i in range(len(words) - k + 1):
+                    tail, head = head, signed(xxh3_64_intdigest(b" ".join(words[i + 1 : i + k])))
+                    rows.append((key, i, xxh3_128_digest(b" ".join(words[i : i + k])), tail, head, doc, start + i, last))
+                    if len(rows) >= 20_000:
+                        yield table(rows)
+                        rows = []
+        yield table(rows)
 
     flat = pieces.select("skey", "origin.doc_id", "origin.start", "last", "content")
     out = flat.mapInArrow(cut, "skey binary, at int, edge binary, tail long, head long, doc long, pos int, last long")
@@ -44,7 +53,7 @@ def kmer_edges(pieces: DataFrame, k: int = WINDOW) -> DataFrame:
 
 
 def compact_paths(edges: DataFrame) -> DataFrame:
-    """Compact repeated nonbranching paths: ``skey, runs array<struct<at, n, first, source>>``.
+    """Compact repeated nonbranching paths: ``skey, at, n, first, source``.
 
     Edges of two documents at least stay. A node with one such edge in and one
     out doesn't branch; a segment's consecutive edges through such nodes make
@@ -52,7 +61,7 @@ def compact_paths(edges: DataFrame) -> DataFrame:
     source document. ``first`` is that document, ``source`` the word there.
     """
     kept = edges.groupBy("edge").agg(F.min("origin").alias("source"), F.max("last").alias("last"), F.first("tail").alias("tail"), F.first("head").alias("head"))
-    kept = kept.where("last > source.doc").select("edge", "tail", "head", "source")
+    kept = materialise(kept.where("last > source.doc").select("edge", "tail", "head", "source"), "debruijn-kept")
     ends = kept.select(F.explode(F.array(F.struct(F.col("tail").alias("node"), F.lit(1).alias("out")), F.struct(F.col("head").alias("node"), F.lit(0).alias("out")))).alias("e"))
     nodes = ends.groupBy("e.node").agg(F.sum("e.out").alias("out"), F.count_if(F.col("e.out") == 0).alias("into"))
     through = nodes.where("out = 1 AND into = 1").select(F.col("node").alias("tail"), F.lit(True).alias("straight"))
@@ -61,15 +70,29 @@ def compact_paths(edges: DataFrame) -> DataFrame:
     line = Window.partitionBy("skey").orderBy("at")
     goes_on = (F.lag("at").over(line) == F.col("at") - 1) & (F.lag("doc").over(line) == F.col("doc")) & (F.lag("pos").over(line) == F.col("pos") - 1) & F.col("straight")
     rows = rows.withColumn("begins", F.when(goes_on, 0).otherwise(1)).withColumn("path", F.sum("begins").over(line))
-    paths = rows.groupBy("skey", "path").agg(F.min("at").alias("at"), F.count("*").cast("int").alias("n"), F.min("doc").alias("first"), F.min("pos").alias("source"))
-    return paths.groupBy("skey").agg(F.collect_list(F.struct("at", "n", "first", "source")).alias("runs"))
+    return rows.groupBy("skey", "path").agg(F.min("at").alias("at"), F.count("*").cast("int").alias("n"), F.min("doc").alias("first"), F.min("pos").alias("source")).drop("path")
 
 
-def repeated_spans(packed: DataFrame, shared: DataFrame, k: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """``doc_id, spans``: the word spans of each document that windows of smaller documents cover."""
-    found = materialise(segments(packed, shared, Units("word", k, anchor)), "debruijn-segments")
-    edges = materialise(kmer_edges(distinct_segments(found), k), "debruijn-edges")
-    return removed_spans(found, compact_paths(edges), k)
+def repeated_spans(packed: DataFrame, shared: DataFrame, units: Units) -> DataFrame:
+    """``doc_id, spans``: the word spans of each document that windows of smaller documents cover.
+
+    Segments are runs of k-mers with one anchor. If all documents agree on the
+    words around an anchor, they are one path as they stand. Where they differ,
+    the graph branches: those segments' k-mers become edges and are compacted.
+    Each step is written to the shared folder and then dropped.
+    """
+    found = materialise(segments(packed, shared, units), "debruijn-segments")
+    pieces = materialise(distinct_segments(found), "debruijn-pieces")
+    branching = pieces.groupBy("anchor").agg(F.count("*").alias("ways")).where("ways > 1")
+    edges = materialise(kmer_edges(pieces.join(branching, "anchor", "left_semi"), units.k), "debruijn-edges")
+    alone = pieces.where("last > origin.doc_id").join(branching, "anchor", "left_anti")
+    whole = alone.select("skey", F.lit(0).alias("at"), F.col("windows").alias("n"), F.col("origin.doc_id").alias("first"), F.col("origin.start").alias("source"))
+    paths = whole.unionByName(compact_paths(edges))
+    origins = materialise(paths.groupBy("skey").agg(F.collect_list(F.struct("at", "n", "first", "source")).alias("runs")), "debruijn-paths")
+    discard(pieces, edges)
+    spans = materialise(removed_spans(found, origins, units.k), "debruijn-spans")
+    discard(found, origins)
+    return spans
 
 
 def remove_repeated_windows(
@@ -86,5 +109,5 @@ def remove_repeated_windows(
     """
     units = Units("word", k, anchor)
     packed = packed_documents(docs, doc_id, text, carry)
-    spans = repeated_spans(packed, shared_anchors(docs, units, doc_id, text), k, anchor)
+    spans = repeated_spans(packed, shared_anchors(docs, units, doc_id, text), units)
     return cleaned_documents(packed, spans, units).withColumnRenamed("units", "n_words")

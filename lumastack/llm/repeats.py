@@ -8,8 +8,8 @@ the exact work is done on few of them:
    Equal windows have equal anchors, so a window whose anchor occurs in one
    document only can't be repeated. ``shared_anchors`` finds per document the
    anchors that other documents have too; it shuffles packed anchors, no text.
-2. ``segments`` cuts documents into runs of windows with the same shared
-   anchor: ``skey`` (content and anchor), ``doc_id``, ``start`` and ``windows``.
+2. ``segments`` cuts documents into runs of windows with shared anchors, named
+   by their content: ``skey``, ``doc_id``, ``start`` and ``windows``.
 3. The operator decides for each distinct segment which windows start in which
    smallest document (de Bruijn graph, suffix arrays).
 4. ``removed_spans`` joins that back to the occurrences.
@@ -99,9 +99,11 @@ class Units:
     kind: str
     k: int
     m: int
+    #: A run of candidate windows is cut at anchors whose hash is a multiple of this, so about every so many anchors; 1: at each.
+    cut: int = 1
 
-    def window_anchors(self, raw: bytes) -> np.ndarray:
-        """The anchor of each window of a document, in order (empty if it is shorter than a window)."""
+    def grams(self, raw: bytes) -> np.ndarray:
+        """Hash of each m-gram of a document, in order (empty if it is shorter than a window)."""
         if self.kind == "word":
             data, starts, ends = words_of(raw)
             n = len(starts)
@@ -111,14 +113,16 @@ class Units:
             grams = words[: n - self.m + 1].copy()
             for i in range(1, self.m):
                 grams = grams * np.uint64(_BASE) + words[i : n - self.m + 1 + i]
-            grams = mix64(grams)
-        else:
-            n = len(raw)
-            if n < self.k:
-                return np.empty(0, dtype=np.uint64)
-            at = np.arange(n - self.m + 1)
-            grams = run_hashes(np.frombuffer(raw, dtype=np.uint8), at, at + self.m)
-        return sliding_min(grams, self.k - self.m + 1)
+            return mix64(grams)
+        if len(raw) < self.k:
+            return np.empty(0, dtype=np.uint64)
+        at = np.arange(len(raw) - self.m + 1)
+        return run_hashes(np.frombuffer(raw, dtype=np.uint8), at, at + self.m)
+
+    def window_anchors(self, raw: bytes) -> np.ndarray:
+        """The anchor of each window of a document, in order: the least hash among its m-grams."""
+        grams = self.grams(raw)
+        return sliding_min(grams, self.k - self.m + 1) if len(grams) else grams
 
     def content(self, raw: bytes) -> Callable[[int, int], bytes]:
         """How to get the content of ``units`` units from unit ``start``: words joined by a blank, or bytes."""
@@ -240,14 +244,20 @@ def shared_anchors(docs: DataFrame, units: Units, doc_id: str = "doc_id", text:
 
 
 SEGMENTS = "skey binary, anchor long, doc_id long, start int, windows int, content binary"
+def anchor_runs(anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) windows of the runs with one anchor."""
+    first = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]])) if len(anchors) else np.empty(0, dtype=np.int64)
+    return first, np.append(first[1:], len(anchors))
 
 
 def segments(packed: DataFrame, shared: DataFrame, units: Units) -> DataFrame:
-    """Runs of windows with the same shared anchor: ``skey, anchor, doc_id, start, windows, content``.
+    """Runs of windows with shared anchors: ``skey, anchor, doc_id, start, windows, content``; ``anchor`` is the first window's.
 
-    ``start`` is the first window's first unit. ``skey`` names the content (128
-    bits). Of equal segments in one batch of a task only the first brings its
-    content; the others' is null.
+    A run ends where a window's anchor is not shared, and is cut at anchors that
+    their own hash picks, so that a passage gives the same segments wherever it
+    stands. ``start`` is the first window's first unit; ``skey`` names the
+    content (128 bits). Of equal segments in one batch of a task only the first
+    brings its content; the others' is null.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,21 +273,21 @@ def segments(packed: DataFrame, shared: DataFrame, units: Units) -> DataFrame:
                     continue
                 raw = unpack.decompress(z.as_py())
                 anchors = units.window_anchors(raw)
-                if not len(anchors):
-                    continue
-                first = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
-                ends = np.append(first[1:], len(anchors))
-                low = (anchors[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                keep = np.flatnonzero(np.isin(low, marks.values.to_numpy()))
-                if not len(keep):
+                first, end = anchor_runs(anchors)
+                kept = np.flatnonzero(np.isin((anchors[first] & np.uint64(0xFFFFFFFF)).astype(np.int64), marks.values.to_numpy()))
+                if not len(kept):
                     continue
+                fresh = np.concatenate([[True], kept[1:] != kept[:-1] + 1]) | ((anchors[first[kept]] >> np.uint64(40)) % np.uint64(units.cut) == 0)
+                heads = np.flatnonzero(fresh)
+                tails = np.append(heads[1:], len(kept)) - 1
                 content = units.content(raw)
-                for a, lo, hi in zip(anchors[first[keep]].view(np.int64).tolist(), first[keep].tolist(), ends[keep].tolist(), strict=True):
+                marked = anchors[first[kept[heads]]].view(np.int64).tolist()
+                for anchor, lo, hi in zip(marked, first[kept[heads]].tolist(), end[kept[tails]].tolist(), strict=True):
                     text = content(lo, hi - lo + units.k - 1)
                     key = xxh3_128_digest(text)
-                    rows.append((key, a, doc, lo, hi - lo, None if key in seen else text))
+                    rows.append((key, anchor, doc, lo, hi - lo, None if key in seen else text))
                     seen.add(key)
-                    if len(rows) >= 50_000:
+                    if len(rows) >= 20_000:
                         yield _batch(rows)
                         rows = []
             yield _batch(rows)
