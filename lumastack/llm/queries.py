@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from . import debruijn, language_id, mixing, packing, sharding, simhash, suffix_groups, telephony, url_filter, vector_files
 from .common import read
+from .sql import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES", "public_tokenizer"]
 
 
 def public_tokenizer(name: str = packing.TOKENIZER) -> str:
@@ -72,5 +75,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_minimum_bin_slack,
     )
 }
-
-ORACLE_SQL: dict[str, str] = {}
