@@ -136,7 +136,7 @@ def packed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """``doc_id long, z binary``: whole texts as zstandard frames (null: null), so that shuffles move less. With ``carry`` also ``row struct`` of the other columns."""
     rest = F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("row")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("z"), *[rest] * carry)
-    schema = rows.withColumn("z", F.lit(b"")).schema
+    schema = rows.withColumn("z", F.lit(None).cast("binary")).schema
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -350,7 +350,7 @@ def cleaned_documents(packed: DataFrame, spans: DataFrame, units: Units) -> Data
     carry = "row" in packed.columns
     joined = packed.join(spans, "doc_id", "left").select("doc_id", "z", "spans", *["row"] * carry)
     numbers = {c: F.lit(0).cast("long") for c in ("units", "n_removed", "n_spans")}
-    schema = joined.drop("z", "spans", "row").withColumns({**numbers, "kept_sha256": F.lit(""), **({"kept": F.lit("")} if carry else {})}).schema
+    schema = joined.drop("z", "spans", "row").withColumns({**numbers, "kept_sha256": F.lit(""), **({"kept": F.lit(None).cast("string")} if carry else {})}).schema
     if carry:
         schema = schema.add(joined.schema["row"])
 
