@@ -159,7 +159,7 @@ def k13(spark, sf):
 
 @query("k14_wavelet_denoise")
 def k14(spark, sf):
-    return neighbour.haar_denoise(frames(spark, sf).where("y < 48"), 2)
+    return neighbour.haar_denoise(frames(spark, sf), 1)
 
 
 BOX5 = [1 / 5] * 5
@@ -204,7 +204,7 @@ def k21(spark, sf):
 
 @query("k22_h_maxima")
 def k22(spark, sf):
-    return label.h_maxima(frames(spark, sf).where("t < 4"), 300.0)
+    return label.h_maxima(frames(spark, sf), 300.0, tile=32)
 
 
 @query("k23_intensity_gate", PX + ", q AS (SELECT t, quantile_disc(v, 0.9) g FROM px GROUP BY 1) SELECT t, y, x, v FROM px JOIN q USING (t) WHERE v >= g AND v >= 700")
@@ -284,9 +284,9 @@ def m7(spark, sf):
 
 @query("m8_watershed")
 def m8(spark, sf):
-    px = frames(spark, sf).where("t < 4")
+    px = frames(spark, sf)
     seeds = label.components(px.where("v >= 850"))
-    return label.watershed(px, seeds, px.where("v >= 700"))
+    return label.watershed(px, seeds, px.where("v >= 700"), tile=32)
 
 
 @query("m9_relabel", LAB + " SELECT t, y, x, CAST(dense_rank() OVER (PARTITION BY t ORDER BY label_id * 7) AS INT) label_id FROM lab")

@@ -162,46 +162,105 @@ def grow(mask: DataFrame, r: int, height: int, width: int) -> DataFrame:
     return components(dilate(mask, r, height, width))
 
 
-def watershed(pixels: DataFrame, seeds: DataFrame, mask: DataFrame, bright: bool = True) -> DataFrame:
-    """Labels of the seeds flooded over the mask: each pixel joins the seed reached over the lowest pass, ties to the smaller label.
+def _settle_tiles(state: DataFrame, values: Sequence[str], settle, tile: int) -> DataFrame:
+    """Repeat a local fixpoint over tiles until no pixel changes; ``state`` has ``y, x`` and the values.
 
-    A round takes the best (pass height, label) among the 4-neighbours, where
-    the height is the larger of theirs and the pixel's own value; it ends when
-    nothing changes. Bright objects flood downwards from their peaks.
+    Each round a tile sees its pixels and a rim of one (a task holds one tile),
+    settles as far as it can, and gives out its own pixels; what crosses a
+    border goes on in the next round. Rounds are thus counted in tiles, not in
+    pixels. ``settle`` takes and gives arrays by value, NaN where there is none.
     """
-    cost = -F.col("v") if bright else F.col("v")
-    ground = written(pixels.join(mask.select(*AT), AT, "left_semi").select(*AT, cost.alias("g")), "flood-ground")
-    state = written(ground.join(seeds.select(*AT, "label_id"), AT).select(*AT, F.struct(F.col("g").alias("h"), F.col("label_id").alias("l")).alias("s")), "flood")
-    near = [(-1, 0), (1, 0), (0, -1), (0, 1)]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.select(*AT).schema) + "".join(f", {v} double" for v in values) + ", moved boolean"
+    own = lambda k: F.floor(F.col(k) / tile).cast("int")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ty, tx = int(pdf.ty.iloc[0]), int(pdf.tx.iloc[0])
+        y, x = pdf.y.to_numpy() - ty * tile + 1, pdf.x.to_numpy() - tx * tile + 1
+        arrays = {}
+        for v in values:
+            arrays[v] = np.full((tile + 2, tile + 2), np.nan)
+            arrays[v][y, x] = pdf[v].to_numpy(dtype=float, na_value=np.nan)
+        before = {v: a.copy() for v, a in arrays.items()}
+        after = settle(arrays)
+        core = (y > 0) & (y <= tile) & (x > 0) & (x <= tile)
+        out = pdf.loc[core, AT].copy()
+        y, x = y[core], x[core]
+        moved = np.zeros(len(out), dtype=bool)
+        for v in values:
+            out[v] = after[v][y, x]
+            moved |= ~((after[v][y, x] == before[v][y, x]) | (np.isnan(after[v][y, x]) & np.isnan(before[v][y, x])))
+        out["moved"] = moved
+        return out
+
     while True:
-        out = state.select(*AT, "s", _offsets(near)).select(*FRAME, (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"), F.col("s").alias("n"))
-        best = out.groupBy(*AT).agg(F.min("n").alias("n")).join(ground, AT).select(*AT, F.struct(F.greatest(F.col("n.h"), F.col("g")).alias("h"), F.col("n.l").alias("l")).alias("n"))
-        both = state.join(best, AT, "full").select(*AT, F.least("s", "n").alias("s"), (F.col("s").isNull() | (F.col("n") < F.col("s"))).alias("moved"))
-        both = written(both, "flood")
+        shifts = F.array(F.lit(-1), F.lit(0), F.lit(1))
+        dealt = state.select(*AT, *values, F.explode(F.array_distinct(F.transform(shifts, lambda d: F.floor((F.col("y") + d) / tile).cast("int")))).alias("ty"))
+        dealt = dealt.select("*", F.explode(F.array_distinct(F.transform(shifts, lambda d: F.floor((F.col("x") + d) / tile).cast("int")))).alias("tx"))
+        home = state.select(*FRAME, own("y").alias("ty"), own("x").alias("tx")).distinct()
+        both = written(dealt.join(home, [*FRAME, "ty", "tx"], "left_semi").groupBy(*FRAME, "ty", "tx").applyInPandas(run, schema), "settle")
         state = both.drop("moved")
         if not both.where("moved").limit(1).count():
-            return state.select(*AT, F.col("s.l").alias("label_id"))
+            return state
 
 
-def h_maxima(pixels: DataFrame, h: float, bright: bool = True) -> DataFrame:
-    """Seeds: pixels that rise at least h above the pass to anything higher: v above its reconstruction from v - h.
+def _shifted(a: np.ndarray, dy: int, dx: int) -> np.ndarray:
+    out = np.full_like(a, np.nan)
+    h, w = a.shape
+    out[max(dy, 0) : h + min(dy, 0), max(dx, 0) : w + min(dx, 0)] = a[max(-dy, 0) : h - max(dy, 0), max(-dx, 0) : w - max(dx, 0)]
+    return out
 
-    The reconstruction rises by the least of a neighbour's level and the
-    pixel's own value until nothing changes (8 neighbours).
+
+def watershed(pixels: DataFrame, seeds: DataFrame, mask: DataFrame, bright: bool = True, tile: int = 256) -> DataFrame:
+    """Labels of the seeds flooded over the mask: each pixel joins the seed reached over the lowest pass, ties to the smaller label.
+
+    The best (pass height, label) spreads among 4-neighbours, where the height
+    is the larger of the neighbour's and the pixel's own value, until nothing
+    changes. Bright objects flood downwards from their peaks.
+    """
+    cost = (-F.col("v") if bright else F.col("v")).cast("double")
+    ground = pixels.join(mask.select(*AT), AT, "left_semi").select(*AT, cost.alias("g"))
+    marks = seeds.select(*AT, F.col("label_id").cast("double").alias("l"))
+    state = written(ground.join(marks, AT, "left").select(*AT, "g", F.when(F.col("l").isNotNull(), F.col("g")).alias("h"), "l"), "flood")
+
+    def settle(a: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        g, h, lab = a["g"], a["h"].copy(), a["l"].copy()
+        while True:
+            moved = False
+            for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1)):
+                nh, nl = np.maximum(_shifted(h, dy, dx), g), _shifted(lab, dy, dx)
+                better = ~np.isnan(nh) & ~np.isnan(nl) & (np.isnan(h) | (nh < h) | ((nh == h) & (nl < lab)))
+                if better.any():
+                    h[better], lab[better], moved = nh[better], nl[better], True
+            if not moved:
+                return {"g": g, "h": h, "l": lab}
+
+    flooded = _settle_tiles(state, ["g", "h", "l"], settle, tile)
+    return flooded.where(~F.isnan("l") & F.col("l").isNotNull()).select(*AT, F.col("l").cast("int").alias("label_id"))
+
+
+def h_maxima(pixels: DataFrame, h: float, bright: bool = True, tile: int = 256) -> DataFrame:
+    """Seeds: pixels that rise at least h above the pass to anything higher: v at least h above its reconstruction from v - h.
+
+    The reconstruction rises to the least of a neighbour's level and the pixel's
+    own value (8 neighbours) until nothing changes.
     """
     value = F.col("v").cast("double") * (1 if bright else -1)
-    ground = written(pixels.select(*AT, value.alias("g")), "rise-ground")
-    state = written(ground.select(*AT, (F.col("g") - h).alias("r")), "rise")
-    near = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
-    while True:
-        out = state.select(*AT, "r", _offsets(near)).select(*FRAME, (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"), F.col("r").alias("n"))
-        top = out.groupBy(*AT).agg(F.max("n").alias("n"))
-        both = ground.join(state, AT).join(top, AT, "left").select(*AT, F.greatest("r", F.least("g", F.coalesce("n", "r"))).alias("r"), F.col("r").alias("was"))
-        both = written(both, "rise")
-        state = both.drop("was")
-        if not both.where("r > was").limit(1).count():
-            break
-    return ground.join(state, AT).where(F.col("g") - F.col("r") >= h - 1e-9).select(*AT)
+    state = written(pixels.select(*AT, value.alias("g"), (value - h).alias("r")), "rise")
+
+    def settle(a: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        g, r = a["g"], a["r"].copy()
+        while True:
+            top = r
+            for dy in (-1, 0, 1):
+                for dx in (-1, 0, 1):
+                    top = np.fmax(top, _shifted(r, dy, dx))
+            new = np.where(np.isnan(g), np.nan, np.minimum(g, top))
+            if np.array_equal(new, r, equal_nan=True):
+                return {"g": g, "r": r}
+            r = new
+
+    risen = _settle_tiles(state, ["g", "r"], settle, tile)
+    return risen.where(F.col("g") - F.col("r") >= h - 1e-9).select(*AT)
 
 
 #: Least circularity of the symmetry settings.

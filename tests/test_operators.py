@@ -120,17 +120,19 @@ def test_opening_drops_points(spark):
     assert (3, 3) not in kept and (10, 10) in kept
 
 
-def test_watershed_splits_two_peaks(spark):
+@pytest.mark.parametrize("tile", [2, 256])
+def test_watershed_splits_two_peaks(spark, tile):
     v = np.array([[1, 5, 9, 5, 2, 6, 8, 6, 1]])
     df = stack(spark, v)
     seeds = df.where("v >= 8").withColumn("label_id", F.when(F.col("x") < 4, 1).otherwise(2))
-    got = plane(label.watershed(df, seeds, df), v.shape, "label_id")[0]
+    got = plane(label.watershed(df, seeds, df, tile=tile), v.shape, "label_id")[0]
     assert got[:4].tolist() == [1, 1, 1, 1] and got[5:].tolist() == [2, 2, 2, 2]
 
 
-def test_h_maxima(spark):
+@pytest.mark.parametrize("tile", [2, 256])
+def test_h_maxima(spark, tile):
     df = stack(spark, [[0, 3, 0, 9, 0]])
-    assert pixels(label.h_maxima(df, 5)) == {(0, 3)}
+    assert pixels(label.h_maxima(df, 5, tile=tile)) == {(0, 3)}
 
 
 def test_filters_equal_numpy(spark):
