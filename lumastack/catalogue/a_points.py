@@ -199,10 +199,10 @@ def p18(spark, sf):
     return point.overlay(point.apply_lut(px, 0, 4095), labels.join(track, ["c", "t", "label_id"]), 0.55, (255, 220, 0))
 
 
-@query("p19_unit_conversion", "SELECT s_suppkey, s_nationkey * 40 area_px, s_nationkey + 0.5::DOUBLE centroid_y_px, s_suppkey % 64 + 0.25::DOUBLE centroid_x_px, round_even(s_nationkey * 40 * 0.325::DOUBLE * 0.325, 4) area_um2, round_even((s_nationkey + 0.5::DOUBLE) * 0.325, 4) centroid_y_um, round_even((s_suppkey % 64 + 0.25::DOUBLE) * 0.325, 4) centroid_x_um, round_even(1000 + (s_suppkey % 64 + 0.25::DOUBLE - 32) * 0.325, 4) centroid_x_stage_um, round_even(-500 + (s_nationkey + 0.5::DOUBLE - 25) * 0.325, 4) centroid_y_stage_um FROM supplier")
+@query("p19_unit_conversion", "SELECT s_suppkey, s_nationkey * 40 area_px, s_nationkey + 0.5::DOUBLE centroid_y_px, s_suppkey % 64 + 0.25::DOUBLE centroid_x_px, round_even(s_nationkey * 40 * 0.33::DOUBLE * 0.33, 4) area_um2, round_even((s_nationkey + 0.5::DOUBLE) * 0.33, 4) centroid_y_um, round_even((s_suppkey % 64 + 0.25::DOUBLE) * 0.33, 4) centroid_x_um, round_even(1000 + (s_suppkey % 64 + 0.25::DOUBLE - 32) * 0.33, 4) centroid_x_stage_um, round_even(-500 + (s_nationkey + 0.5::DOUBLE - 25) * 0.33, 4) centroid_y_stage_um FROM supplier")
 def p19(spark, sf):
     s = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_nationkey") * 40).alias("area_px"), (F.col("s_nationkey") + F.lit(0.5)).alias("centroid_y_px"), (F.col("s_suppkey") % 64 + F.lit(0.25)).alias("centroid_x_px"))
-    return point.to_units(s, 0.325, 64, 50, (1000.0, -500.0))
+    return point.to_units(s, 0.33, 64, 50, (1000.0, -500.0))
 
 
 @query("p20_circularity", "SELECT p_partkey, round(CASE WHEN p_size = 1 THEN 0 ELSE 4 * pi() * p_size / ((p_size - 1) * (p_size - 1)) END, 6) circularity, round(least(1, CASE WHEN p_size = 1 THEN 0 ELSE 4 * pi() * p_size / ((p_size - 1) * (p_size - 1)) END), 6) clipped FROM part")
