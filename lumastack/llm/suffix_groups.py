@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
-from .repeats import Units, cleaned_documents, distinct_segments, packed_documents, removed_spans, segments, shared_anchors
+from .common import discard, materialise
+from .repeats import Units, anchor_runs, cleaned_documents, distinct_segments, packed_documents, removed_spans, segments, shared_anchors, sliding_min
 
 #: Bytes of a window, and of the m-gram that anchors it.
 WINDOW = 50
-ANCHOR = 20
-#: An anchor's segments up to this many bytes are one group; beyond it, their windows are dealt over parts.
+ANCHOR = 32
+#: Segments end about every so many anchors.
+CUT = 8
+#: An anchor's runs up to this many bytes are one group; beyond it, their windows are grouped by content.
 GROUP_BYTES = 1 << 18
 #: Groups are sorted together up to about this many bytes.
 CHUNK_BYTES = 1 << 16
@@ -85,22 +87,24 @@ def suffix_order(symbols: Sequence[int]) -> list[int]:
     return order
 
 
-def window_origins(contents: list[bytes], firsts: np.ndarray, lasts: np.ndarray, k: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """For each string, runs (at, n, first): windows of k bytes whose smallest document over all strings is ``first``, if a larger document has them too.
+def window_origins(strings: list[tuple[bytes, int, int]], firsts: np.ndarray, lasts: np.ndarray, k: int) -> list[list[tuple[int, int, int]]]:
+    """For each string, runs (at, n, first): windows of k symbols whose smallest document over all strings is ``first``, if a larger document has them too.
 
-    The strings are joined with separators and their suffixes sorted; equal
-    windows are neighbours in the order.
+    A string is (bytes, place, mark): the byte at ``place`` stands for symbol
+    ``mark``, unless place is negative. The strings are joined with separators
+    and their suffixes sorted; equal windows are neighbours in the order.
     """
-    lengths = np.array([len(c) for c in contents])
-    data = np.frombuffer(b"\0".join(contents), dtype=np.uint8)
+    lengths = np.array([len(c) for c, _, _ in strings])
     starts = np.concatenate([[0], np.cumsum(lengths[:-1] + 1)])
-    symbols = data.astype(np.int64) + 2
-    symbols[(starts[1:] - 1)] = 1
+    symbols = np.frombuffer(b"\0".join([c for c, _, _ in strings]), dtype=np.uint8).astype(np.int64) + 2
+    symbols[starts[1:] - 1] = 1
+    place, mark = np.array([p for _, p, _ in strings]), np.array([m for _, _, m in strings])
+    symbols[(starts + place)[place >= 0]] = mark[place >= 0] + 258
     order = np.array(suffix_order([*symbols.tolist(), 0]))[1:]
     owner = np.searchsorted(starts, order, side="right") - 1
     whole = order - starts[owner] + k <= lengths[owner]
     order, owner = order[whole], owner[whole]
-    views = np.lib.stride_tricks.sliding_window_view(data, k)
+    views = np.lib.stride_tricks.sliding_window_view(symbols, k)
     new = np.ones(len(order), dtype=bool)
     for at in range(1, len(order), 65_536):
         part = views[order[at - 1 : at + 65_536]]
@@ -112,7 +116,7 @@ def window_origins(contents: list[bytes], firsts: np.ndarray, lasts: np.ndarray,
     order, owner, least, most = order[text], owner[text], least[text], most[text]
     keep = least < most
     order, owner, least = order[keep], owner[keep], least[keep]
-    out: list[list[tuple[int, int, int]]] = [[] for _ in contents]
+    out: list[list[tuple[int, int, int]]] = [[] for _ in strings]
     if len(order):
         edge = np.flatnonzero((order[1:] != order[:-1] + 1) | (owner[1:] != owner[:-1]) | (least[1:] != least[:-1])) + 1
         lo, hi = np.append(0, edge), np.append(edge, len(order))
@@ -122,56 +126,135 @@ def window_origins(contents: list[bytes], firsts: np.ndarray, lasts: np.ndarray,
 
 
 ORIGINS = "skey binary, at int, n int, first long"
+PIECES = "anchor long, skey binary, at int, first long, last long, place int, content binary"
 
 
-def segment_origins(pieces: DataFrame, k: int = WINDOW, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """Per distinct segment ``skey, runs``: which smallest documents its windows start in.
+def _table(rows: list[tuple], kinds: tuple, schema: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [x.split()[0] for x in schema.split(", ")])
 
-    Segments meet in groups by anchor, as equal windows have one anchor. A
-    group's suffixes are sorted by one task. An anchor whose segments exceed
-    ``group_bytes`` is dealt anew: its segments' single windows are spread by
-    their content over as many parts as needed, so that equal windows still
-    meet and no group is large. A segment alone in its group needs no sorting.
+
+def anchor_pieces(pieces: DataFrame, units: Units) -> DataFrame:
+    """Distinct segments cut into runs of windows with one anchor: ``PIECES``.
+
+    ``at`` is the run's first window in its segment, ``place`` where the
+    anchor's m-gram stands in the run's content, -1 if it occurs there twice.
     """
-    sizes = pieces.groupBy("anchor").agg(F.count("*").alias("others"), F.sum(F.octet_length("content")).alias("bytes"))
-    sized = pieces.select("skey", "anchor", "windows", "content", F.col("origin.doc_id").alias("first"), "last").join(sizes, "anchor")
-    alone = sized.where("others = 1 AND first < last").select("skey", F.lit(0).alias("at"), F.col("windows").alias("n"), "first")
-    several = sized.where("others > 1")
-    fit = several.where(F.col("bytes") <= group_bytes).select("anchor", F.lit(0).alias("part"), "skey", F.lit(0).alias("at"), "first", "last", "content")
-    large = several.where(F.col("bytes") > group_bytes).withColumn("at", F.explode(F.expr("sequence(0, windows - 1)")))
-    large = large.withColumn("content", F.substring("content", F.col("at") + 1, F.lit(k)))
-    parts = F.expr(f"cast(ceil(bytes * {k} / {group_bytes}) as int)")
-    large = large.select("anchor", F.pmod(F.xxhash64("content"), parts).cast("int").alias("part"), "skey", "at", "first", "last", "content")
+    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    w = units.k - units.m + 1
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for key, first, last, content in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                grams = units.grams(content)
+                anchors = sliding_min(grams, w)
+                lo, hi = anchor_runs(anchors)
+                # where each run's anchor stands among the m-grams of the run's content; runs longer than w hold it twice
+                at_ = lo[:, None] + np.arange(2 * w - 1)
+                same = (grams[np.minimum(at_, len(grams) - 1)] == anchors[lo][:, None]) & (at_ < (hi + w - 1)[:, None])
+                single = (same.sum(axis=1) == 1) & (hi - lo <= w)
+                for anchor, a, b, p in zip(anchors[lo].view(np.int64).tolist(), lo.tolist(), hi.tolist(), np.where(single, same.argmax(axis=1), -1).tolist(), strict=True):
+                    rows.append((anchor, key, a, first, last, p, content[a : b + units.k - 1]))
+                if len(rows) >= 10_000:
+                    yield _table(rows, kinds, PIECES)
+                    rows = []
+        yield _table(rows, kinds, PIECES)
+
+    return pieces.select("skey", F.col("origin.doc_id").alias("first"), "last", "content").mapInArrow(cut, PIECES)
+
+
+def sorted_origins(runs: DataFrame, units: Units) -> DataFrame:
+    """``ORIGINS`` of runs whose anchors' groups fit a task: the suffixes of a chunk of groups are sorted together.
+
+    All strings of a group hold the anchor's m-gram once, and so does each of
+    their windows: it becomes one symbol of the group's own, which halves what
+    is to be sorted. Groups in which it occurs twice in a string are sorted as
+    they are.
+    """
+    kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int64())
+    k, m = units.k, units.m
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
+        # per kind of string (short: the anchor as one symbol): strings and rows
+        held: dict[bool, tuple[dict[tuple[bytes, int, int], int], list[tuple]]] = {True: ({}, []), False: ({}, [])}
+        group: list[tuple] = []
+        size = number = 0
+
+        def close() -> None:
+            nonlocal size, number
+            short = all(r[5] >= 0 for r in group)
+            strings, rows = held[short]
+            for r in group:
+                c, p = r[6], r[5]
+                s = (c[:p] + b"\0" + c[p + m :], p, number) if short else (c, -1, 0)
+                if s not in strings:
+                    strings[s] = len(strings)
+                    size += len(s[0])
+                rows.append((r, strings[s]))
+            number += 1
+            group.clear()
 
         def settle() -> pa.RecordBatch:
-            contents: dict[bytes, int] = {}
-            at_ = [contents.setdefault(r[6], len(contents)) for r in held]
-            firsts, lasts = np.full(len(contents), np.iinfo(np.int64).max), np.full(len(contents), np.iinfo(np.int64).min)
-            np.minimum.at(firsts, at_, [r[4] for r in held])
-            np.maximum.at(lasts, at_, [r[5] for r in held])
-            runs = window_origins(list(contents), firsts, lasts, k)
-            rows = [(r[2], r[3] + at, n, first) for r, c in zip(held, at_, strict=True) for at, n, first in runs[c]]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.binary(), pa.int32(), pa.int32(), pa.int64()))], ["skey", "at", "n", "first"]
-            )
+            nonlocal size, number
+            out: list[tuple] = []
+            for short, (strings, rows) in held.items():
+                if rows:
+                    at_ = [i for _, i in rows]
+                    firsts, lasts = np.full(len(strings), np.iinfo(np.int64).max), np.full(len(strings), np.iinfo(np.int64).min)
+                    np.minimum.at(firsts, at_, [r[3] for r, _ in rows])
+                    np.maximum.at(lasts, at_, [r[4] for r, _ in rows])
+                    found = window_origins(list(strings), firsts, lasts, k - m + 1 if short else k)
+                    out += [(r[1], r[2] + at, n, first) for r, i in rows for at, n, first in found[i]]
+                strings.clear()
+                rows.clear()
+            size = number = 0
+            return _table(out, kinds, ORIGINS)
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if size >= CHUNK_BYTES and row[:2] != held[-1][:2]:
-                    yield settle()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[6])
-        if held:
-            yield settle()
+                if group and row[0] != group[0][0]:
+                    close()
+                    if size >= CHUNK_BYTES:
+                        yield settle()
+                group.append(row)
+        if group:
+            close()
+        yield settle()
+
+    return runs.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort, ORIGINS)
+
 
-    ready = fit.union(large).repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    runs = alone.union(ready.mapInArrow(sort, ORIGINS))
-    return runs.groupBy("skey").agg(F.collect_list(F.struct("at", "n", "first")).alias("runs"))
+def segment_origins(pieces: DataFrame, units: Units, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """Per distinct segment ``skey, runs``: which smallest documents its windows start in; ``pieces`` is dropped.
+
+    Runs of windows meet in groups by anchor, as equal windows have one anchor.
+    If a group's runs have one content, all its windows start in the group's
+    smallest document. Otherwise one task sorts the group's suffixes. Anchors
+    whose runs exceed ``group_bytes`` (a phrase of very many documents, a text
+    that repeats itself) are not brought together: their single windows are
+    grouped by content, combined before the shuffle, and joined back.
+    """
+    k = units.k
+    columns = [x.split()[0] for x in PIECES.split(", ")]
+    runs = materialise(anchor_pieces(pieces, units), "suffix-runs")
+    discard(pieces)
+    h, n = F.xxhash64("content"), F.octet_length("content")
+    groups = runs.groupBy("anchor").agg(F.min(h).alias("h0"), F.max(h).alias("h1"), F.sum(n.cast("long")).alias("bytes"), F.min("first").alias("least"), F.max("last").alias("most"))
+    groups = materialise(groups.where("least < most"), "suffix-groups")
+    one, several = F.col("h0") == F.col("h1"), F.col("h0") != F.col("h1")
+    alone = runs.join(groups.where(one).select("anchor", "least"), "anchor").select("skey", "at", (n - (k - 1)).alias("n"), F.col("least").alias("first"))
+    alone = materialise(alone, "suffix-alone")
+    fit = runs.join(groups.where(several & (F.col("bytes") <= group_bytes)).select("anchor"), "anchor", "left_semi").select(*columns)
+    fit = materialise(sorted_origins(fit, units), "suffix-sorted")
+    windows = runs.join(groups.where(several & (F.col("bytes") > group_bytes)).select("anchor"), "anchor", "left_semi").withColumn("o", F.explode(F.sequence(F.lit(0), n - k)))
+    windows = materialise(windows.select("skey", (F.col("at") + F.col("o")).alias("at"), "first", "last", F.substring("content", F.col("o") + 1, F.lit(k)).alias("window")), "suffix-windows")
+    discard(runs, groups)
+    best = windows.groupBy("window").agg(F.min("first").alias("least"), F.max("last").alias("most")).where("least < most")
+    large = windows.join(best, "window").select("skey", "at", F.lit(1).alias("n"), F.col("least").alias("first"))
+    found = alone.union(fit).union(large)
+    out = materialise(found.groupBy("skey").agg(F.collect_list(F.struct("at", "n", "first")).alias("runs")), "suffix-origins")
+    discard(alone, fit, windows)
+    return out
 
 
 def remove_repeated_bytes(
@@ -186,8 +269,11 @@ def remove_repeated_bytes(
     shorter than k keep all; rows with a null doc_id are neither judged nor
     judge; repeated rows don't remove each other; an empty table gives no rows.
     """
-    units = Units("byte", k, anchor)
+    units = Units("byte", k, anchor, CUT)
     packed = packed_documents(docs, doc_id, text, carry)
     found = materialise(segments(packed, shared_anchors(docs, units, doc_id, text), units), "suffix-segments")
-    origins = segment_origins(materialise(distinct_segments(found), "suffix-distinct"), k)
-    return cleaned_documents(packed, removed_spans(found, origins, k), units).withColumnRenamed("units", "n_bytes")
+    pieces = materialise(distinct_segments(found), "suffix-pieces")
+    origins = segment_origins(pieces, units)
+    spans = materialise(removed_spans(found, origins, k), "suffix-spans")
+    discard(found, origins)
+    return cleaned_documents(packed, spans, units).withColumnRenamed("units", "n_bytes")
