@@ -457,6 +457,42 @@ def test_stages_keep_columns_and_take_effect(spark, docs, rows):
     assert final.count() >= docs.count() > 0
 
 
+def test_near_duplicate_stage_finds_edited_copies(spark):
+    rng = np.random.default_rng(11)
+    vocabulary = [f"v{i}" for i in range(5000)]
+
+    def grams(text):
+        words = text.lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    passage = " ".join(rng.choice(vocabulary, 20))
+    made = []
+    for _ in range(60):
+        base = list(rng.choice(vocabulary, int(rng.choice([9, 30, 70, 248, 600]))))
+        made.append(" ".join(base))
+        for share in (0.004, 0.01, 0.02, 0.03, 0.1):
+            edited = base.copy()
+            at = int(rng.integers(0, len(base)))
+            edits = range(at, min(at + 1 + int(share * len(base)), len(base)))
+            for i in edits if share == 0.1 else rng.choice(len(base), 1 + int(share * len(base)), replace=False):
+                edited[i] = "edit"
+            made.append(" ".join(edited))
+        made.append(" ".join(rng.choice(vocabulary, 60)) + " " + passage)
+    sets = [grams(t) for t in made]
+    links = [(i, j) for j in range(len(made)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert len(links) > 200
+    root = list(range(len(made)))
+    for _ in range(len(made)):
+        before = root.copy()
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+        if root == before:
+            break
+    rows_ = [(i, t, "en", "a", len(t)) for i, t in enumerate(made)]
+    left = {r.doc_id for r in stages.near_duplicate_stage(spark, spark.createDataFrame(rows_, DOCS).repartition(3), "").collect()}
+    assert left == set(root)
+
+
 def test_discard_removes_a_table(spark):
     table = common.materialise(spark.range(5), "gone")
     assert table.count() == 5
