@@ -45,7 +45,8 @@ def s5(spark, sf):
 @query("s6_dimension_order", PX + ", f AS (SELECT (t * 50 + y) * 64 + x i, v FROM px) SELECT CAST(i // 16000 AS INT) t, CAST(i // 1600 % 10 AS INT) z, CAST(i // 800 % 2 AS INT) c, CAST(i // 40 % 20 AS INT) y, CAST(i % 40 AS INT) x, v FROM f WHERE i < 32000")
 def s6(spark, sf):
     flat = frames(spark, sf).select(((F.col("t") * 50 + F.col("y")) * 64 + F.col("x")).alias("i"), "v")
-    return stacks.assign_dimensions(flat, "TZCYX", {"T": 2, "Z": 10, "C": 2, "Y": 20, "X": 40})
+    n_t = -(-((flat.agg(F.max("i")).first()[0] or 0) + 1) // 16_000)
+    return stacks.assign_dimensions(flat, "TZCYX", {"T": n_t, "Z": 10, "C": 2, "Y": 20, "X": 40}, open_end=True)
 
 
 @query("s7_colour_channels", PX + " SELECT t, y, x, u.c, CAST(CASE u.c WHEN 'red' THEN v WHEN 'green' THEN v // 2 ELSE v % 256 END AS INT) v FROM px, (VALUES ('red'), ('green'), ('blue')) u(c)")

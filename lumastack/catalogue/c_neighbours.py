@@ -388,7 +388,8 @@ def j14(spark, sf):
 def r23(spark, sf):
     px = frames(spark, sf).withColumns({"m": F.col("t"), "t": F.lit(0)})
     lay = px.select("m").distinct().select("m", (F.col("m") * 20).alias("off_y"), (F.col("m") % 3 * 40).alias("off_x"))
-    return layout.stitch(px, lay, 200, 130).select("y", "x", "v")
+    height = (lay.agg(F.max("off_y")).first()[0] or 0) + 20
+    return layout.stitch(px, lay, height, 130).select("y", "x", "v")
 
 
 STAGE = "tl AS (SELECT s_suppkey m, CAST(s_suppkey % 5 AS DOUBLE) * 300.4 stage_x, CAST(s_suppkey // 5 AS DOUBLE) * -250.6 stage_y FROM supplier)"

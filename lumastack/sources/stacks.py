@@ -17,15 +17,23 @@ def page_keys(page: Column, n_z: int, n_c: int) -> tuple[Column, Column, Column]
     return F.floor(at / (n_z * n_c)).cast("int"), (F.floor(at / n_c) % n_z).cast("int"), (at % n_c).cast("int")
 
 
-def assign_dimensions(values: DataFrame, order: str, sizes: dict[str, int], flat: str = "i", value: str = "v") -> DataFrame:
-    """Keys of a flat array in C order: the axes of ``order`` (e.g. ``TZCYX``), the last the fastest."""
+def assign_dimensions(values: DataFrame, order: str, sizes: dict[str, int], flat: str = "i", value: str = "v", open_end: bool = False) -> DataFrame:
+    """Keys of a flat array in C order: the axes of ``order`` (e.g. ``TZCYX``), the last the fastest.
+
+    The array must fill the sizes exactly; with ``open_end`` it may end within
+    the last entry of the first axis.
+    """
     if set(order) != set(sizes) or len(set(order)) != len(order):
         raise ValueError(f"dimension order {order!r} does not fit sizes {sorted(sizes)}")
     out, stride = {}, 1
     for axis in reversed(order):
         out[axis.lower()] = (F.floor(F.col(flat) / stride) % sizes[axis]).cast("int")
         stride *= sizes[axis]
-    return values.where(F.col(flat) < stride).select(*[out[a.lower()].alias(a.lower()) for a in order], F.col(value).alias("v"))
+    n, least, most = values.agg(F.count(flat), F.min(flat), F.max(flat)).first()
+    short = stride - n
+    if not 0 <= short < (stride // max(sizes[order[0]], 1) if open_end else 1) or (n and (least < 0 or most >= stride)):
+        raise ValueError(f"{n} values from {least} to {most} do not fit sizes {sizes} of product {stride}")
+    return values.select(*[out[a.lower()].alias(a.lower()) for a in order], F.col(value).alias("v"))
 
 
 def colour_channels(rgb: DataFrame) -> DataFrame:

@@ -303,3 +303,22 @@ def test_labels_do_not_depend_on_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert seen[0] == seen[1]
+
+
+def test_dimensions_and_canvas_follow_the_table(spark, tmp_path):
+    from lumastack import registry
+
+    rows = [(i, 0, [0.001 * ((i + k) % 300) for k in range(64)]) for i in range(1006)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    s6 = registry.queries()["s6_dimension_order"](spark, str(tmp_path))
+    assert s6.count() == s6.select("t", "z", "c", "y", "x").distinct().count() == 1006 * 64
+    assert s6.agg(F.max("t")).first()[0] == 4
+    r23 = registry.queries()["r23_tile_placement"](spark, str(tmp_path))
+    assert r23.agg(F.max("y")).first()[0] == 419
+    flat = spark.createDataFrame([(i, 1) for i in range(5)], "i int, v int")
+    for size in (4, 6):
+        with pytest.raises(ValueError):
+            stacks.assign_dimensions(flat, "X", {"X": size})
+    with pytest.raises(ValueError):
+        stacks.assign_dimensions(flat, "YX", {"Y": 2, "X": 2}, open_end=True)
+    assert stacks.assign_dimensions(flat, "YX", {"Y": 3, "X": 2}, open_end=True).count() == 5
