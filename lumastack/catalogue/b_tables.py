@@ -318,7 +318,8 @@ def r14(spark, sf):
 
 @query("r15_per_frame", MEAS + ", s AS (SELECT unnest(range(200)) frame) SELECT CAST(s.frame AS INT) frame, count(area_px) n, round(coalesce(avg(area_px), 0), 6) mean_area FROM s LEFT JOIN meas USING (frame) GROUP BY 1")
 def r15(spark, sf):
-    return measure.per_frame(measurements(spark, sf), spark.range(200).select(F.col("id").cast("int").alias("frame"))).withColumn("mean_area", F.round("mean_area", 6))
+    most = table(spark, sf, "events").groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
+    return measure.per_frame(measurements(spark, sf), spark.range(max(200, most)).select(F.col("id").cast("int").alias("frame"))).withColumn("mean_area", F.round("mean_area", 6))
 
 
 @query("r16_results_summary", MEAS + ", w AS (SELECT frame, area_px, CASE WHEN area_px % 3 > 0 THEN area_px / 7::DOUBLE END a, area_px / 11::DOUBLE b FROM meas) SELECT u.col AS name, round(avg(CASE u.col WHEN 'mean_intensity_a' THEN a ELSE b END), 6) mean_value FROM w, (VALUES ('mean_intensity_a'), ('mean_intensity_b')) u(col) GROUP BY 1")

@@ -322,3 +322,14 @@ def test_dimensions_and_canvas_follow_the_table(spark, tmp_path):
     with pytest.raises(ValueError):
         stacks.assign_dimensions(flat, "YX", {"Y": 2, "X": 2}, open_end=True)
     assert stacks.assign_dimensions(flat, "YX", {"Y": 3, "X": 2}, open_end=True).count() == 5
+
+
+def test_per_frame_spine_reaches_the_last_event(spark, tmp_path):
+    from lumastack import registry
+
+    rows = [(i, i % 2 * (i % 3), i, "view", 2.0) for i in range(900)]
+    table = spark.createDataFrame(rows, "event_id long, user_id long, ts long, event_type string, value double")
+    table.withColumn("ts", F.timestamp_seconds("ts")).write.parquet(str(tmp_path / "events.parquet"))
+    got = registry.queries()["r15_per_frame"](spark, str(tmp_path))
+    assert got.agg(F.sum("n")).first()[0] == 900
+    assert got.count() == 600
