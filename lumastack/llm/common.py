@@ -14,9 +14,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or in a session without one (tests) a new local one."""
+    """The folder all executors share: ``spark.checkpoint.dir``. A local session without one gets a new local folder; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -52,6 +54,12 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def integral(df: DataFrame, column: str) -> None:
+    """Raise if ``column`` is no whole number: a cast would turn other ids into nulls silently."""
+    if df.schema[column].dataType.typeName() not in ("byte", "short", "integer", "long", "void"):
+        raise TypeError(f"{column} must be a whole number, not {df.schema[column].dataType.simpleString()}")
+
+
 def spread(key: Column | str, buckets: int) -> Column:
     """An even, repeatable bucket number of a key."""
     return F.pmod(F.xxhash64(F.col(key) if isinstance(key, str) else key), F.lit(buckets))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import discard, materialise
-from .repeats import Units, cleaned_documents, distinct_segments, packed_documents, removed_spans, segments, shared_anchors
+from .repeats import Units, checked, cleaned_documents, distinct_segments, packed_documents, removed_spans, row_id, segments, shared_anchors
 
 #: Words of a window, and of the m-gram that anchors it.
 WINDOW = 13
@@ -74,7 +74,7 @@ def compact_paths(edges: DataFrame) -> DataFrame:
 
 
 def repeated_spans(packed: DataFrame, shared: DataFrame, units: Units) -> DataFrame:
-    """``doc_id, spans``: the word spans of each document that windows of smaller documents cover.
+    """``rid, spans``: the word spans of each row that windows of smaller documents cover.
 
     Segments are runs of k-mers with one anchor. If all documents agree on the
     words around an anchor, they are one path as they stand. Where they differ,
@@ -102,12 +102,14 @@ def remove_repeated_windows(
 
     Returns ``doc_id, n_words, n_removed, n_spans, kept_sha256`` and with
     ``carry`` also ``kept`` (the words left, joined by one blank; untouched texts
-    as they are) and ``row`` (the other columns). Windows are judged on
-    the input. Null texts have no words; texts of fewer than k words keep all;
-    rows with a null doc_id are neither judged nor judge; repeated rows, which
-    share their doc_id, don't remove each other; an empty table gives no rows.
+    as they are) and ``row`` (the other columns by position). Windows are judged
+    on the input. Null texts have no words; texts of fewer than k words keep all;
+    rows with a null doc_id are neither judged nor judge; repeated rows, and
+    different texts that share a doc_id, don't remove each other and keep their
+    own spans; ids that are no whole numbers are an error; an empty table gives
+    no rows.
     """
     units = Units("word", k, anchor)
-    packed = packed_documents(docs, doc_id, text, carry)
-    spans = repeated_spans(packed, shared_anchors(docs, units, doc_id, text), units)
+    packed = packed_documents(checked(docs, doc_id), doc_id, text, carry)
+    spans = repeated_spans(packed, shared_anchors(docs.select(row_id(doc_id, text).alias("rid"), F.col(text).alias("text")), units), units)
     return cleaned_documents(packed, spans, units).withColumnRenamed("units", "n_words")

@@ -6,74 +6,104 @@ the exact work is done on few of them:
 
 1. Every window is stood for by its anchor, the least hash among its m-grams.
    Equal windows have equal anchors, so a window whose anchor occurs in one
-   document only can't be repeated. ``shared_anchors`` finds per document the
-   anchors that other documents have too; it shuffles packed anchors, no text.
+   row only can't be repeated. ``shared_anchors`` finds per row the anchors
+   that other rows have too; it shuffles packed anchors, no text.
 2. ``segments`` cuts documents into runs of windows with shared anchors, named
    by their content: ``skey``, ``doc_id``, ``start`` and ``windows``.
 3. The operator decides for each distinct segment which windows start in which
    smallest document (de Bruijn graph, suffix arrays).
 4. ``removed_spans`` joins that back to the occurrences.
 
-No step drops or caps anything; hashes only choose anchors and name segments
-(128 bits of their content).
+Rows are told apart by ``rid``, a hash of doc_id and text, so two texts under
+one doc_id keep their own spans. No step drops or caps anything; hashes only
+choose anchors and name rows and segments (128 bits of their content). Texts are
+hashed in blocks of ``BLOCK`` bytes, so memory does not grow with their length.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_WORDS = re.compile(rb"[^\x20\x09-\x0d]+")
+from .common import integral
+
+#: Bytes of text that are hashed together: short texts are joined to blocks, long ones are cut.
+BLOCK = 1 << 17
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Anchors that a task gathers before it hands them on.
 FLUSH = 400_000
 #: Anchor groups get about this many anchors each.
 GROUP = 200_000
+#: A segment has at most this many runs of windows.
+LONGEST = 64
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """Spread the bits of uint64 values."""
     x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
     x *= np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, dtype=np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
 
 
 class Powers:
-    """Powers of the hash base and of its inverse modulo 2^64, grown on demand."""
+    """Powers of the hash base and of its inverse modulo 2^64, up to a few blocks."""
 
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > len(self.up):
-            size = max(n, 2 * len(self.up), 4096)
-            steps = np.full(size, _BASE, dtype=np.uint64), np.full(size, _INVERSE, dtype=np.uint64)
-            for s in steps:
-                s[0] = 1
-            self.up, self.down = (np.multiply.accumulate(s) for s in steps)
+            size = max(n, BLOCK + 4096)
+            if size > 4 * BLOCK:  # one giant word: not kept
+                return _powers(_BASE, n), _powers(_INVERSE, n)
+            self.up, self.down = _powers(_BASE, size), _powers(_INVERSE, size)
         return self.up[:n], self.down[:n]
 
 
 POWERS = Powers()
 
 
+def _prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    up, down = POWERS.upto(len(data) + 1)
+    sums = np.empty(len(data) + 1, dtype=np.uint64)
+    sums[0] = 0
+    x = data.astype(np.uint64)
+    x += np.uint64(1)
+    x *= up[: len(data)]
+    np.cumsum(x, out=sums[1:])
+    return sums, down
+
+
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte runs data[starts:ends], alike for equal runs wherever they stand."""
-    up, down = POWERS.upto(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    sums, down = _prefix_sums(data)
     return mix64((sums[ends] - sums[starts]) * down[starts])
 
 
+def gram_hashes(data: np.ndarray, m: int) -> np.ndarray:
+    """64-bit hash of each m consecutive bytes; ``run_hashes`` of them all."""
+    sums, down = _prefix_sums(data)
+    out = sums[m:] - sums[:-m]
+    out *= down[: len(out)]
+    return mix64(out)
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of every w consecutive values, in time linear in len(x)."""
     n = len(x) - w + 1
@@ -84,12 +114,24 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[:n], left[w - 1 : w - 1 + n])
 
 
-def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, starts, ends) of the words."""
-    data = np.frombuffer(raw, dtype=np.uint8)
-    word = ~((data == 0x20) | ((data >= 0x09) & (data <= 0x0D)))
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
-    return data, edge[0::2], edge[1::2]
+def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words."""
+    edge = np.empty(len(data) + 2, dtype=bool)
+    edge[0] = edge[-1] = False
+    np.not_equal(data, 0x20, out=edge[1:-1])
+    edge[1:-1] &= (data - np.uint8(9)) > 4
+    at = np.flatnonzero(edge[1:] != edge[:-1])
+    return at[0::2], at[1::2]
+
+
+@dataclass(frozen=True)
+class Anchors:
+    """Of a block of texts: the anchor of each window, where the texts' windows begin, and for bytes where each window stands among ``grams``."""
+
+    value: np.ndarray
+    bounds: np.ndarray
+    place: np.ndarray
+    grams: np.ndarray
 
 
 @dataclass(frozen=True)
@@ -102,51 +144,111 @@ class Units:
     #: A run of candidate windows is cut at anchors whose hash is a multiple of this, so about every so many anchors; 1: at each.
     cut: int = 1
 
-    def grams(self, raw: bytes) -> np.ndarray:
-        """Hash of each m-gram of a document, in order (empty if it is shorter than a window)."""
+    def pieces(self, raw: bytes) -> list[tuple[int, bytes]]:
+        """(first window, bytes): a text cut so that a piece has about a block's bytes and each window lies in one piece."""
+        if len(raw) <= BLOCK:
+            return [(0, raw)]
+        if self.kind == "byte":
+            return [(at, raw[at : at + BLOCK + self.k - 1]) for at in range(0, max(1, len(raw) - self.k + 1), BLOCK)]
+        starts, ends = words_of(np.frombuffer(raw, dtype=np.uint8))
+        step = max(1, BLOCK // 8)
+        return [(at, raw[starts[at] : ends[min(at + step + self.k - 1, len(ends)) - 1]]) for at in range(0, max(1, len(starts) - self.k + 1), step) if len(starts)]
+
+    def anchors(self, texts: list[bytes]) -> Anchors:
+        """The anchor of each window of each text, in order: the least hash among its m-grams."""
+        joined = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
+        ends = np.cumsum([len(x) + 1 for x in texts]) - 1
         if self.kind == "word":
-            data, starts, ends = words_of(raw)
-            n = len(starts)
-            if n < self.k:
-                return np.empty(0, dtype=np.uint64)
-            words = run_hashes(data, starts, ends)
-            grams = words[: n - self.m + 1].copy()
-            for i in range(1, self.m):
-                grams = grams * np.uint64(_BASE) + words[i : n - self.m + 1 + i]
-            return mix64(grams)
-        if len(raw) < self.k:
-            return np.empty(0, dtype=np.uint64)
-        at = np.arange(len(raw) - self.m + 1)
-        return run_hashes(np.frombuffer(raw, dtype=np.uint8), at, at + self.m)
-
-    def window_anchors(self, raw: bytes) -> np.ndarray:
-        """The anchor of each window of a document, in order: the least hash among its m-grams."""
-        grams = self.grams(raw)
-        return sliding_min(grams, self.k - self.m + 1) if len(grams) else grams
+            starts, stops = words_of(joined)
+            grams = run_hashes(joined, starts, stops)
+            words, n = grams, len(starts) - self.m + 1
+            if n > 0:
+                grams = words[:n].copy()
+                for i in range(1, self.m):
+                    grams *= np.uint64(_BASE)
+                    grams += words[i : n + i]
+                grams = mix64(grams)
+            last = np.searchsorted(starts, ends)
+            first = np.concatenate([[0], last[:-1]])
+        else:
+            last, first = ends, np.concatenate([[0], ends[:-1] + 1])
+            grams = gram_hashes(joined, self.m) if len(joined) >= self.m else joined[:0].astype(np.uint64)
+        counts = np.maximum(last - first - self.k + 1, 0)
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        place = np.arange(bounds[-1]) + np.repeat(first - bounds[:-1], counts)
+        least = sliding_min(grams, self.k - self.m + 1) if bounds[-1] else grams[:0]
+        return Anchors(least[place], bounds, place, grams)
 
     def content(self, raw: bytes) -> Callable[[int, int], bytes]:
         """How to get the content of ``units`` units from unit ``start``: words joined by a blank, or bytes."""
         if self.kind == "byte":
             return lambda start, units: raw[start : start + units]
-        words = _WORDS.findall(raw)
+        words = raw.split()
         return lambda start, units: b" ".join(words[start : start + units])
 
 
+def blocks(units: Units, texts: Iterator[tuple[int, bytes]]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """(owners, first windows, pieces) of about a block's bytes at a time, from (owner, text)."""
+    held: tuple[list[int], list[int], list[bytes]] = ([], [], [])
+    size = 0
+    for owner, raw in texts:
+        for at, piece in units.pieces(raw):
+            for column, value in zip(held, (owner, at, piece), strict=True):
+                column.append(value)
+            size += len(piece) + 1
+            if size >= BLOCK:
+                yield held
+                held, size = ([], [], []), 0
+    if held[0]:
+        yield held
+
+
+def anchor_runs(anchors: np.ndarray, bounds: np.ndarray, longest: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of the runs of equal anchors within each text, of at most ``longest`` windows if given."""
+    if not len(anchors):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    new = np.empty(len(anchors), dtype=bool)
+    np.not_equal(anchors[1:], anchors[:-1], out=new[1:])
+    new[bounds[:-1][bounds[:-1] < len(anchors)]] = True
+    first = np.flatnonzero(new)
+    end = np.append(first[1:], len(anchors))
+    if longest and (end - first).max() > longest:
+        parts = -(-(end - first) // longest)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        first, end = np.repeat(first, parts) + nth * longest, np.repeat(end, parts)
+        end = np.minimum(first + longest, end)
+    return first, end
+
+
+def among(owner: np.ndarray, value: np.ndarray, marks: np.ndarray, mark_owner: np.ndarray) -> np.ndarray:
+    """Which (owner, low 32 bits of value) are among the marks."""
+    have = np.sort((mark_owner.astype(np.uint64) << np.uint64(32)) | (marks.view(np.uint64) & _LOW))
+    ask = (owner.astype(np.uint64) << np.uint64(32)) | (value & _LOW)
+    if not len(have):
+        return np.zeros(len(ask), dtype=bool)
+    return have[np.minimum(np.searchsorted(have, ask), len(have) - 1)] == ask
+
+
+def row_id(doc_id: str, text: str) -> Column:
+    """A row's name: null where the doc_id is null, alike for repeated rows."""
+    return F.when(F.col(doc_id).isNotNull(), F.xxhash64(F.col(doc_id), F.col(text)))
+
+
 def packed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
-    """``doc_id long, z binary``: whole texts as zstandard frames (null: null), so that shuffles move less. With ``carry`` also ``row struct`` of the other columns."""
-    rest = F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("row")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("z"), *[rest] * carry)
-    schema = rows.withColumn("z", F.lit(None).cast("binary")).schema
+    """``doc_id long, rid long, z binary``: whole texts as zstandard frames (null: null), so that shuffles move less. With ``carry`` also ``row struct`` of all columns but the text, by position."""
+    names = [c for c in docs.columns if c != text]
+    rest = F.struct(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], F.lit(0).alias("_")).alias("row")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_id(doc_id, text).alias("rid"), F.col(text).cast("binary").alias("z"), *[rest] * carry)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=3).compress
+        press = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            frames = [press(v.as_py().encode()) if v.is_valid else None for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(frames, pa.binary()), *batch.columns[2:]], ["doc_id", "z", "row"][: 2 + carry])
+            frames = [press(v.as_py()) if v.is_valid else None for v in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(frames, pa.binary()), *batch.columns[3:]], ["doc_id", "rid", "z", "row"][: 3 + carry])
 
-    return rows.mapInArrow(pack, schema)
+    return rows.mapInArrow(pack, rows.schema)
 
 
 def _groups(docs: DataFrame, units: Units, text: str) -> int:
@@ -155,21 +257,21 @@ def _groups(docs: DataFrame, units: Units, text: str) -> int:
     return max(8, int(size * density / GROUP))
 
 
-def shared_anchors(docs: DataFrame, units: Units, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, anchors array<long>``: each document's anchors that another document has too; a document may have several rows.
+def shared_anchors(rows: DataFrame, units: Units, rid: str = "rid", text: str = "text") -> DataFrame:
+    """``rid, anchors array<long>``: each row's anchors that another row has too; a row may have several rows.
 
-    Tasks gather the (anchor, document) pairs of some documents. An anchor that
-    several of these documents have is known to be shared: its documents are
-    told at once, and one pair goes on to the anchor's group, so that an anchor
-    of a third of all documents sends one pair a batch. Groups number in
-    proportion to the text. A pair in a group is two 32-bit words besides the
-    group's number, so unlike anchors may be taken for equal at times; that only
-    adds candidates.
+    Tasks gather the (anchor, row) pairs of some texts. An anchor that several
+    of these have is known to be shared: its rows are told at once, and one pair
+    goes on to the anchor's group, so that an anchor of a third of all texts
+    sends one pair a batch. Groups number in proportion to the text. A pair in a
+    group is two 32-bit words besides the group's number, so unlike anchors may
+    be taken for equal at times; that only adds candidates. Rows with a null rid
+    or text take no part.
     """
-    groups = _groups(docs, units, text)
+    groups = _groups(rows, units, text)
 
     def emit(kind: int, group: np.ndarray, anchor: np.ndarray, doc: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((doc, anchor, group))
+        order = np.argsort(group, kind="stable")
         group, anchor, doc, known = group[order], anchor[order], doc[order], known[order]
         cuts = np.flatnonzero(group[1:] != group[:-1]) + 1
         lo, hi = [0, *cuts.tolist()], [*cuts.tolist(), len(group)]
@@ -178,7 +280,7 @@ def shared_anchors(docs: DataFrame, units: Units, doc_id: str = "doc_id", text:
             [
                 pa.array(group[lo].astype(np.int64)),
                 pa.array([kind] * len(lo), pa.int32()),
-                pa.array(cut((anchor & np.uint64(0xFFFFFFFF)).astype(np.uint32)), pa.binary()),
+                pa.array(cut((anchor & _LOW).astype(np.uint32)), pa.binary()),
                 pa.array(cut(doc), pa.binary()),
                 pa.array(cut(known), pa.binary()),
             ],
@@ -186,31 +288,33 @@ def shared_anchors(docs: DataFrame, units: Units, doc_id: str = "doc_id", text:
         )
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, int]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            anchor = np.concatenate([a for a, _ in held])
-            doc = np.repeat(np.array([d for _, d in held], dtype=np.int64), [len(a) for a, _ in held])
+            anchor, doc = (np.concatenate([h[i] for h in held]) for i in (0, 1))
             order = np.lexsort((doc, anchor))
             anchor, doc = anchor[order], doc[order]
+            keep = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
+            anchor, doc = anchor[keep], doc[keep]
             first = np.concatenate([[True], anchor[1:] != anchor[:-1]])
             run = np.cumsum(first) - 1
-            many = doc[np.concatenate([np.flatnonzero(first)[1:], [len(doc)]]) - 1] != doc[first]
+            many = np.diff(np.append(np.flatnonzero(first), len(doc))) > 1
             told = many[run]
             if told.any():
-                yield emit(1, (mix64(doc[told].astype(np.uint64)) % np.uint64(groups)).astype(np.int64), anchor[told], doc[told], np.ones(int(told.sum()), dtype=np.uint8))
+                yield emit(1, (mix64(doc[told].view(np.uint64)) % np.uint64(groups)).astype(np.int64), anchor[told], doc[told], np.ones(int(told.sum()), dtype=np.uint8))
             part = mix64(anchor[first] ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(groups)
             yield emit(0, part.astype(np.int64), anchor[first], doc[first], many.astype(np.uint8))
 
         for batch in batches:
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if doc is None or not value.is_valid:
-                    continue
-                at = units.window_anchors(value.as_py().encode())
-                if len(at):
-                    held.append((np.unique(at), doc))
-                    size += len(held[-1][0])
+            names = batch.column(0).to_numpy(zero_copy_only=False)
+            for owner, _, pieces in blocks(units, ((i, v.as_py()) for i, v in enumerate(batch.column(1)))):
+                found = units.anchors(pieces)
+                first, _ = anchor_runs(found.value, found.bounds)
+                if len(first):
+                    of = np.searchsorted(found.bounds, first, side="right") - 1
+                    held.append((found.value[first], names[np.asarray(owner)[of]].astype(np.int64)))
+                    size += len(first)
                 if size >= FLUSH:
                     yield from flush()
                     held, size = [], 0
@@ -235,75 +339,87 @@ def shared_anchors(docs: DataFrame, units: Units, doc_id: str = "doc_id", text:
         order = np.argsort(doc, kind="stable")
         doc, low = doc[order], low[order].astype(np.int64)
         cuts = np.flatnonzero(doc[1:] != doc[:-1]) + 1
-        lo, hi = ([0, *cuts.tolist()], [*cuts.tolist(), len(doc)]) if len(doc) else ([], [])
+        lo = [0, *cuts.tolist()] if len(doc) else []
         lists = pa.ListArray.from_arrays(pa.array([*lo, len(doc)] if len(lo) else [0], pa.int32()), pa.array(low))
-        return pa.table({"doc_id": pa.array(doc[lo]), "anchors": lists})
+        return pa.table({"rid": pa.array(doc[lo]), "anchors": lists})
+
+    named = rows.select(F.col(rid), F.col(text).cast("binary")).where(F.col(rid).isNotNull() & F.col(text).isNotNull())
+    pairs = named.mapInArrow(gather, "g long, kind int, low binary, doc binary, known binary")
+    return pairs.groupBy("g").applyInArrow(settle, "rid long, anchors array<long>")
+
+
+def marked(shared: DataFrame) -> DataFrame:
+    """One row per rid; its anchors are bounded by its own text."""
+    return shared.groupBy("rid").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
+
 
-    pairs = docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(gather, "g long, kind int, low binary, doc binary, known binary")
-    return pairs.groupBy("g").applyInArrow(settle, "doc_id long, anchors array<long>")
+SEGMENTS = "skey binary, anchor long, doc_id long, rid long, start int, windows int, content binary"
+_SEGMENT_KINDS = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
 
 
-SEGMENTS = "skey binary, anchor long, doc_id long, start int, windows int, content binary"
-def anchor_runs(anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first, end) windows of the runs with one anchor."""
-    first = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]])) if len(anchors) else np.empty(0, dtype=np.int64)
-    return first, np.append(first[1:], len(anchors))
+def record_batch(rows: list[tuple], kinds: tuple, schema: str) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
 
 def segments(packed: DataFrame, shared: DataFrame, units: Units) -> DataFrame:
-    """Runs of windows with shared anchors: ``skey, anchor, doc_id, start, windows, content``; ``anchor`` is the first window's.
+    """Runs of windows with shared anchors: ``skey, anchor, doc_id, rid, start, windows, content``; ``anchor`` is the first window's.
 
-    A run ends where a window's anchor is not shared, and is cut at anchors that
+    A run ends where a window's anchor is not shared, is cut at anchors that
     their own hash picks, so that a passage gives the same segments wherever it
-    stands. ``start`` is the first window's first unit; ``skey`` names the
-    content (128 bits). Of equal segments in one batch of a task only the first
-    brings its content; the others' is null.
+    stands, and after ``LONGEST`` anchors. ``start`` is the first window's first
+    unit; ``skey`` names the content (128 bits). Of equal segments in one batch
+    of a task only the first brings its content; the others' is null.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         from xxhash import xxh3_128_digest
 
-        unpack = zstandard.ZstdDecompressor()
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows: list[tuple] = []
             seen: set[bytes] = set()
-            for doc, z, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                if not z.is_valid:
-                    continue
-                raw = unpack.decompress(z.as_py())
-                anchors = units.window_anchors(raw)
-                first, end = anchor_runs(anchors)
-                kept = np.flatnonzero(np.isin((anchors[first] & np.uint64(0xFFFFFFFF)).astype(np.int64), marks.values.to_numpy()))
+            docs, rids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            lists = batch.column(3)
+            marks, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            mark_owner = np.repeat(np.arange(len(sizes)), sizes)
+            mark_at = np.concatenate([[0], np.cumsum(sizes)])
+            for owner, offset, pieces in blocks(units, ((i, unpack(z.as_py())) for i, z in enumerate(batch.column(2)) if z.is_valid)):
+                found = units.anchors(pieces)
+                first, end = anchor_runs(found.value, found.bounds)
+                of = np.searchsorted(found.bounds, first, side="right") - 1
+                owners = np.asarray(owner)[of] if len(of) else of
+                span = slice(mark_at[owner[0]], mark_at[owner[-1] + 1])
+                kept = np.flatnonzero(among(owners, found.value[first], marks[span], mark_owner[span]))
                 if not len(kept):
                     continue
-                fresh = np.concatenate([[True], kept[1:] != kept[:-1] + 1]) | ((anchors[first[kept]] >> np.uint64(40)) % np.uint64(units.cut) == 0)
-                heads = np.flatnonzero(fresh)
+                heads_value = found.value[first[kept]]
+                fresh = np.concatenate([[True], (kept[1:] != kept[:-1] + 1) | (of[kept[1:]] != of[kept[:-1]])]) | ((heads_value >> np.uint64(40)) % np.uint64(units.cut) == 0)
+                nth = np.arange(len(kept)) - np.maximum.accumulate(np.where(fresh, np.arange(len(kept)), 0))
+                heads = np.flatnonzero(fresh | (nth % LONGEST == 0))
                 tails = np.append(heads[1:], len(kept)) - 1
-                content = units.content(raw)
-                marked = anchors[first[kept[heads]]].view(np.int64).tolist()
-                for anchor, lo, hi in zip(marked, first[kept[heads]].tolist(), end[kept[tails]].tolist(), strict=True):
-                    text = content(lo, hi - lo + units.k - 1)
-                    key = xxh3_128_digest(text)
-                    rows.append((key, anchor, doc, lo, hi - lo, None if key in seen else text))
+                base = found.bounds[of[kept[heads]]]
+                columns = (heads_value[heads].view(np.int64), of[kept[heads]], first[kept[heads]] - base, end[kept[tails]] - base)
+                text, of_text = None, -1
+                for anchor, piece, lo, hi in zip(*[c.tolist() for c in columns], strict=True):
+                    if piece != of_text:
+                        text, of_text = units.content(pieces[piece]), piece
+                    value = text(lo, hi - lo + units.k - 1)
+                    key = xxh3_128_digest(value)
+                    i = owner[piece]
+                    rows.append((key, anchor, docs[i], rids[i], offset[piece] + lo, hi - lo, None if key in seen else value))
                     seen.add(key)
-                    if len(rows) >= 20_000:
-                        yield _batch(rows)
-                        rows = []
-            yield _batch(rows)
-
-    merged = shared.groupBy("doc_id").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
-    return packed.join(merged, "doc_id").select("doc_id", "z", "anchors").mapInArrow(cut, SEGMENTS)
+                if len(rows) >= 10_000:
+                    yield record_batch(rows, _SEGMENT_KINDS, SEGMENTS)
+                    rows = []
+            yield record_batch(rows, _SEGMENT_KINDS, SEGMENTS)
 
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SEGMENTS.split(", ")])
+    return packed.join(marked(shared), "rid").select("doc_id", "rid", "z", "anchors").mapInArrow(cut, SEGMENTS)
 
 
 def distinct_segments(found: DataFrame) -> DataFrame:
-    """One row per distinct segment: ``skey, anchor, origin struct<doc_id, start>, last, windows, content``.
+    """One row per distinct segment: ``skey, anchor, origin struct<doc_id, rid, start>, last, windows, content``.
 
     ``origin`` is where it starts in the smallest document that has it, ``last``
     the largest such document. Grouped minima are combined before the shuffle,
@@ -311,7 +427,7 @@ def distinct_segments(found: DataFrame) -> DataFrame:
     """
     return found.groupBy("skey").agg(
         F.first("anchor").alias("anchor"),
-        F.min(F.struct("doc_id", "start")).alias("origin"),
+        F.min(F.struct("doc_id", "rid", "start")).alias("origin"),
         F.max("doc_id").alias("last"),
         F.first("windows").alias("windows"),
         F.max("content").alias("content"),
@@ -319,22 +435,22 @@ def distinct_segments(found: DataFrame) -> DataFrame:
 
 
 def removed_spans(found: DataFrame, origins: DataFrame, k: int) -> DataFrame:
-    """``doc_id, spans array<struct<lo, hi>>``: the units of each document that repeated windows cover (spans may overlap).
+    """``rid, spans array<struct<lo, hi>>``: the units of each row that repeated windows cover (spans may overlap).
 
     ``origins`` has, per distinct segment, ``skey`` and ``runs
     array<struct<at, n, first>>``: n windows from window ``at`` on start in
     document ``first`` and no smaller one.
     """
-    hits = found.select("skey", "doc_id", "start").join(origins, "skey")
+    hits = found.select("skey", "doc_id", "rid", "start").join(origins, "skey")
     mine = F.filter("runs", lambda r: r["first"] < F.col("doc_id"))
     spans = F.transform(mine, lambda r: F.struct((F.col("start") + r["at"]).alias("lo"), (F.col("start") + r["at"] + r["n"] + k - 1).alias("hi")))
-    spans = hits.select("doc_id", spans.alias("spans")).where(F.size("spans") > 0)
-    return spans.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = hits.select("rid", spans.alias("spans")).where(F.size("spans") > 0)
+    return spans.groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def covered(lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
     """Which of n units the spans cover."""
-    steps = np.zeros(n + 1, dtype=np.int64)
+    steps = np.zeros(n + 1, dtype=np.int32)
     np.add.at(steps, lo, 1)
     np.add.at(steps, hi, -1)
     return np.cumsum(steps)[:n] > 0
@@ -348,7 +464,7 @@ def cleaned_documents(packed: DataFrame, spans: DataFrame, units: Units) -> Data
     as it was if nothing is removed.
     """
     carry = "row" in packed.columns
-    joined = packed.join(spans, "doc_id", "left").select("doc_id", "z", "spans", *["row"] * carry)
+    joined = packed.join(spans, "rid", "left").select("doc_id", "z", "spans", *["row"] * carry)
     numbers = {c: F.lit(0).cast("long") for c in ("units", "n_removed", "n_spans")}
     schema = joined.drop("z", "spans", "row").withColumns({**numbers, "kept_sha256": F.lit(""), **({"kept": F.lit(None).cast("string")} if carry else {})}).schema
     if carry:
@@ -364,22 +480,28 @@ def cleaned_documents(packed: DataFrame, spans: DataFrame, units: Units) -> Data
             rows = []
             for z, spans_ in zip(batch.column(1), batch.column(2), strict=True):
                 raw = unpack.decompress(z.as_py()) if z.is_valid else b""
-                words = _WORDS.findall(raw) if units.kind == "word" else None
-                n = len(raw if words is None else words)
-                gone = np.zeros(n, dtype=bool)
+                words = raw.split() if units.kind == "word" else None
+                n, cut, runs = len(raw if words is None else words), 0, 0
+                kept = raw if words is None else b" ".join(words)
                 if spans_.is_valid:
                     ends = spans_.values
                     gone = covered(ends.field("lo").to_numpy(), ends.field("hi").to_numpy(), n)
-                if words is None:
-                    kept = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()
-                else:
-                    kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]) if gone.any() else b" ".join(words)
-                runs = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + bool(n and gone[0]))
-                text = (kept if gone.any() else raw).decode(errors="ignore") if carry and z.is_valid else None
-                rows.append((n, int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), text))
+                    cut, runs = int(gone.sum()), int(np.count_nonzero(gone[1:] & ~gone[:-1]) + bool(n and gone[0]))
+                    if words is None:
+                        kept = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()
+                    else:
+                        kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
+                text = (kept if cut else raw).decode(errors="ignore") if carry and z.is_valid else None
+                rows.append((n, cut, runs, hashlib.sha256(kept).hexdigest(), text))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()][: 4 + carry]
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             names = ["doc_id", "units", "n_removed", "n_spans", "kept_sha256", "kept", "row"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[3:]], names[: 5 + 2 * carry])
 
     return joined.mapInArrow(clean, schema)
+
+
+def checked(docs: DataFrame, doc_id: str) -> DataFrame:
+    """``docs``, if its ids can be compared as whole numbers; else an error rather than ids that become null."""
+    integral(docs, doc_id)
+    return docs

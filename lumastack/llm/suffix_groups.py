@@ -6,21 +6,21 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialise
-from .repeats import Units, anchor_runs, cleaned_documents, distinct_segments, packed_documents, removed_spans, segments, shared_anchors, sliding_min
+from .repeats import Units, among, anchor_runs, blocks, checked, cleaned_documents, distinct_segments, marked, packed_documents, record_batch, removed_spans, row_id, segments, shared_anchors
 
 #: Bytes of a window, and of the m-gram that anchors it.
 WINDOW = 50
 ANCHOR = 32
 #: Segments end about every so many anchors.
-CUT = 8
-#: An anchor's runs up to this many bytes are one group; beyond it, their windows are grouped by content.
-GROUP_BYTES = 1 << 18
-#: Groups are sorted together up to about this many bytes.
-CHUNK_BYTES = 1 << 16
+CUT = 16
+#: A task sorts at most about this many bytes of one group's strings; a larger group is halved by where the anchor stands in the window.
+GROUP_BYTES = 1 << 20
+#: Small groups are sorted together up to about this many bytes.
+CHUNK_BYTES = 1 << 13
 
 
 def suffix_order(symbols: Sequence[int]) -> list[int]:
@@ -125,94 +125,109 @@ def window_origins(strings: list[tuple[bytes, int, int]], firsts: np.ndarray, la
     return out
 
 
-ORIGINS = "skey binary, at int, n int, first long"
-PIECES = "anchor long, skey binary, at int, first long, last long, place int, content binary"
+RUNS = "skey binary, at int, n int, first long, last long, anchor long, place int, content binary"
+_RUN_KINDS = (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+GROUP = ["anchor", "lo", "hi", "context"]
+SORTED = "anchor long, lo int, hi int, context binary, content binary, runs array<struct<at int, n int, first long>>"
 
 
-def _table(rows: list[tuple], kinds: tuple, schema: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [x.split()[0] for x in schema.split(", ")])
+def segment_runs(pieces: DataFrame, shared: DataFrame, units: Units) -> DataFrame:
+    """Distinct segments that share an anchor with another one, cut into runs of windows: ``RUNS``.
 
-
-def anchor_pieces(pieces: DataFrame, units: Units) -> DataFrame:
-    """Distinct segments cut into runs of windows with one anchor: ``PIECES``.
-
-    ``at`` is the run's first window in its segment, ``place`` where the
-    anchor's m-gram stands in the run's content, -1 if it occurs there twice.
+    A run whose anchor no other segment has stands for itself: ``content`` is
+    null, and all its windows start in the segment's own smallest document.
+    Neighbouring ones are one run. A run with a shared anchor brings its content;
+    ``place`` is where the anchor's m-gram stands in it, -1 if it occurs there
+    twice. It has at most k - m + 1 windows, so at most 2k - m bytes.
     """
-    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    w = units.k - units.m + 1
+    w, k = units.k - units.m + 1, units.k
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
         for batch in batches:
-            for key, first, last, content in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                grams = units.grams(content)
-                anchors = sliding_min(grams, w)
-                lo, hi = anchor_runs(anchors)
-                # where each run's anchor stands among the m-grams of the run's content; runs longer than w hold it twice
-                at_ = lo[:, None] + np.arange(2 * w - 1)
-                same = (grams[np.minimum(at_, len(grams) - 1)] == anchors[lo][:, None]) & (at_ < (hi + w - 1)[:, None])
-                single = (same.sum(axis=1) == 1) & (hi - lo <= w)
-                for anchor, a, b, p in zip(anchors[lo].view(np.int64).tolist(), lo.tolist(), hi.tolist(), np.where(single, same.argmax(axis=1), -1).tolist(), strict=True):
-                    rows.append((anchor, key, a, first, last, p, content[a : b + units.k - 1]))
+            rows: list[tuple] = []
+            keys, firsts, lasts = (batch.column(i).to_pylist() for i in range(3))
+            lists = batch.column(4)
+            marks, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            mark_owner, mark_at = np.repeat(np.arange(len(sizes)), sizes), np.concatenate([[0], np.cumsum(sizes)])
+            for owner, offset, texts in blocks(units, enumerate(batch.column(3).to_pylist())):
+                found = units.anchors(texts)
+                lo, hi = anchor_runs(found.value, found.bounds, w)
+                of = np.searchsorted(found.bounds, lo, side="right") - 1
+                span = slice(mark_at[owner[0]], mark_at[owner[-1] + 1])
+                meets = among(np.asarray(owner)[of], found.value[lo], marks[span], mark_owner[span])
+                # runs for themselves: one per stretch
+                opens = np.flatnonzero(meets | np.concatenate([[True], meets[:-1] | (of[1:] != of[:-1])]))
+                closes = np.append(opens[1:], len(lo)) - 1
+                lo, hi, of, meets = lo[opens], hi[closes], of[opens], meets[opens]
+                base = found.bounds[of]
+                anchors = found.value[lo]
+                at_ = found.place[lo][:, None] + np.arange(2 * w - 1)
+                same = (found.grams[np.minimum(at_, len(found.grams) - 1)] == anchors[:, None]) & (at_ < (found.place[hi - 1] + w)[:, None])
+                place = np.where(same.sum(axis=1) == 1, same.argmax(axis=1), -1)
+                columns = (of, lo - base, hi - base, meets, anchors.view(np.int64), place)
+                for p, a, b, meet, anchor, stands in zip(*[c.tolist() for c in columns], strict=True):
+                    i = owner[p]
+                    if meet:
+                        rows.append((keys[i], offset[p] + a, b - a, firsts[i], lasts[i], anchor, stands, texts[p][a : b + k - 1]))
+                    elif firsts[i] < lasts[i]:
+                        rows.append((keys[i], offset[p] + a, b - a, firsts[i], lasts[i], None, None, None))
                 if len(rows) >= 10_000:
-                    yield _table(rows, kinds, PIECES)
+                    yield record_batch(rows, _RUN_KINDS, RUNS)
                     rows = []
-        yield _table(rows, kinds, PIECES)
+            yield record_batch(rows, _RUN_KINDS, RUNS)
 
-    return pieces.select("skey", F.col("origin.doc_id").alias("first"), "last", "content").mapInArrow(cut, PIECES)
+    rows = pieces.join(marked(shared), "rid").select("skey", "first", "last", "content", "anchors")
+    return rows.mapInArrow(cut, RUNS)
 
 
-def sorted_origins(runs: DataFrame, units: Units) -> DataFrame:
-    """``ORIGINS`` of runs whose anchors' groups fit a task: the suffixes of a chunk of groups are sorted together.
+def sorted_origins(strings: DataFrame, units: Units) -> DataFrame:
+    """``SORTED`` of distinct strings in groups: the suffixes of a chunk of groups are sorted together.
 
-    All strings of a group hold the anchor's m-gram once, and so does each of
-    their windows: it becomes one symbol of the group's own, which halves what
-    is to be sorted. Groups in which it occurs twice in a string are sorted as
-    they are.
+    ``strings`` has ``GROUP``, ``place, content, first, last``. All strings of a
+    group hold the anchor's m-gram once, and so does each of their windows: it
+    becomes one symbol of the group's own, which halves what is to be sorted.
+    Groups in which it occurs twice in a string are sorted as they are.
     """
-    kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int64())
     k, m = units.k, units.m
+    names = [x.split()[0] for x in SORTED.split(", ")[:6]]
+    run = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("first", pa.int64())]))
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), run)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # per kind of string (short: the anchor as one symbol): strings and rows
-        held: dict[bool, tuple[dict[tuple[bytes, int, int], int], list[tuple]]] = {True: ({}, []), False: ({}, [])}
+        # per kind of string (short: the anchor as one symbol): its rows and strings
+        held: dict[bool, tuple[list[tuple], list[tuple[bytes, int, int]]]] = {True: ([], []), False: ([], [])}
         group: list[tuple] = []
         size = number = 0
 
         def close() -> None:
             nonlocal size, number
-            short = all(r[5] >= 0 for r in group)
-            strings, rows = held[short]
+            short = all(r[4] >= 0 for r in group)
+            rows, strings_ = held[short]
             for r in group:
-                c, p = r[6], r[5]
-                s = (c[:p] + b"\0" + c[p + m :], p, number) if short else (c, -1, 0)
-                if s not in strings:
-                    strings[s] = len(strings)
-                    size += len(s[0])
-                rows.append((r, strings[s]))
+                c, p = r[5], r[4]
+                strings_.append((c[:p] + b"\0" + c[p + m :], p, number) if short else (c, -1, 0))
+                size += len(strings_[-1][0])
+            rows += group
             number += 1
             group.clear()
 
         def settle() -> pa.RecordBatch:
             nonlocal size, number
             out: list[tuple] = []
-            for short, (strings, rows) in held.items():
+            for short, (rows, strings_) in held.items():
                 if rows:
-                    at_ = [i for _, i in rows]
-                    firsts, lasts = np.full(len(strings), np.iinfo(np.int64).max), np.full(len(strings), np.iinfo(np.int64).min)
-                    np.minimum.at(firsts, at_, [r[3] for r, _ in rows])
-                    np.maximum.at(lasts, at_, [r[4] for r, _ in rows])
-                    found = window_origins(list(strings), firsts, lasts, k - m + 1 if short else k)
-                    out += [(r[1], r[2] + at, n, first) for r, i in rows for at, n, first in found[i]]
-                strings.clear()
+                    firsts, lasts = np.array([r[6] for r in rows]), np.array([r[7] for r in rows])
+                    found = window_origins(strings_, firsts, lasts, k - m + 1 if short else k)
+                    out += [(*r[:4], r[5], [{"at": a, "n": n, "first": f} for a, n, f in runs]) for r, runs in zip(rows, found, strict=True) if runs]
+                strings_.clear()
                 rows.clear()
             size = number = 0
-            return _table(out, kinds, ORIGINS)
+            columns = zip(*out, strict=True) if out else [[]] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if group and row[0] != group[0][0]:
+                if group and row[:4] != group[0][:4]:
                     close()
                     if size >= CHUNK_BYTES:
                         yield settle()
@@ -221,39 +236,91 @@ def sorted_origins(runs: DataFrame, units: Units) -> DataFrame:
             close()
         yield settle()
 
-    return runs.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort, ORIGINS)
+    rows = strings.select(*GROUP, "place", "content", "first", "last")
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(sort, SORTED)
+
+
+def halves(runs: DataFrame, units: Units) -> DataFrame:
+    """Runs of groups that are too large, each in the halves of its group.
+
+    In a group's windows the anchor stands at lo to hi. Those where it stands in
+    the upper half share the bytes before it, those in the lower half the bytes
+    after it; these bytes name the new group, and strings are trimmed to its
+    windows. After five halvings a group is one window's content. A run that
+    holds its anchor twice is cut into its windows.
+    """
+    k, m = units.k, units.m
+    rest = k - m
+    n = F.octet_length("content")
+    after = n - F.col("place") - m
+
+    def half(lo: Column, hi: Column) -> DataFrame:
+        left, right = F.least("place", hi), F.least(after, F.lit(rest) - lo)
+        begin = F.col("place") - left
+        bytes_ = lambda start, length: F.substring("content", start + 1, length)
+        fits = (F.col("place") >= lo) & (after >= F.lit(rest) - hi) & (left + right >= rest)
+        parts = runs.where(F.col("place") >= 0).where(fits).select(
+            "skey",
+            (F.col("at") + begin).alias("at"),
+            "first",
+            "last",
+            "anchor",
+            lo.cast("int").alias("lo"),
+            hi.cast("int").alias("hi"),
+            F.concat(bytes_(F.col("place") - lo, lo), bytes_(F.col("place") + m, F.lit(rest) - hi)).alias("context"),
+            left.cast("int").alias("place"),
+            bytes_(begin, left + m + right).alias("content"),
+        )
+        return parts
+
+    middle = F.expr("(lo + hi + 1) div 2").cast("int")
+    twice = runs.where("place < 0").withColumn("o", F.explode(F.sequence(F.lit(0), n - k)))
+    window = F.substring("content", F.col("o") + 1, F.lit(k))
+    single = twice.select("skey", (F.col("at") + F.col("o")).alias("at"), "first", "last", "anchor", F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), window.alias("context"), "place", window.alias("content"))
+    return half(F.col("lo"), middle - 1).unionByName(half(middle, F.col("hi"))).unionByName(single)
+
+
+def run_origins(runs: DataFrame, units: Units, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """``skey, at, n, first`` of runs with shared anchors: which smallest document their windows start in.
+
+    Equal strings of a group are merged (smallest and largest document) before
+    they meet in a task; a group whose distinct strings exceed ``group_bytes``
+    (the edge of a phrase of very many documents) is halved, and its halves go
+    the same way.
+    """
+    level = runs.select("skey", "at", "first", "last", "anchor", F.lit(0).alias("lo"), F.lit(units.k - units.m).alias("hi"), F.lit(b"").alias("context"), "place", "content")
+    found = None
+    while True:
+        merged = materialise(level.groupBy(*GROUP, "content").agg(F.first("place").alias("place"), F.min("first").alias("first"), F.max("last").alias("last")), "suffix-strings")
+        sizes = merged.groupBy(*GROUP).agg(F.sum(F.octet_length("content").cast("long")).alias("bytes"))
+        large = materialise(sizes.where((F.col("bytes") > group_bytes) & (F.col("lo") < F.col("hi"))).select(*GROUP), "suffix-large")
+        more = large.limit(1).count()
+        fit = merged.join(large, GROUP, "left_anti") if more else merged
+        settled = materialise(sorted_origins(fit, units), "suffix-sorted")
+        hits = level.join(settled, [*GROUP, "content"]).select("skey", "at", F.explode("runs").alias("r"))
+        part = materialise(hits.select("skey", (F.col("at") + F.col("r.at")).alias("at"), F.col("r.n").alias("n"), F.col("r.first").alias("first")), "suffix-found")
+        found = part if found is None else found.union(part)
+        discard(merged, settled)
+        if not more:
+            return found
+        level = materialise(halves(level.join(large, GROUP, "left_semi"), units), "suffix-halves")
 
 
 def segment_origins(pieces: DataFrame, units: Units, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Per distinct segment ``skey, runs``: which smallest documents its windows start in; ``pieces`` is dropped.
 
-    Runs of windows meet in groups by anchor, as equal windows have one anchor.
-    If a group's runs have one content, all its windows start in the group's
-    smallest document. Otherwise one task sorts the group's suffixes. Anchors
-    whose runs exceed ``group_bytes`` (a phrase of very many documents, a text
-    that repeats itself) are not brought together: their single windows are
-    grouped by content, combined before the shuffle, and joined back.
+    Windows of two segments can only be equal under an anchor of both. Segments
+    without such an anchor, and runs under an anchor of one segment only, have
+    their own smallest document; all else is sorted.
     """
-    k = units.k
-    columns = [x.split()[0] for x in PIECES.split(", ")]
-    runs = materialise(anchor_pieces(pieces, units), "suffix-runs")
-    discard(pieces)
-    h, n = F.xxhash64("content"), F.octet_length("content")
-    groups = runs.groupBy("anchor").agg(F.min(h).alias("h0"), F.max(h).alias("h1"), F.sum(n.cast("long")).alias("bytes"), F.min("first").alias("least"), F.max("last").alias("most"))
-    groups = materialise(groups.where("least < most"), "suffix-groups")
-    one, several = F.col("h0") == F.col("h1"), F.col("h0") != F.col("h1")
-    alone = runs.join(groups.where(one).select("anchor", "least"), "anchor").select("skey", "at", (n - (k - 1)).alias("n"), F.col("least").alias("first"))
-    alone = materialise(alone, "suffix-alone")
-    fit = runs.join(groups.where(several & (F.col("bytes") <= group_bytes)).select("anchor"), "anchor", "left_semi").select(*columns)
-    fit = materialise(sorted_origins(fit, units), "suffix-sorted")
-    windows = runs.join(groups.where(several & (F.col("bytes") > group_bytes)).select("anchor"), "anchor", "left_semi").withColumn("o", F.explode(F.sequence(F.lit(0), n - k)))
-    windows = materialise(windows.select("skey", (F.col("at") + F.col("o")).alias("at"), "first", "last", F.substring("content", F.col("o") + 1, F.lit(k)).alias("window")), "suffix-windows")
-    discard(runs, groups)
-    best = windows.groupBy("window").agg(F.min("first").alias("least"), F.max("last").alias("most")).where("least < most")
-    large = windows.join(best, "window").select("skey", "at", F.lit(1).alias("n"), F.col("least").alias("first"))
-    found = alone.union(fit).union(large)
+    flat = pieces.select("skey", F.col("origin.doc_id").alias("first"), "last", "windows", "content", F.xxhash64("skey").alias("rid"))
+    shared = materialise(shared_anchors(flat, units, text="content"), "suffix-shared")
+    runs = materialise(segment_runs(flat, shared, units), "suffix-runs")
+    whole = flat.where("first < last").join(shared.select("rid").distinct(), "rid", "left_anti").select("skey", F.lit(0).alias("at"), F.col("windows").alias("n"), "first")
+    lone = runs.where("content IS NULL").select("skey", "at", "n", "first")
+    found = whole.union(lone).union(run_origins(runs.where("content IS NOT NULL"), units, group_bytes))
     out = materialise(found.groupBy("skey").agg(F.collect_list(F.struct("at", "n", "first")).alias("runs")), "suffix-origins")
-    discard(alone, fit, windows)
+    discard(pieces, shared, runs)
     return out
 
 
@@ -264,14 +331,16 @@ def remove_repeated_bytes(
 
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and with
     ``carry`` also ``kept`` (the text left, without torn characters) and ``row``
-    (the other columns). Strings are
-    judged on the input and never cross documents. Null texts are empty; texts
-    shorter than k keep all; rows with a null doc_id are neither judged nor
-    judge; repeated rows don't remove each other; an empty table gives no rows.
+    (the other columns by position). Strings are judged on the input and never
+    cross documents. Null texts are empty; texts shorter than k keep all; rows
+    with a null doc_id are neither judged nor judge; repeated rows, and different
+    texts that share a doc_id, don't remove each other and keep their own spans;
+    ids that are no whole numbers are an error; an empty table gives no rows.
     """
     units = Units("byte", k, anchor, CUT)
-    packed = packed_documents(docs, doc_id, text, carry)
-    found = materialise(segments(packed, shared_anchors(docs, units, doc_id, text), units), "suffix-segments")
+    packed = packed_documents(checked(docs, doc_id), doc_id, text, carry)
+    shared = shared_anchors(docs.select(row_id(doc_id, text).alias("rid"), F.col(text).alias("text")), units)
+    found = materialise(segments(packed, shared, units), "suffix-segments")
     pieces = materialise(distinct_segments(found), "suffix-pieces")
     origins = segment_origins(pieces, units)
     spans = materialise(removed_spans(found, origins, k), "suffix-spans")
