@@ -60,6 +60,16 @@ def integral(df: DataFrame, column: str) -> None:
         raise TypeError(f"{column} must be a whole number, not {df.schema[column].dataType.simpleString()}")
 
 
+def carried(docs: DataFrame, *but: str) -> Column:
+    """All columns of ``docs`` except ``but`` as one struct, by position: no name can clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns) if c not in but], F.lit(0).alias("_"))
+
+
+def restored(rows: DataFrame, docs: DataFrame, row: str = "row", **others: Column) -> DataFrame:
+    """The columns of ``docs`` again from the struct ``row``; ``others`` replaces some."""
+    return rows.select(*[others.get(c, F.col(row)[f"_{i}"]).alias(c) for i, c in enumerate(docs.columns)])
+
+
 def spread(key: Column | str, buckets: int) -> Column:
     """An even, repeatable bucket number of a key."""
     return F.pmod(F.xxhash64(F.col(key) if isinstance(key, str) else key), F.lit(buckets))

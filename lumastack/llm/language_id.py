@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bound of the fitted sample: per language this many documents, this many characters of each, this many bytes in all.
+#: Bound of the fitted sample: per language this many documents and this many characters of each, of which the last
+#: ``DICTIONARY_BYTES`` bytes (in hash order of the documents) are the dictionary. At most ``MAX_LANGUAGES`` times
+#: ``SAMPLE_DOCS`` times ``SAMPLE_CHARS`` characters (134 million) reach the driver, one language's rows at a time being usual.
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 4096
 DICTIONARY_BYTES = 96 * 1024

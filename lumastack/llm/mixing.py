@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, bucket_count, materialise
+from .common import WORD, bucket_count, carried, materialise, restored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
@@ -71,7 +71,7 @@ def schedule(plan: DataFrame, total: int) -> DataFrame:
     """
     spark = plan.sparkSession
     bits = max(1, (max(total, 1) - 1).bit_length())
-    stretch = 1 << max(0, bits - 10)
+    stretch = 1 << (bits // 2)
     point = F.conv(F.reverse(F.lpad(F.bin("id"), bits, "0")), 2, 10).cast("long")
     cell = 1 << max(0, bits - 12)
     cells = plan.where("slots > 0").select(
@@ -142,15 +142,25 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixture as documents (``doc_id``, ``text``, ``source`` and any others): one row per document and pass that takes words of it.
 
     A wholly taken document keeps its text; where a source's target ends within
-    a document, the text is its taken words joined by one space. Rows alike in
-    doc_id and text take what the first of them takes.
+    a document, the text is its taken words joined by one space. Each of several
+    rows alike in doc_id and text takes its own share. Columns of any name pass
+    through.
     """
     placed, pieces, _ = mix(docs, **options)
     spans = pieces.groupBy("uid", "epoch").agg(F.max(F.col("from_word") + F.col("words")).alias("upto"))
     takes = placed.select("uid", "doc_id", "order", "size").join(spans, "uid").groupBy("doc_id", "order", "uid", "size").agg(F.sort_array(F.collect_list("upto"), False).alias("takes"))
-    takes = takes.groupBy("doc_id", "order").agg(F.min(F.struct("uid", "takes", "size")).alias("t"))
-    takes = takes.select(F.col("doc_id").alias("id_"), F.col("order").alias("order_"), F.col("t.takes").alias("takes_"), F.col("t.size").alias("size_"))
-    joined = docs.join(takes, (F.xxhash64("doc_id", F.xxhash64("text")) == F.col("order_")) & F.col("doc_id").eqNullSafe(F.col("id_")))
-    joined = joined.withColumn("upto_", F.explode("takes_"))
-    words = F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("upto_").cast("int"))
-    return joined.withColumn("text", F.when(F.col("upto_") >= F.col("size_"), F.col("text")).otherwise(F.concat_ws(" ", words))).select(*docs.columns)
+    key = [F.col("doc_id"), F.xxhash64("doc_id", F.xxhash64("text")).alias("order"), "text", carried(docs).alias("row")]
+    rows = docs.select(*key)
+    alike = placed.groupBy("doc_id", "order").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("id"), F.col("order").alias("twin"))
+    if alike.limit(1).count():
+        # only rows that repeat are numbered, so no other text is shuffled for it
+        same = lambda t: t["doc_id"].eqNullSafe(F.col("id")) & (t["order"] == F.col("twin"))
+        takes = takes.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "order").orderBy("uid")))
+        numbered = rows.join(alike, same(rows), "left_semi").withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "order").orderBy("text")))
+        rows = rows.join(alike, same(rows), "left_anti").withColumn("copy", F.lit(1)).unionByName(numbered)
+    else:
+        takes, rows = takes.withColumn("copy", F.lit(1)), rows.withColumn("copy", F.lit(1))
+    takes = takes.select(F.col("doc_id").alias("id"), F.col("order").alias("twin"), F.col("copy").alias("nth"), "size", "takes")
+    taken = rows.join(takes, rows["doc_id"].eqNullSafe(F.col("id")) & (F.col("order") == F.col("twin")) & (F.col("copy") == F.col("nth"))).withColumn("upto", F.explode("takes"))
+    words = F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("upto").cast("int"))
+    return restored(taken, docs, text=F.when(F.col("upto") >= F.col("size"), F.col("text")).otherwise(F.concat_ws(" ", words)))

@@ -8,17 +8,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bucket_count, materialise, spread
+from .common import bucket_count, integral, materialise, spread
 
 CAPACITY = 2048
 END_ID = 1
 TOKENIZER = "byte_bpe_50k.json"
-#: Distinct units (a blank and what follows it) whose ids a Python worker keeps.
-KEPT_UNITS = 1_000_000
+#: Distinct units (a blank and what follows it) whose ids a task keeps in each of two generations; what isn't used again is dropped with the older one.
+KEPT_UNITS = 150_000
+#: Characters of the texts that are encoded together.
+BATCH_CHARS = 1 << 20
 
 #: A blank between blanks (or at the end): only there a cut before a single blank could part a token.
 _UNSAFE = re.compile(r"\s \s|\s $")
@@ -31,8 +34,8 @@ class UnitEncoder:
     The byte-level pre-tokenizer never joins what stands before a blank with
     the blank, if not both sides are blank; nor a letter with a line feed or a
     closing mark after it. Texts are cut there, and each distinct unit is
-    encoded once; other texts are encoded whole. New units go to the tokenizer
-    as lines of one text, whose ids are dealt out again by their bytes.
+    encoded once while it is kept; other texts are encoded whole. Two generations
+    of ``KEPT_UNITS`` bound the memory; the encoder ends with its task.
     """
 
     def __init__(self, path: str):
@@ -45,6 +48,7 @@ class UnitEncoder:
         for token, i in vocabulary.items():
             self.width[i] = len(token)
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -66,46 +70,71 @@ class UnitEncoder:
         return parts
 
     def _learn(self, units: set[str]) -> None:
-        cut = {u: self._parts(u) for u in units}
-        new = {p for parts in cut.values() for p in parts if p not in self.kept}
-        lines = [p for p in new if not p[-1].isspace() and (not p[0].isspace() or p[0] == " " and not p[1].isspace())]
-        for p in new.difference(lines):
-            self.kept[p] = self._ids(p).tobytes()
-        if lines:
-            ids = self._ids("\n".join(lines))
+        """Encode units that are not kept: their parts as lines of one text, whose ids are dealt out again by their bytes."""
+        kept, whole, cut = self.kept, [], {}
+        for u in units:
+            if "\n" in u or u[-1:] in _CLOSING:
+                parts = self._parts(u)
+                if len(parts) != 1:
+                    cut[u] = parts
+                    continue
+            whole.append(u)
+        new = dict.fromkeys(whole)
+        for parts in cut.values():
+            for p in parts:
+                if p not in kept and p not in self.older:
+                    new[p] = None
+        lines = [p for p in new if p and not p[-1].isspace() and (not p[0].isspace() or p[0] == " " and not p[1].isspace())]
+        for p in new.keys() - set(lines) if len(lines) < len(new) else ():
+            kept[p] = self._ids(p).tobytes()
+        for at in range(0, len(lines), 20_000):
+            part = lines[at : at + 20_000]
+            text = "\n".join(part)
+            ids = self._ids(text)
             raw, reached = ids.tobytes(), np.cumsum(self.width[ids])
-            ends = np.cumsum([len(p.encode()) + 1 for p in lines]) - 1
-            stops = (np.searchsorted(reached, ends) + 1).tolist()
-            starts = [0, *[x + 1 for x in stops[:-1]]]
-            for p, lo, hi in zip(lines, starts, stops, strict=True):
-                self.kept[p] = raw[4 * lo : 4 * hi]
+            line_feeds = np.flatnonzero(np.frombuffer(text.encode(), dtype=np.uint8) == 10)
+            ends = np.append(line_feeds, self.width[ids].sum())
+            stops = 4 * np.searchsorted(reached, ends) + 4
+            starts = np.concatenate([[0], stops[:-1] + 4])
+            kept.update({p: raw[lo:hi] for p, lo, hi in zip(part, starts.tolist(), stops.tolist(), strict=True)})
         for unit, parts in cut.items():
-            if len(parts) != 1:
-                self.kept[unit] = b"".join([self.kept[p] for p in parts])
+            kept[unit] = b"".join([kept[p] if p in kept else self.older[p] for p in parts])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        kept, older = self.kept, self.older
+        out: list[bytes] = [b""] * len(texts)
+        open_: list[tuple[int, list[bytes | None], list[tuple[int, str]]]] = []
+        missing: set[str] = set()
+        for i, text in enumerate(texts):
+            if "<|" in text or "\0" in text or _UNSAFE.search(text):
+                out[i] = self._ids(text).tobytes()
+                continue
+            units = text.replace(" ", "\0 ").split("\0")
+            found = list(map(kept.get, units))
+            if None not in found:
+                out[i] = b"".join(found)
+                continue
+            gaps = [(at, u) for at, (u, f) in enumerate(zip(units, found, strict=True)) if f is None]
+            if older:
+                for at, u in gaps:
+                    if (f := older.get(u)) is not None:
+                        kept[u] = found[at] = f
+                gaps = [g for g in gaps if found[g[0]] is None]
+            missing.update([u for _, u in gaps])
+            open_.append((i, found, gaps))
+        if missing:
+            self._learn(missing)
+        for i, found, gaps in open_:
+            for at, u in gaps:
+                found[at] = kept[u]
+            out[i] = b"".join(found)
+        if len(self.kept) > KEPT_UNITS:
+            self.older, self.kept = self.kept, {}
+        return out
 
     def __call__(self, text: str) -> bytes:
-        if "<|" in text or "\0" in text or _UNSAFE.search(text):
-            return self._ids(text).tobytes()
-        units = text.replace(" ", "\0 ").split("\0")
-        found = list(map(self.kept.get, units))
-        if None in found:
-            if len(self.kept) > KEPT_UNITS:
-                self.kept.clear()
-                self._learn(set(units))
-            else:
-                self._learn({u for u, f in zip(units, found, strict=True) if f is None})
-            found = list(map(self.kept.get, units))
-        return b"".join(found)
-
-
-_ENCODERS: dict[str, UnitEncoder] = {}
-
-
-def encoder(path: str) -> UnitEncoder:
-    """The Python worker's encoder, kept from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
-    return _ENCODERS[path]
+        return self.encode([text])[0]
 
 
 def token_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -115,16 +144,21 @@ def token_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, end = encoder(path), np.asarray([end_id], dtype="<u4").tobytes()
+        encoder, end = UnitEncoder(path), np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            out: list[tuple] = []
-            for doc, row, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                ids = encode(value.as_py() or "") + end
-                n = len(ids) // 4
-                out += [(doc, row, at, min(capacity, n - at), zlib.crc32(ids[4 * at : 4 * (at + capacity)]), n) for at in range(0, n, capacity)]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "row", "start", "length", "ids_crc32", "doc_tokens"])
-
+            names, texts = (batch.column(0).to_pylist(), batch.column(1).to_pylist()), batch.column(2)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // BATCH_CHARS
+            cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                out: list[tuple] = []
+                for doc, row, ids in zip(names[0][lo:hi], names[1][lo:hi], encoder.encode([v or "" for v in texts[lo:hi].to_pylist()]), strict=True):
+                    ids += end
+                    n = len(ids) // 4
+                    out += [(doc, row, at, min(capacity, n - at), zlib.crc32(ids[4 * at : 4 * (at + capacity)]), n) for at in range(0, n, capacity)]
+                columns = list(zip(*out, strict=True)) if out else [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "row", "start", "length", "ids_crc32", "doc_tokens"])
+
+    integral(docs, doc_id)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("row"), F.col(text).alias("text"))
     return rows.mapInArrow(pieces, "doc_id long, row long, start long, length long, ids_crc32 long, doc_tokens long")
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import integral
+from .common import carried, integral
 
 #: Bytes of text that are hashed together: short texts are joined to blocks, long ones are cut.
 BLOCK = 1 << 17
@@ -236,9 +236,8 @@ def row_id(doc_id: str, text: str) -> Column:
 
 def packed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """``doc_id long, rid long, z binary``: whole texts as zstandard frames (null: null), so that shuffles move less. With ``carry`` also ``row struct`` of all columns but the text, by position."""
-    names = [c for c in docs.columns if c != text]
-    rest = F.struct(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], F.lit(0).alias("_")).alias("row")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_id(doc_id, text).alias("rid"), F.col(text).cast("binary").alias("z"), *[rest] * carry)
+    rest = [carried(docs, text).alias("row")] * carry
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_id(doc_id, text).alias("rid"), F.col(text).cast("binary").alias("z"), *rest)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard

@@ -186,7 +186,8 @@ def sorted_origins(strings: DataFrame, units: Units) -> DataFrame:
     ``strings`` has ``GROUP``, ``place, content, first, last``. All strings of a
     group hold the anchor's m-gram once, and so does each of their windows: it
     becomes one symbol of the group's own, which halves what is to be sorted.
-    Groups in which it occurs twice in a string are sorted as they are.
+    Groups in which it occurs twice in a string are sorted as they are. A group
+    of one string has nothing to sort: all its windows have that string's documents.
     """
     k, m = units.k, units.m
     names = [x.split()[0] for x in SORTED.split(", ")[:6]]
@@ -197,10 +198,16 @@ def sorted_origins(strings: DataFrame, units: Units) -> DataFrame:
         # per kind of string (short: the anchor as one symbol): its rows and strings
         held: dict[bool, tuple[list[tuple], list[tuple[bytes, int, int]]]] = {True: ([], []), False: ([], [])}
         group: list[tuple] = []
+        whole: list[tuple] = []
         size = number = 0
 
         def close() -> None:
             nonlocal size, number
+            if len(group) == 1:
+                r = group.pop()
+                if r[6] < r[7]:
+                    whole.append((*r[:4], r[5], [{"at": 0, "n": len(r[5]) - k + 1, "first": r[6]}]))
+                return
             short = all(r[4] >= 0 for r in group)
             rows, strings_ = held[short]
             for r in group:
@@ -213,7 +220,8 @@ def sorted_origins(strings: DataFrame, units: Units) -> DataFrame:
 
         def settle() -> pa.RecordBatch:
             nonlocal size, number
-            out: list[tuple] = []
+            out = whole.copy()
+            whole.clear()
             for short, (rows, strings_) in held.items():
                 if rows:
                     firsts, lasts = np.array([r[6] for r in rows]), np.array([r[7] for r in rows])
@@ -229,7 +237,7 @@ def sorted_origins(strings: DataFrame, units: Units) -> DataFrame:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if group and row[:4] != group[0][:4]:
                     close()
-                    if size >= CHUNK_BYTES:
+                    if size >= CHUNK_BYTES or len(whole) >= 10_000:
                         yield settle()
                 group.append(row)
         if group:
