@@ -181,7 +181,8 @@ def p16(spark, sf):
     return point.adjust(rgb, contrast=20, brightness=-10, hue=30, saturation=-20, fade=10)
 
 
-PAL = "[" + ", ".join(f"[{a}, {b}, {c}]" for a, b, c in point.PALETTE) + "]"
+#: The palette as SQL has it, apart from the operator's. Fixed values.
+PAL = "[[240,60,60],[60,210,60],[60,100,240],[240,200,50],[200,60,200],[50,200,200],[240,130,50],[150,60,240],[60,240,150],[240,60,150],[110,200,60],[60,150,240]]"
 
 
 @query("p17_label_overlay", PX + f", g AS (SELECT {PIX}, CAST(floor(greatest(0, least(1, v / 4095::DOUBLE)) * 255) AS INT) v, CASE WHEN v >= 800 THEN y // 10 + 1 END l FROM px) SELECT {PIX}, " + ", ".join(f"CAST(floor(least(255, round(CASE WHEN l IS NULL THEN v ELSE v * 0.6 + {PAL}[(l - 1) % 12 + 1][{i}] * 0.4 END, 6))) AS INT) {k}" for i, k in enumerate("rgb", 1)) + " FROM g")

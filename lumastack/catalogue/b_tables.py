@@ -221,9 +221,16 @@ def j7(spark, sf):
     return joins.combined_metadata(ch, cat).select("n", F.round("mean_step", 6).alias("mean_step"), listed.alias("listed"))
 
 
-@query("j8_axis_suggestion", "WITH n AS (SELECT regexp_replace(url, '.*/', '_z') u FROM pages), h AS (SELECT count(*) FILTER (regexp_matches(u, '(?i)[_\\-.]t(ime)?\\d+')) a, count(*) FILTER (regexp_matches(u, '(?i)[_\\-.]z\\d+')) b, count(*) FILTER (regexp_matches(u, '(?i)[_\\-.](m|pos|xy|p)\\d+')) c, count(*) FILTER (regexp_matches(u, '(?i)[_\\-.](c|ch)\\d+')) d FROM n) SELECT CASE WHEN a >= 2 THEN 't' WHEN b >= 2 THEN 'z' WHEN c >= 2 THEN 'm' WHEN d >= 2 THEN 'c' END axis FROM h")
+#: Patterns without lookahead: "not followed by a letter" is "a digit, then no letter or the end". Fixed values.
+NAME_SQL = [(r"count\d+", "T"), (r"time\d+", "T"), (r"t\d([^a-z]|$)", "T"), (r"zstack\d+", "Z"), (r"z\d([^a-z]|$)", "Z"), (r"pos\d+", "M"), (r"m\d([^a-z]|$)", "M"), (r"p\d([^a-z]|$)", "M"), (r"channel\w+", "C"), (r"ch\d+", "C"), (r"c\d([^a-z]|$)", "C")]
+
+
+@query(
+    "j8_axis_suggestion",
+    "WITH n AS (SELECT lower(regexp_extract(url, '[^/]*$')) u FROM pages), h AS (SELECT " + ", ".join(f"count(*) FILTER (regexp_matches(u, '{p}')) h{i}" for i, (p, _) in enumerate(NAME_SQL)) + " FROM n) SELECT CASE " + " ".join(f"WHEN h{i} >= 2 THEN '{a}'" for i, (_, a) in enumerate(NAME_SQL)) + " END axis FROM h",
+)
 def j8(spark, sf):
-    return joins.suggest_axis(table(spark, sf, "pages").select(F.regexp_replace("url", r".*/", "_z").alias("u")), "u")
+    return joins.suggest_axis(table(spark, sf, "pages"), "url")
 
 
 @query("j11_nearest_detection", LAB + ", r AS (SELECT t, label_id lid, avg(y) cy, avg(x) cx FROM lab GROUP BY 1, 2), d AS (SELECT t, y * 64 + x i, y, x, v score FROM px WHERE v >= 800) SELECT r.t, lid, score FROM r JOIN d USING (t) QUALIFY row_number() OVER (PARTITION BY r.t, lid ORDER BY round((cy - y) * (cy - y) + (cx - x) * (cx - x), 6), i) = 1")
@@ -348,14 +355,14 @@ BOX = OBJ + ", b AS (SELECT label_id track_id, min(y0) y0, min(x0) x0, max(y1) y
 def r19(spark, sf):
     from ..operators.track import crop_boxes
 
-    return crop_boxes(objects(spark, sf).withColumn("track_id", F.col("label_id")), 50, 64)
+    return crop_boxes(objects(spark, sf).withColumn("track_id", F.col("label_id")), 50, 64).drop("source_file", "m", "c")
 
 
 @query("r20_gallery_layout", BOX + " SELECT track_id, CAST((row_number() OVER (ORDER BY track_id) - 1) // 6 AS INT) page, CAST((row_number() OVER (ORDER BY track_id) - 1) % 6 AS INT) place, max(cy1 - cy0) OVER () pad_h, max(cx1 - cx0) OVER () pad_w FROM crops")
 def r20(spark, sf):
     from ..operators.track import crop_boxes, gallery_layout
 
-    return gallery_layout(crop_boxes(objects(spark, sf).withColumn("track_id", F.col("label_id")), 50, 64), 6)
+    return gallery_layout(crop_boxes(objects(spark, sf).withColumn("track_id", F.col("label_id")), 50, 64), 6).drop("source_file", "m", "c")
 
 
 LATENCY = """WITH r AS (SELECT event_type event, value / 1000 ms, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 i, count(*) OVER (PARTITION BY event_type) n FROM events WHERE value IS NOT NULL)

@@ -481,8 +481,8 @@ def a8(spark, sf):
 @query("a9_track_gallery", BOX.replace(", g AS (", ", gb AS (").replace(" FROM g)", " FROM gb)") + ", mem AS (SELECT DISTINCT frame t, label_id track_id FROM ob) SELECT track_id, t, y - cy0 y, x - cx0 x, CAST(floor(greatest(0, least(1, v / 4095::DOUBLE)) * 255) AS INT) r FROM px JOIN mem USING (t) JOIN crops USING (track_id) WHERE y >= cy0 AND y < cy1 AND x >= cx0 AND x < cx1")
 def a9(spark, sf):
     o = objects(spark, sf).withColumn("track_id", F.col("label_id"))
-    g = point.apply_lut(frames(spark, sf), 0, 4095).select("t", "y", "x", F.col("v").alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b"))
-    return track.gallery(g, track.crop_boxes(o, H, W), o.select(F.col("frame").alias("t"), "track_id").distinct()).select("track_id", "t", "y", "x", "r")
+    g = point.apply_lut(frames(spark, sf), 0, 4095).select("source_file", "m", "c", "t", "y", "x", F.col("v").alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b"))
+    return track.gallery(g, track.crop_boxes(o, H, W), o.select("source_file", "m", "c", F.col("frame").alias("t"), "track_id").distinct()).select("track_id", "t", "y", "x", "r")
 
 
 @query("a14_recipe", PX + f", n AS (SELECT {PIX}, CAST(floor(pow(v / 4095, 0.8) * 4095) AS INT) v FROM px), a AS (SELECT {PIX}, v, min(v) OVER (PARTITION BY t, y ORDER BY x RANGE BETWEEN 4 PRECEDING AND 4 FOLLOWING) b FROM n), b AS (SELECT {PIX}, v, min(b) OVER (PARTITION BY t, x ORDER BY y RANGE BETWEEN 4 PRECEDING AND 4 FOLLOWING) b FROM a), d AS (SELECT {PIX}, v, max(b) OVER (PARTITION BY t, x ORDER BY y RANGE BETWEEN 4 PRECEDING AND 4 FOLLOWING) b FROM b), e AS (SELECT {PIX}, v, max(b) OVER (PARTITION BY t, y ORDER BY x RANGE BETWEEN 4 PRECEDING AND 4 FOLLOWING) b FROM d) SELECT {PIX}, greatest(v - b, 0) v FROM e")

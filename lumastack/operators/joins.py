@@ -36,15 +36,28 @@ def axis_mismatches(shapes: DataFrame, axes: Sequence[str], chain_axis: str) ->
     return long.groupBy("axis").agg(F.count_distinct("size").alias("n_values")).where("n_values > 1")
 
 
-#: File-name patterns of chain axes, tried in this order.
-NAME_PATTERNS = [("t", r"(?i)[_\-.]t(ime)?\d+"), ("z", r"(?i)[_\-.]z\d+"), ("m", r"(?i)[_\-.](m|pos|xy|p)\d+"), ("c", r"(?i)[_\-.](c|ch)\d+")]
+#: (pattern, axis): lower-case file names' patterns of chain axes, tried in this order. Fixed values.
+NAME_PATTERNS = [
+    (r"count\d+", "T"),
+    (r"time\d+", "T"),
+    (r"t\d+(?![a-z])", "T"),
+    (r"zstack\d+", "Z"),
+    (r"z\d+(?![a-z])", "Z"),
+    (r"pos\d+", "M"),
+    (r"m\d+(?![a-z])", "M"),
+    (r"p\d+(?![a-z])", "M"),
+    (r"channel\w+", "C"),
+    (r"ch\d+", "C"),
+    (r"c\d+(?![a-z])", "C"),
+]
 
 
 def suggest_axis(names: DataFrame, column: str, patterns: Sequence[tuple[str, str]] = NAME_PATTERNS) -> DataFrame:
-    """``axis``: that of the first pattern that two names at least match."""
-    hits = names.agg(*[F.count_if(F.col(column).rlike(p)).alias(f"h{i}") for i, (_, p) in enumerate(patterns)])
+    """``axis``: that of the first pattern that the last parts of two paths at least match, in lower case."""
+    name = F.lower(F.regexp_extract(F.col(column), r"[^/]*$", 0))
+    hits = names.agg(*[F.count_if(name.rlike(p)).alias(f"h{i}") for i, (p, _) in enumerate(patterns)])
     axis = F.lit(None).cast("string")
-    for i, (a, _) in reversed(list(enumerate(patterns))):
+    for i, (_, a) in reversed(list(enumerate(patterns))):
         axis = F.when(F.col(f"h{i}") >= 2, a).otherwise(axis)
     return hits.select(axis.alias("axis"))
 

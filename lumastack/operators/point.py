@@ -14,13 +14,13 @@ from ..registry import step
 
 #: Bit depths and their largest values.
 BIT_DEPTHS = {8: 255, 10: 1023, 12: 4095, 14: 16383, 16: 65535}
-#: Named display colours.
+#: Named display colours. Fixed values.
 COLOURS = {
-    "red": (255, 0, 0), "green": (0, 255, 0), "blue": (0, 0, 255), "cyan": (0, 255, 255), "magenta": (255, 0, 255), "yellow": (255, 255, 0),
-    "white": (255, 255, 255), "gray": (200, 200, 200), "orange": (255, 165, 0),
+    "gray": (255, 255, 255), "green": (0, 255, 0), "red": (255, 0, 0), "blue": (0, 100, 255), "cyan": (0, 255, 255), "magenta": (255, 0, 255),
+    "yellow": (255, 255, 0), "orange": (255, 165, 0), "white": (255, 255, 255),
 }
-#: Label colours, repeated.
-PALETTE = [(230, 60, 60), (60, 200, 80), (70, 110, 230), (240, 200, 50), (60, 210, 220), (220, 80, 210), (250, 140, 40), (140, 90, 220), (150, 220, 60), (240, 130, 170), (60, 150, 140), (180, 130, 80)]
+#: Label colours, repeated. Fixed values.
+PALETTE = [(240, 60, 60), (60, 210, 60), (60, 100, 240), (240, 200, 50), (200, 60, 200), (50, 200, 200), (240, 130, 50), (150, 60, 240), (60, 240, 150), (240, 60, 150), (110, 200, 60), (60, 150, 240)]
 
 
 def inside(v: Column, method: str, low: float | Column | None = None, high: float | Column | None = None) -> Column:

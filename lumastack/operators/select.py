@@ -82,16 +82,20 @@ def even_frames(pixels: DataFrame, k: int) -> DataFrame:
     return pixels.where(F.col("t").isin(*even_indices(n, k)))
 
 
-#: Groups of measurement columns, and those shown by default.
+#: Groups of measurement columns, and those shown by default. Fixed values.
 COLUMN_GROUPS = {
-    "identity": ["segmentation_channel", "frame", "label_id"],
-    "size": ["area_px", "area_um2", "volume_um3"],
-    "place": ["centroid_y_px", "centroid_x_px", "centroid_y_um", "centroid_x_um"],
-    "shape": ["perimeter", "circularity", "eccentricity", "solidity"],
-    "change": ["delta_area_px", "delta_area_um2", "delta_volume_um3"],
-    "track": ["track_id", "track_length"],
+    "Identity": ["segmentation_channel", "frame", "label_id", "m_position"],
+    "Size": ["area_px", "area_um2", "volume_um3"],
+    "Change (Δ)": ["delta_area_px", "delta_area_um2", "delta_volume_um3"],
+    "Position": ["centroid_y_px", "centroid_x_px", "centroid_y_um", "centroid_x_um", "centroid_y_stage_um", "centroid_x_stage_um"],
+    "Shape": ["perimeter", "circularity", "eccentricity", "solidity"],
+    "Bounding box": ["bbox_min_row", "bbox_min_col", "bbox_max_row", "bbox_max_col"],
+    "Tracking": ["track_id", "track_length", "track_validation"],
 }
-DEFAULT_COLUMNS = [*COLUMN_GROUPS["identity"], "area_px", "circularity", "track_id"]
+DEFAULT_COLUMNS = [
+    "segmentation_channel", "frame", "label_id", "area_px", "area_um2", "delta_area_um2", "centroid_y_um", "centroid_x_um",
+    "circularity", "eccentricity", "solidity", "track_id", "track_length", "track_validation",
+]
 
 
 def select_columns(rows: DataFrame, selected: Sequence[str], known: Sequence[str] | None = None) -> DataFrame:

@@ -12,25 +12,36 @@ from ..functions.graph import least_reachable, written
 from .joins import link_candidates
 
 
+#: Track ids count from 1 in each file; these columns, where a table has them, tell equal ids apart.
+OWNER = ("source_file", "m", "c")
+
+
+def _owner(*tables: DataFrame) -> list[str]:
+    return [k for k in OWNER if all(k in t.columns for t in tables)]
+
+
 def crop_boxes(rows: DataFrame, height: int, width: int) -> DataFrame:
-    """Each track's union box, widened to three times its size and clipped; boxes under 4 px are the whole frame."""
-    b = rows.where("track_id IS NOT NULL").groupBy("track_id").agg(F.min("y0").alias("y0"), F.min("x0").alias("x0"), F.max("y1").alias("y1"), F.max("x1").alias("x1"))
+    """Each track's union box, widened to three times its size and clipped; boxes under 4 px are the whole frame. Keyed by ``OWNER`` and track_id."""
+    keys = [*_owner(rows), "track_id"]
+    b = rows.where("track_id IS NOT NULL").groupBy(*keys).agg(F.min("y0").alias("y0"), F.min("x0").alias("x0"), F.max("y1").alias("y1"), F.max("x1").alias("x1"))
     h, w = F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")
     b = b.select(
-        "track_id", F.greatest(F.lit(0), F.col("y0") - h).alias("cy0"), F.greatest(F.lit(0), F.col("x0") - w).alias("cx0"),
+        *keys, F.greatest(F.lit(0), F.col("y0") - h).alias("cy0"), F.greatest(F.lit(0), F.col("x0") - w).alias("cx0"),
         F.least(F.lit(height), F.col("y1") + h).alias("cy1"), F.least(F.lit(width), F.col("x1") + w).alias("cx1"),
     )
     small = (F.col("cy1") - F.col("cy0") < 4) | (F.col("cx1") - F.col("cx0") < 4)
     pick = lambda c, whole: F.when(small, whole).otherwise(F.col(c)).alias(c)
-    return b.select("track_id", pick("cy0", 0), pick("cx0", 0), pick("cy1", height), pick("cx1", width))
+    return b.select(*keys, pick("cy0", 0), pick("cx0", 0), pick("cy1", height), pick("cx1", width))
 
 
 def gallery_layout(boxes: DataFrame, per_page: int) -> DataFrame:
-    """``track_id, page, place, pad_h, pad_w``: tracks in order, ``per_page`` to an output, padded to the largest crop."""
-    n = F.row_number().over(Window.orderBy("track_id")) - 1
-    pads = boxes.agg(F.max(F.col("cy1") - F.col("cy0")).alias("pad_h"), F.max(F.col("cx1") - F.col("cx0")).alias("pad_w"))
-    ranked = boxes.select("track_id", n.alias("n"))
-    return ranked.crossJoin(F.broadcast(pads)).select("track_id", F.expr(f"cast(n div {per_page} as int)").alias("page"), F.expr(f"cast(n % {per_page} as int)").alias("place"), "pad_h", "pad_w")
+    """``track_id, page, place, pad_h, pad_w``: the tracks of each owner in order, ``per_page`` to an output, padded to the owner's largest crop."""
+    keys = _owner(boxes)
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy("track_id")) - 1
+    pads = boxes.groupBy(*keys).agg(F.max(F.col("cy1") - F.col("cy0")).alias("pad_h"), F.max(F.col("cx1") - F.col("cx0")).alias("pad_w"))
+    ranked = boxes.select(*keys, "track_id", n.alias("n"))
+    joined = ranked.join(pads, keys) if keys else ranked.crossJoin(F.broadcast(pads))
+    return joined.select(*keys, "track_id", F.expr(f"cast(n div {per_page} as int)").alias("page"), F.expr(f"cast(n % {per_page} as int)").alias("place"), "pad_h", "pad_w")
 
 
 def assign(cost: np.ndarray) -> list[int]:
@@ -128,15 +139,17 @@ def link_objects(rows: DataFrame, max_displacement: float, min_length: int = 2,
 
 
 def track_queue(tracked: DataFrame) -> DataFrame:
-    """Tracks by first frame, then id."""
-    return tracked.where("track_id IS NOT NULL").groupBy("track_id").agg(F.min("frame").alias("first_frame"), F.count("*").alias("n")).orderBy("first_frame", "track_id")
+    """Tracks of each owner by first frame, then id."""
+    keys = _owner(tracked)
+    return tracked.where("track_id IS NOT NULL").groupBy(*keys, "track_id").agg(F.min("frame").alias("first_frame"), F.count("*").alias("n")).orderBy(*keys, "first_frame", "track_id")
 
 
 def gallery(rgb: DataFrame, boxes: DataFrame, members: DataFrame) -> DataFrame:
-    """Crops of each track in its frames: ``track_id, t, y, x, r, g, b`` in crop coordinates. Boxes are few and broadcast per track."""
-    near = members.join(boxes, "track_id").select("t", "track_id", "cy0", "cx0", "cy1", "cx1")
-    hit = rgb.join(near, "t").where("y >= cy0 AND y < cy1 AND x >= cx0 AND x < cx1")
-    return hit.select("track_id", "t", (F.col("y") - F.col("cy0")).alias("y"), (F.col("x") - F.col("cx0")).alias("x"), "r", "g", "b")
+    """Crops of each track in its own frames: ``track_id, t, y, x, r, g, b`` in crop coordinates, with the owner's columns."""
+    keys = _owner(rgb, boxes, members)
+    near = members.join(boxes, [*keys, "track_id"]).select(*keys, "t", "track_id", "cy0", "cx0", "cy1", "cx1")
+    hit = rgb.join(near, [*keys, "t"]).where("y >= cy0 AND y < cy1 AND x >= cx0 AND x < cx1")
+    return hit.select(*keys, "track_id", "t", (F.col("y") - F.col("cy0")).alias("y"), (F.col("x") - F.col("cx0")).alias("x"), "r", "g", "b")
 
 
 def detection_score(found: DataFrame, truth: DataFrame, gate: float) -> DataFrame:

@@ -88,20 +88,24 @@ def append_results(frames: DataFrame, job: Callable[[DataFrame], DataFrame], out
     """A stream of frames whose finished positions are measured and appended.
 
     Each batch leaves out keys that the ledger has, runs ``job``, appends its
-    rows, then the keys: a batch that runs again adds nothing twice.
+    rows, then the keys with the batch's number. A batch that the ledger knows
+    is finished and left alone when it runs again; one that stopped before its
+    keys were written replaces its own rows.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fields = [f"{k} {batch.schema[k].dataType.simpleString()}" for k in keys]
         try:
-            done = spark.read.parquet(ledger).select(*keys)
+            done = spark.read.parquet(ledger).select(*keys, "ledger_batch")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            done = spark.createDataFrame([], ", ".join(fields))
-        new = batch.join(done, keys, "left_anti")
+            done = spark.createDataFrame([], ", ".join([*fields, "ledger_batch long"]))
+        if done.where(F.col("ledger_batch") == number).limit(1).count():
+            return
+        new = batch.join(done.select(*keys), keys, "left_anti")
         job(new).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        new.select(*keys).distinct().write.mode("append").parquet(ledger)
+        new.select(*keys).distinct().withColumn("ledger_batch", F.lit(number).cast("long")).write.mode("append").parquet(ledger)
 
     return frames.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
