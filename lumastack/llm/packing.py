@@ -92,8 +92,7 @@ class UnitEncoder:
             text = "\n".join(part)
             ids = self._ids(text)
             raw, reached = ids.tobytes(), np.cumsum(self.width[ids])
-            line_feeds = np.flatnonzero(np.frombuffer(text.encode(), dtype=np.uint8) == 10)
-            ends = np.append(line_feeds, self.width[ids].sum())
+            ends = np.cumsum(np.fromiter((len(p.encode()) for p in part), dtype=np.int64, count=len(part)) + 1) - 1
             stops = 4 * np.searchsorted(reached, ends) + 4
             starts = np.concatenate([[0], stops[:-1] + 4])
             kept.update({p: raw[lo:hi] for p, lo, hi in zip(part, starts.tolist(), stops.tolist(), strict=True)})
