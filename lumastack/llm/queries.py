@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn, language_id, mixing, packing, sharding, simhash, suffix_groups, telephony, url_filter, vector_files
+from . import collision_counting, debruijn, language_id, mixing, packing, prefix_trie, ranked_search, sharding, simhash, suffix_groups, telephony, url_filter, vector_files
 from .common import read
 from .sql import ORACLE_SQL
 
@@ -60,6 +60,21 @@ def op10_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizer())
 
 
+def op11_interval_maxima_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of every benchmark item; see ``ranked_search.ranked_search`` for nulls, ties and repeats."""
+    return ranked_search.ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_screened_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the rebuilt conversations' trie; see ``prefix_trie.prefix_trie``."""
+    return prefix_trie.rebuilt_trie(read(spark, sf_dir, "conversations"))
+
+
+def op13_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors found of every vector whose id is divisible by 100; see ``collision_counting.nearest``."""
+    return collision_counting.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -73,5 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_approximation_files,
         op9_simhash_bk_trees,
         op10_minimum_bin_slack,
+        op11_interval_maxima_search,
+        op12_screened_prefix_trie,
+        op13_collision_counting,
     )
 }

@@ -49,4 +49,36 @@ OP8 = """WITH v AS (SELECT vec_id, [floor(64 * CAST(e AS DOUBLE)) FOR e IN embed
 s AS (SELECT q.vec_id query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20"""
 
-ORACLE_SQL = {"op1_redirect_equivalence": OP1, "op5_debruijn_compaction": OP5, "op6_lyndon_suffix_groups": OP6, "op8_approximation_files": OP8}
+OP11 = """WITH i AS (SELECT DISTINCT item_id, text FROM benchmark),
+q AS (SELECT item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) term FROM i),
+iq AS (SELECT item_id, text, term, count(*) times FROM q GROUP BY 1, 2, 3),
+d AS (SELECT row_number() OVER () r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') terms FROM documents),
+z AS (SELECT CAST(count(*) AS BIGINT) n, CAST(sum(len(terms)) AS BIGINT) l FROM d WHERE len(terms) > 0),
+m AS (SELECT r, doc_id, 100 - 75 + (75 * CAST(len(terms) AS BIGINT) * z.n) // z.l m FROM d, z WHERE len(terms) > 0),
+f AS (SELECT r, term, count(*) tf FROM (SELECT r, unnest(terms) term FROM d) WHERE term IN (SELECT term FROM iq) GROUP BY 1, 2),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(z.n) + 2) / (2 * count(*) + 1))) AS BIGINT) w FROM f, z GROUP BY 1),
+s AS (SELECT item_id, iq.text, m.r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) score FROM iq JOIN f USING (term) JOIN w USING (term) JOIN m ON m.r = f.r GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) <= 10"""
+
+#: CRC-32 of an ASCII text ``s``: bytes and 8 shifts each, folded from the left.
+_CRC32 = "xor(list_reduce(list_prepend(4294967295, flatten([[CAST(ord(s[i]) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1] FOR i IN range(1, len(s) + 1)])), lambda c, y: CASE WHEN y >= 0 THEN xor(c, y) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"
+
+OP12 = f"""WITH t AS (SELECT conv_id, coalesce(role, '') role, coalesce(text, '') text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 seq FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 20 base, {_CRC32} % 4 h FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) s FROM t)),
+b AS (SELECT c.conv_id, 0 own, seq, role, text FROM c JOIN t ON t.conv_id = c.base AND seq < h UNION ALL SELECT t.conv_id, 1, seq, role, text FROM t JOIN c ON t.conv_id = c.conv_id AND seq >= h),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, seq) depth, md5(CAST(strlen(role) AS VARCHAR) || ':' || role || text) turn_md5, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) words FROM b),
+p AS (SELECT conv_id, 0 depth, '' node, NULL parent, 0 words FROM c UNION ALL SELECT conv_id, depth, string_agg(turn_md5, '') OVER w, coalesce(string_agg(turn_md5, '') OVER (PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), words FROM o WINDOW w AS (PARTITION BY conv_id ORDER BY depth)),
+e AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) ends FROM p),
+n AS (SELECT node, any_value(parent) parent, any_value(depth) depth, min(conv_id) conv_id, count(*) n_convs, any_value(words) words, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) ends_sha256 FROM e GROUP BY 1),
+k AS (SELECT n.*, u.conv_id parent_conv_id, (SELECT count(*) FROM n x WHERE x.parent = n.node) n_children FROM n LEFT JOIN n u ON u.node = n.parent),
+s AS (SELECT p.node, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) n_leaves, sum((n_convs - 1) * k.words) saved_tokens FROM k JOIN p ON p.conv_id = k.conv_id AND p.depth <= k.depth GROUP BY 1)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) n_leaves, CAST(saved_tokens AS BIGINT) saved_tokens, ends_sha256 FROM k JOIN s USING (node)"""
+
+ORACLE_SQL = {
+    "op1_redirect_equivalence": OP1,
+    "op5_debruijn_compaction": OP5,
+    "op6_lyndon_suffix_groups": OP6,
+    "op8_approximation_files": OP8,
+    "op11_interval_maxima_search": OP11,
+    "op12_screened_prefix_trie": OP12,
+}
