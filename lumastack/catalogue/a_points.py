@@ -327,11 +327,20 @@ def h7(spark, sf):
     return hist.multi_otsu(frames(spark, sf).withColumn("v", F.expr("cast(v div 32 as int)"))).select("t", "low", "high")
 
 
+@query("h7_multi_otsu_four", PX + """, h AS (SELECT t, v // 64 v, count(*) n FROM px GROUP BY ALL),
+ s AS (SELECT t, v, CAST(sum(n) OVER u AS DOUBLE) w, CAST(sum(n * v) OVER u AS DOUBLE) s, CAST(sum(n) OVER (PARTITION BY t) AS DOUBLE) total, CAST(sum(n * v) OVER (PARTITION BY t) AS DOUBLE) a FROM h WINDOW u AS (PARTITION BY t ORDER BY v)),
+ p AS (SELECT s.t, s.v a1, q.v a2, r.v a3, round(s.s * s.s / s.w + (q.s - s.s) * (q.s - s.s) / (q.w - s.w) + (r.s - q.s) * (r.s - q.s) / (r.w - q.w) + (s.a - r.s) * (s.a - r.s) / (s.total - r.w), 5) k FROM s JOIN s q ON s.t = q.t AND q.v > s.v JOIN s r ON r.t = q.t AND r.v > q.v AND r.w < s.total)
+ SELECT t, a1, a2, a3 FROM p QUALIFY row_number() OVER (PARTITION BY t ORDER BY k DESC, a1, a2, a3) = 1""")
+def h7_four(spark, sf):
+    four = hist.multi_otsu(frames(spark, sf).withColumn("v", F.expr("cast(v div 64 as int)")), classes=4)
+    return four.select("t", *[F.col("thresholds")[i].alias(f"a{i + 1}") for i in range(3)])
+
+
 @query("h8_display_histogram", PX2 + ", k AS (SELECT DISTINCT i * (SELECT max(t) FROM px2) // 3 t FROM range(4) r(i)), f AS (SELECT px2.* FROM px2 JOIN k USING (t)), m AS (SELECT c, max(v) top FROM f GROUP BY 1) SELECT c, least(CAST(floor(v * 256 / top) AS INT), 255) bin, count(*) n, round(ln(1 + count(*)), 6) log_n FROM f JOIN m USING (c) GROUP BY 1, 2")
 def h8(spark, sf):
-    return hist.display_histogram(frames_two_channels(spark, sf), 4).withColumn("log_n", F.round("log_n", 6))
+    return hist.display_histogram(frames_two_channels(spark, sf), 4).select("c", "bin", "n", F.round("log_n", 6).alias("log_n"))
 
 
 @query("h9_auto_contrast", PX2 + ", m AS (SELECT c, max(v) top FROM px2 GROUP BY 1), b AS (SELECT c, least(CAST(floor(v * 256 / top) AS INT), 255) bin, count(*) n FROM px2 JOIN m USING (c) GROUP BY 1, 2), d AS (SELECT c, bin, sum(n) OVER (PARTITION BY c ORDER BY bin) / sum(n) OVER (PARTITION BY c) cdf FROM b) SELECT c, min(bin) FILTER (cdf >= 0.005) low_bin, min(bin) FILTER (cdf >= 0.995) high_bin FROM d GROUP BY 1")
 def h9(spark, sf):
-    return hist.auto_contrast(hist.display_histogram(frames_two_channels(spark, sf), 10_000))
+    return hist.auto_contrast(hist.display_histogram(frames_two_channels(spark, sf), None)).select("c", "low_bin", "high_bin")

@@ -42,7 +42,7 @@ def s5(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", t.alias("t"), z.alias("z"), c.alias("c"))
 
 
-@query("s6_dimension_order", PX + ", f AS (SELECT (t * 50 + y) * 64 + x i, v FROM px) SELECT CAST(i // 16000 AS INT) t, CAST(i // 1600 % 10 AS INT) z, CAST(i // 800 % 2 AS INT) c, CAST(i // 40 % 20 AS INT) y, CAST(i % 40 AS INT) x, v FROM f WHERE i < 32000")
+@query("s6_dimension_order", PX + ", f AS (SELECT (t * 50 + y) * 64 + x i, v FROM px) SELECT CAST(i // 16000 AS INT) t, CAST(i // 1600 % 10 AS INT) z, CAST(i // 800 % 2 AS INT) c, CAST(i // 40 % 20 AS INT) y, CAST(i % 40 AS INT) x, v FROM f")
 def s6(spark, sf):
     flat = frames(spark, sf).select(((F.col("t") * 50 + F.col("y")) * 64 + F.col("x")).alias("i"), "v")
     n_t = -(-((flat.agg(F.max("i")).first()[0] or 0) + 1) // 16_000)
@@ -237,8 +237,7 @@ def j8(spark, sf):
 def j11(spark, sf):
     r = blocks(spark, sf).groupBy("t", F.col("label_id").alias("lid")).agg(F.avg("y").alias("cy"), F.avg("x").alias("cx"))
     d = frames(spark, sf).where("v >= 800").select("t", (F.col("y") * 64 + F.col("x")).alias("i"), "y", "x", F.col("v").alias("score"))
-    far = F.round((F.col("cy") - F.col("y")) * (F.col("cy") - F.col("y")) + (F.col("cx") - F.col("x")) * (F.col("cx") - F.col("x")), 6)
-    return joins.nearest(r, d, ["t"], far, "i", "score").select("t", "lid", "score")
+    return joins.nearest(r, d, ["t"], "i", "score").select("t", "lid", "score")
 
 
 OBJ = LAB + ", ob AS (SELECT t frame, label_id, avg(y) cy, avg(x) cx, min(y) y0, min(x) x0, max(y) + 1 y1, max(x) + 1 x1 FROM lab GROUP BY 1, 2)"
@@ -323,7 +322,7 @@ def r14(spark, sf):
     return s.withColumns({c: F.round(c, 4) for c in s.columns if c.startswith(("mean", "std"))})
 
 
-@query("r15_per_frame", MEAS + ", s AS (SELECT unnest(range(200)) frame) SELECT CAST(s.frame AS INT) frame, count(area_px) n, round(coalesce(avg(area_px), 0), 6) mean_area FROM s LEFT JOIN meas USING (frame) GROUP BY 1")
+@query("r15_per_frame", MEAS + ", s AS (SELECT unnest(range(greatest(200, (SELECT max(frame) + 1 FROM meas)))) frame) SELECT CAST(s.frame AS INT) frame, count(area_px) n, round(coalesce(avg(area_px), 0), 6) mean_area FROM s LEFT JOIN meas USING (frame) GROUP BY 1")
 def r15(spark, sf):
     most = table(spark, sf, "events").groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
     return measure.per_frame(measurements(spark, sf), spark.range(max(200, most)).select(F.col("id").cast("int").alias("frame"))).withColumn("mean_area", F.round("mean_area", 6))

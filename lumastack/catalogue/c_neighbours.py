@@ -142,9 +142,14 @@ def k10(spark, sf):
 DISK2 = "(SELECT dy, dx FROM (SELECT unnest(range(-2, 3)) dy), (SELECT unnest(range(-2, 3)) dx) WHERE dy * dy + dx * dx <= 4) d"
 
 
-@query("k11_top_hat", PX + f", e AS (SELECT a.t, a.y, a.x, min(b.v) v FROM px a, {DISK2}, px b WHERE b.t = a.t AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY ALL), o AS (SELECT a.t, a.y, a.x, max(b.v) v FROM e a, {DISK2}, e b WHERE b.t = a.t AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY ALL) SELECT px.t, px.y, px.x, (px.v - o.v)::DOUBLE v FROM px JOIN o USING (t, y, x) WHERE px.y BETWEEN 4 AND 45 AND px.x BETWEEN 4 AND 59")
+def moved_disk(name: str, src: str, f: str) -> str:
+    """SQL of the least or greatest value in the disk around each pixel, indices reflected at the borders."""
+    return f"{name} AS (SELECT w.t, w.y, w.x, {f}(b.v) v FROM (SELECT t, y, x, {reflect('y + dy', H)} yy, {reflect('x + dx', W)} xx FROM px, {DISK2}) w JOIN {src} b ON b.t = w.t AND b.y = w.yy AND b.x = w.xx GROUP BY ALL)"
+
+
+@query("k11_top_hat", PX + f", {moved_disk('e', 'px', 'min')}, {moved_disk('o', 'e', 'max')} SELECT px.t, px.y, px.x, (px.v - o.v)::DOUBLE v FROM px JOIN o USING (t, y, x)")
 def k11(spark, sf):
-    return neighbour.top_hat(frames(spark, sf), 2, H, W, tile=32).where("y BETWEEN 4 AND 45 AND x BETWEEN 4 AND 59").select("t", "y", "x", "v")
+    return neighbour.top_hat(frames(spark, sf), 2, H, W, tile=32).select("t", "y", "x", "v")
 
 
 @query("k12_morph_gradient", PX + f", g AS (SELECT a.t, a.y, a.x, max(b.v) - min(b.v) g FROM px a, {DISK2}, px b WHERE b.t = a.t AND b.y = least(49, greatest(0, a.y + dy)) AND b.x = least(63, greatest(0, a.x + dx)) GROUP BY ALL), n AS (SELECT t, y, x, g / (max(g) OVER (PARTITION BY t))::DOUBLE * 4095 n FROM g) SELECT px.t, px.y, px.x, CAST(floor(round(px.v * 0.5::DOUBLE + n * 0.5, 6)) AS INT) v FROM px JOIN n USING (t, y, x)")
@@ -347,7 +352,7 @@ def j9(spark, sf):
 
 @query("r13_voxel_counts", PX + INSIDE + ", l AS (SELECT t, y, x, CAST(arg_max(label_id, ord) AS INT) label_id FROM hit GROUP BY ALL) SELECT t, label_id, count(*) n FROM l GROUP BY ALL")
 def r13(spark, sf):
-    return shapes.voxel_counts(shapes.shape_labels(frames(spark, sf), shapes.shape_order(drawn(spark, sf))))
+    return shapes.voxel_counts(shapes.shape_labels(frames(spark, sf), shapes.shape_order(drawn(spark, sf)))).select("t", "label_id", "n")
 
 
 @query("m14_shape_polygons", "SELECT n_nationkey ord, CAST(CASE n_nationkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 16 ELSE 3 END AS INT) n, round(CASE n_nationkey % 3 WHEN 0 THEN n_nationkey * 4 + 16 WHEN 1 THEN 192 ELSE n_nationkey * 3 + 30.5 END::DOUBLE, 6) sum_y FROM nation")
@@ -384,12 +389,12 @@ def j14(spark, sf):
     return track.detection_score(o.where("label_id % 7 > 0"), o.where("label_id % 5 > 0"), 3.0)
 
 
-@query("r23_tile_placement", PX + ", lay AS (SELECT t m, CAST(t * 20 AS INT) oy, CAST(t % 3 * 40 AS INT) ox FROM (SELECT DISTINCT t FROM px)), p AS (SELECT lay.m, y + oy y, x + ox x, v FROM px JOIN lay ON px.t = lay.m WHERE y + oy < 200 AND x + ox < 130) SELECT CAST(y AS INT) y, CAST(x AS INT) x, arg_max(v, m) v FROM p GROUP BY ALL")
+@query("r23_tile_placement", PX + ", lay AS (SELECT t m, CAST(t * 20 AS INT) oy, CAST(t % 3 * 40 AS INT) ox FROM (SELECT DISTINCT t FROM px)), p AS (SELECT lay.m, y + oy y, x + ox x, v FROM px JOIN lay ON px.t = lay.m) SELECT CAST(y AS INT) y, CAST(x AS INT) x, arg_max(v, m) v FROM p GROUP BY ALL")
 def r23(spark, sf):
     px = frames(spark, sf).withColumns({"m": F.col("t"), "t": F.lit(0)})
     lay = px.select("m").distinct().select("m", (F.col("m") * 20).alias("off_y"), (F.col("m") % 3 * 40).alias("off_x"))
-    height = (lay.agg(F.max("off_y")).first()[0] or 0) + 20
-    return layout.stitch(px, lay, height, 130).select("y", "x", "v")
+    ends = lay.agg(F.max("off_y").alias("y"), F.max("off_x").alias("x")).first()
+    return layout.stitch(px, lay, (ends.y or 0) + H, (ends.x or 0) + W).select("y", "x", "v")
 
 
 STAGE = "tl AS (SELECT s_suppkey m, CAST(s_suppkey % 5 AS DOUBLE) * 300.4 stage_x, CAST(s_suppkey // 5 AS DOUBLE) * -250.6 stage_y FROM supplier)"
@@ -485,6 +490,22 @@ def a9(spark, sf):
     return track.gallery(g, track.crop_boxes(o, H, W), o.select("source_file", "m", "c", F.col("frame").alias("t"), "track_id").distinct()).select("track_id", "t", "y", "x", "r")
 
 
+PAGES = BOX.replace(", g AS (", ", gb AS (").replace(" FROM g)", " FROM gb)") + """, mem AS (SELECT DISTINCT frame t, label_id track_id FROM ob), la AS (SELECT crops.*, row_number() OVER (ORDER BY track_id) - 1 n, max(cy1 - cy0) OVER () ph, max(cx1 - cx0) OVER () pw FROM crops),
+ ce AS (SELECT *, n // 6 page, n % 6 // 3 * ph oy, n % 6 % 3 * pw ox FROM la), ti AS (SELECT DISTINCT page, t, ph, pw FROM mem JOIN ce USING (track_id)),
+ sh AS (SELECT page, t, y, unnest(range(3 * pw)) x FROM (SELECT page, t, pw, unnest(range(2 * ph)) y FROM ti)), lb AS (SELECT t, y, x, (y // 10) * 4 + x // 16 + 1 own FROM px WHERE v >= 600),
+ cr AS (SELECT page, px.t, px.y - cy0 + oy y, px.x - cx0 + ox x, CAST(floor(greatest(0, least(1, v / 4095::DOUBLE)) * 255) AS INT) r, own IS NOT DISTINCT FROM track_id lit, (track_id - 1) % 12 k FROM px JOIN mem USING (t) JOIN ce USING (track_id) LEFT JOIN lb ON lb.t = px.t AND lb.y = px.y AND lb.x = px.x WHERE px.y >= cy0 AND px.y < cy1 AND px.x >= cx0 AND px.x < cx1)
+ SELECT CAST(page AS INT) page, t, CAST(y AS INT) y, CAST(x AS INT) x, coalesce(CASE WHEN lit THEN CAST(floor(round(r * (1 - 0.55::DOUBLE) + [""" + ", ".join(str(c[0]) for c in point.PALETTE) + """][k + 1] * 0.55::DOUBLE, 6)) AS INT) ELSE r END, 0) r FROM sh LEFT JOIN cr USING (page, t, y, x)"""
+
+
+@query("a9_gallery_pages", PAGES)
+def a9_pages(spark, sf):
+    o = objects(spark, sf).withColumn("track_id", F.col("label_id"))
+    g = point.apply_lut(frames(spark, sf), 0, 4095).select("source_file", "m", "c", "t", "y", "x", F.col("v").alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b"))
+    members = o.select("source_file", "m", "c", F.col("frame").alias("t"), "track_id").distinct()
+    labels = blocks(spark, sf).select("source_file", "m", "c", "t", "y", "x", F.col("label_id").alias("track_id"))
+    return track.gallery_pages(g, labels, track.crop_boxes(o, H, W), members, 6, 3).select("page", "t", "y", "x", "r")
+
+
 @query("a14_recipe", PX + f", n AS (SELECT {PIX}, CAST(floor(pow(v / 4095, 0.8) * 4095) AS INT) v FROM px), a AS (SELECT {PIX}, v, min(v) OVER (PARTITION BY t, y ORDER BY x RANGE BETWEEN 4 PRECEDING AND 4 FOLLOWING) b FROM n), b AS (SELECT {PIX}, v, min(b) OVER (PARTITION BY t, x ORDER BY y RANGE BETWEEN 4 PRECEDING AND 4 FOLLOWING) b FROM a), d AS (SELECT {PIX}, v, max(b) OVER (PARTITION BY t, x ORDER BY y RANGE BETWEEN 4 PRECEDING AND 4 FOLLOWING) b FROM b), e AS (SELECT {PIX}, v, max(b) OVER (PARTITION BY t, y ORDER BY x RANGE BETWEEN 4 PRECEDING AND 4 FOLLOWING) b FROM d) SELECT {PIX}, greatest(v - b, 0) v FROM e")
 def a14(spark, sf):
     return jobs.apply_recipe(frames(spark, sf), [("gamma", {"g": 0.8, "top": 4095}), ("no such step", {}), ("rolling_ball", {"radius": 4})], skip_unknown=True)
@@ -532,13 +553,33 @@ def e3(spark, sf):
 
 @query("e4_appended_results", PX + " SELECT t, count(*) n, round(avg(v), 6) mean_v FROM px WHERE v >= 600 GROUP BY 1")
 def e4(spark, sf):
-    """A stream of the frames' files, measured batch by batch and appended."""
+    """A stream of files that each hold a part of every frame, measured batch by batch."""
     src, out, ledger, check = (scratch(spark, k) for k in ("stream-in", "stream-out", "stream-ledger", "stream-check"))
     px = frames(spark, sf)
-    px.repartition(2, "t").write.parquet(src)
+    px.repartition(3).write.parquet(src)
     stream = spark.readStream.schema(px.schema).option("maxFilesPerTrigger", 1).parquet(src)
     job = lambda d: d.where("v >= 600").groupBy("t").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean_v"))
     ev.append_results(stream, job, out, ledger, ["t"], check).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).select("t", "n", "mean_v")
+    return spark.read.schema("n long, mean_v double, t int").parquet(out).select("t", "n", "mean_v")
+
+
+POSITIONS = CC + ", q AS (SELECT t, quantile_disc(v, 0.97) g FROM px GROUP BY 1), mk AS (SELECT t, y, x, v FROM px JOIN q USING (t) WHERE v >= g), " + cc("cl", "mk", True) + ", ra AS (SELECT t % 3 m, t AS frame, CAST(dense_rank() OVER (PARTITION BY t ORDER BY l) AS INT) label_id, count(*) area_px, round(avg(y), 6) centroid_y_px, round(avg(x), 6) centroid_x_px, min(y) bbox_min_row, max(x) + 1 bbox_max_col, round(avg(v), 6) mean_intensity_ch0 FROM cl JOIN px USING (t, y, x) GROUP BY t, l)"
+
+
+@query("e4_finished_positions", POSITIONS + " SELECT *, area_px - lag(area_px) OVER (PARTITION BY m, label_id ORDER BY frame) delta_area_px FROM ra")
+def e4_finished(spark, sf):
+    """Frames of three positions, each frame spread over all batches; a position is segmented and measured once all its planes are whole."""
+    src, landed, out, land_check, check = (scratch(spark, k) for k in ("stream-in", "stream-landed", "stream-out", "stream-check", "stream-check"))
+    px = frames(spark, sf).withColumn("m", F.expr("t % 3"))
+    px.repartition(4).write.parquet(src)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in px.schema)
+    planes = px.groupBy("source_file", "m").agg(F.count_distinct("t").alias("want_planes")).join(px.groupBy("source_file", "m", "t").count().groupBy("source_file", "m").agg(F.min("count").alias("want_pixels")), ["source_file", "m"])
+    ev.land(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), landed, land_check).trigger(availableNow=True).start().awaitTermination()
 
+    def job(d):
+        found = ANALYSES["histogram_threshold"](d, high=97)
+        return analyses.full_measurements(found["labels"], d, ["ch0"])
 
+    ev.append_finished(spark, landed, schema, job, out, check, planes).awaitTermination()
+    r = spark.read.parquet(out)
+    return r.select(F.col("m").cast("int").alias("m"), "frame", "label_id", "area_px", *[F.round(k, 6).alias(k) for k in ("centroid_y_px", "centroid_x_px")], "bbox_min_row", "bbox_max_col", F.round("mean_intensity_ch0", 6).alias("mean_intensity_ch0"), "delta_area_px")

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or in a session without one (tests) a new local one."""
+    """The folder all executors share: ``spark.checkpoint.dir``. A local session without one gets a new local folder; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -22,7 +24,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def reread(table: DataFrame) -> DataFrame:
+    """A table that ``written`` made as a DataFrame of its own, to be joined with the first."""
+    again = table.sparkSession.read.schema(table.schema).parquet(table.scratch_path)
+    again.scratch_path = table.scratch_path
+    return again
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made and nothing will read again."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def least_reachable(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -65,18 +65,67 @@ def triangle(pixels: DataFrame, by: Sequence[str] = FRAME) -> DataFrame:
     return c.where(inside).groupBy(*by).agg(F.max_by("v", F.struct(drop, -F.col("v"))).alias("threshold"))
 
 
-def multi_otsu(pixels: DataFrame, by: Sequence[str] = FRAME) -> DataFrame:
-    """Two thresholds (three classes) of the largest variance between classes, over pairs of the frame's own values."""
-    counts = histogram(pixels, by)
-    up = Window.partitionBy(*by).orderBy("v")
-    whole = Window.partitionBy(*by)
-    mass = F.col("n") * F.col("v")
-    c = counts.select(*by, "v", F.sum("n").over(up).alias("w"), F.sum(mass).over(up).alias("s"), F.col("total"), F.sum(mass).over(whole).alias("all"))
-    hi = c.select(*by, F.col("v").alias("v2"), F.col("w").alias("w2"), F.col("s").alias("s2"))
-    pairs = c.join(hi, list(by)).where("v2 > v AND w2 < total")
-    square = lambda s, w: s.cast("double") * s / w
-    score = square(F.col("s"), F.col("w")) + square(F.col("s2") - F.col("s"), F.col("w2") - F.col("w")) + square(F.col("all") - F.col("s2"), F.col("total") - F.col("w2"))
-    return pairs.withColumn("score", F.round(score, 6)).groupBy(*by).agg(F.max_by(F.struct("v", "v2"), F.struct("score", -F.col("v"), -F.col("v2"))).alias("b")).select(*by, F.col("b.v").alias("low"), F.col("b.v2").alias("high"))
+def _best_cuts(n: np.ndarray, v: np.ndarray, classes: int) -> list[int] | None:
+    """Places of the last bins of all classes but the top one, for the largest sum of s^2 / w over classes; ties go to lower cuts.
+
+    ``best[j]`` is the score of the first j bins in the classes so far; one
+    more class takes the best place of its start, over prefix sums of counts
+    and of mass. Time is classes x bins^2, done a block of rows at a time.
+    """
+    bins = len(n)
+    if bins < classes:
+        return None
+    w, s = np.concatenate([[0.0], np.cumsum(n)]), np.concatenate([[0.0], np.cumsum(n * v)])
+    best = np.full(bins + 1, -np.inf)
+    best[1:] = s[1:] ** 2 / w[1:]
+    came = []
+    for k in range(2, classes + 1):
+        new, start = np.full(bins + 1, -np.inf), np.zeros(bins + 1, dtype=np.int64)
+        for lo in range(k, bins + 1, 256):
+            j = np.arange(lo, min(lo + 256, bins + 1))[:, None]
+            i = np.arange(k - 1, j[-1, 0])[None, :]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                score = np.where(i < j, np.round(best[i] + (s[j] - s[i]) ** 2 / (w[j] - w[i]), 6), -np.inf)
+            at = score.argmax(axis=1)
+            new[j[:, 0]], start[j[:, 0]] = score[np.arange(len(at)), at], i[0, at]
+        best = new
+        came.append(start)
+    cuts, j = [], bins
+    for start in reversed(came):
+        j = int(start[j])
+        cuts.append(j - 1)
+    return cuts[::-1]
+
+
+def multi_otsu(pixels: DataFrame, by: Sequence[str] = FRAME, classes: int = 3, bins: int = 4096) -> DataFrame:
+    """Thresholds of the largest variance between ``classes`` classes of each frame; a class ends at its threshold.
+
+    Columns ``low, high`` for three classes, else ``thresholds array<long>``.
+    The classes are cut between the frame's own values, or, where these span
+    more than ``bins`` whole numbers, between as many equal bins of their range.
+    Frames with fewer values than classes have no row. A task holds one
+    histogram.
+    """
+    if classes < 2:
+        raise ValueError("at least two classes")
+    keys = list(by)
+    counts = histogram(pixels, by).select(*keys, "v", "n")
+    ends = counts.groupBy(*keys).agg(F.min("v").alias("lo_"), F.max("v").alias("hi_"))
+    width = F.greatest(F.lit(1), F.ceil((F.col("hi_") - F.col("lo_") + 1) / bins))
+    edge = (F.col("lo_") + F.floor((F.col("v") - F.col("lo_")) / width) * width + width - 1).cast("long")
+    binned = counts.join(ends, keys).groupBy(*keys, edge.alias("edge")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("v")).alias("mass"))
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("edge")
+        n = pdf.n.to_numpy(dtype=float)
+        found = _best_cuts(n, pdf.mass.to_numpy(dtype=float) / n, classes)
+        cuts = None if found is None else [int(pdf.edge.iloc[i]) for i in found]
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "thresholds": [cuts]})
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.schema if f.name in keys) + ", thresholds array<bigint>"
+    out = binned.groupBy(*keys).applyInPandas(cut, schema).where("thresholds IS NOT NULL")
+    kind = dict(pixels.dtypes)["v"]
+    return out.select(*keys, F.col("thresholds")[0].cast(kind).alias("low"), F.col("thresholds")[1].cast(kind).alias("high")) if classes == 3 else out
 
 
 def minimum_threshold(pixels: DataFrame, by: Sequence[str] = FRAME, rounds: int = 10_000) -> DataFrame:
@@ -106,19 +155,27 @@ def minimum_threshold(pixels: DataFrame, by: Sequence[str] = FRAME, rounds: int
     return counts.groupBy(*keys).applyInPandas(valley, schema)
 
 
-def display_histogram(pixels: DataFrame, frames: int = 32, bins: int = 256) -> DataFrame:
-    """Per channel ``bin, n, log_n`` with ``bins`` from 0 to the maximum, over evenly spread frames."""
+#: A stack's channel; of these, the columns that a table has tell its histograms apart.
+CHANNEL = ("source_file", "c")
+
+
+def display_histogram(pixels: DataFrame, frames: int | None = 32, bins: int = 256) -> DataFrame:
+    """Per file and channel ``bin, n, log_n`` with ``bins`` from 0 to the maximum, over evenly spread frames (None: all)."""
     from .select import even_frames
 
-    kept = even_frames(pixels, frames)
-    top = kept.groupBy("c").agg(F.greatest(F.max("v"), F.lit(1)).alias("top"))
-    binned = kept.join(F.broadcast(top), "c").withColumn("bin", F.least(F.floor(F.col("v") * bins / F.col("top")), F.lit(bins - 1)).cast("int"))
-    return binned.groupBy("c", "bin").agg(F.count("*").alias("n")).withColumn("log_n", F.log1p("n"))
+    by = [k for k in CHANNEL if k in pixels.columns]
+    kept = pixels if frames is None else even_frames(pixels, frames)
+    top = kept.groupBy(*by).agg(F.greatest(F.max("v"), F.lit(1)).alias("top"))
+    # counted by value first: the join with the maxima is over values, not pixels
+    counts = kept.groupBy(*by, "v").agg(F.count("*").alias("n_")).join(top, by)
+    binned = counts.withColumn("bin", F.least(F.floor(F.col("v") * bins / F.col("top")), F.lit(bins - 1)).cast("int"))
+    return binned.groupBy(*by, "bin").agg(F.sum("n_").alias("n")).withColumn("log_n", F.log1p("n"))
 
 
 def auto_contrast(bins: DataFrame, low: float = 0.005, high: float = 0.995) -> DataFrame:
-    """First bins whose share at or below reaches ``low`` and ``high``, per channel."""
-    w = Window.partitionBy("c").orderBy("bin")
-    c = bins.withColumn("cdf", F.sum("n").over(w) / F.sum("n").over(Window.partitionBy("c")))
+    """First bins whose share at or below reaches ``low`` and ``high``, per file and channel."""
+    by = [k for k in CHANNEL if k in bins.columns]
+    w = Window.partitionBy(*by).orderBy("bin")
+    c = bins.withColumn("cdf", F.sum("n").over(w) / F.sum("n").over(Window.partitionBy(*by)))
     pick = lambda p: F.min(F.when(F.col("cdf") >= p, F.col("bin")))
-    return c.groupBy("c").agg(pick(low).alias("low_bin"), pick(high).alias("high_bin"))
+    return c.groupBy(*by).agg(pick(low).alias("low_bin"), pick(high).alias("high_bin"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.graph import written
+
 
 def chain_map(sizes: DataFrame, order: str = "asc") -> DataFrame:
     """``out_idx, file_idx, local_idx`` of files with ``file_idx, n``: one file after the other (asc, desc) or interleaved."""
@@ -70,9 +73,57 @@ def combined_metadata(chain: DataFrame, catalog: DataFrame) -> DataFrame:
     return rows.withColumn("step", step).agg(F.count("*").alias("n"), F.avg("step").alias("mean_step"), listed.alias("entries"))
 
 
-def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], distance: Column, tie: str, value: str) -> DataFrame:
-    """``value`` of the right row at least distance from each left row (``lid``); ties to the least ``tie``."""
-    return left.join(right, list(by)).groupBy("lid", *by).agg(F.min_by(value, F.struct(distance, F.col(tie))).alias(value))
+def nearest(regions: DataFrame, detections: DataFrame, by: Sequence[str], tie: str, value: str, cell: float = 2.0) -> DataFrame:
+    """``value`` of the detection (``y, x``) nearest to each region's centroid (``lid, cy, cx``) of the same group; ties, at 6 decimals of the squared distance, to the least ``tie``.
+
+    Detections are known by the cells they lie in, and by these cells' fours,
+    sixteens and so on. A region takes the smallest size of cell of which one
+    near it holds a detection; the nearest one then lies at most three cells
+    away. Going down to the smallest cells it follows those only that can hold
+    it: whose near side isn't beyond the far side of another. So it reads the
+    detections of a few cells, however crowded its group is, by joins on keys.
+    Regions of groups without detections have no row.
+    """
+    keys = list(by)
+    own = detections.select(*keys, F.col("y").alias("y_"), F.col("x").alias("x_"), F.col(tie).alias("tie_"), F.col(value).alias("value_"), F.floor(F.col("y") / cell).alias("gy"), F.floor(F.col("x") / cell).alias("gx"))
+    asked = regions.select(*keys, "lid", F.col("cy").cast("double").alias("cy"), F.col("cx").cast("double").alias("cx"))
+    ends = [d.agg(F.min(y), F.max(y), F.min(x), F.max(x)).first() for d, y, x in ((own, "y_", "x_"), (asked, "cy", "cx"))]
+    if any(v is None for e in ends for v in e):
+        span = 0.0
+    else:
+        span = max(max(e[i + 1] for e in ends) - min(e[i] for e in ends) for i in (0, 2))
+    levels = max(1, math.ceil(math.log2(max(span / cell, 1)))) + 1
+    up = lambda k, level: F.floor(F.col(k) / F.pow(F.lit(2.0), level))
+    every = F.explode(F.sequence(F.lit(0), F.lit(levels)))
+    cells = written(own.select(*keys, "gy", "gx").distinct().withColumn("level", every).select(*keys, "level", up("gy", F.col("level")).alias("gy"), up("gx", F.col("level")).alias("gx")).distinct(), "nearest-cells")
+    around = lambda n: F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in range(-n, n + 1) for b in range(-n, n + 1)]))
+    at = lambda k: F.floor(F.col(k) / cell / F.pow(F.lit(2.0), F.col("level")))
+
+    def near(rows: DataFrame, n: int) -> DataFrame:
+        return rows.withColumn("d_", around(n)).withColumns({"gy": at("cy") + F.col("d_.dy"), "gx": at("cx") + F.col("d_.dx")}).drop("d_")
+
+    def fit(rows: DataFrame) -> DataFrame:
+        side = F.pow(F.lit(2.0), F.col("level")) * cell
+        reach = {}
+        for g, c, k in (("gy", "cy", "y"), ("gx", "cx", "x")):
+            low, high = F.col(g) * side - F.col(c), (F.col(g) + 1) * side - F.col(c)
+            reach |= {f"n{k}_": F.greatest(low, -high, F.lit(0.0)), f"f{k}_": F.greatest(F.abs(low), F.abs(high))}
+        square = lambda a, b: F.col(a) * F.col(a) + F.col(b) * F.col(b)
+        best = F.min("far_").over(Window.partitionBy(*keys, "lid"))
+        out = rows.withColumns(reach).withColumns({"near_": square("ny_", "nx_"), "far_": square("fy_", "fx_")}).withColumn("best_", best)
+        return out.where(F.col("near_") <= F.col("best_") + 1e-5).select(*keys, "lid", "cy", "cx", "level", "gy", "gx")
+
+    first = near(asked.withColumn("level", every), 1).join(cells, [*keys, "level", "gy", "gx"], "left_semi").groupBy(*keys, "lid", "cy", "cx").agg(F.min("level").alias("level"))
+    going = fit(near(first, 3).join(cells, [*keys, "level", "gy", "gx"], "left_semi"))
+    for level in range(levels - 1, -1, -1):
+        finer = F.array(*[F.struct((F.col("gy") * 2 + a).alias("gy"), (F.col("gx") * 2 + b).alias("gx")) for a in (0, 1) for b in (0, 1)])
+        down = F.col("level") > level
+        step = going.withColumn("g_", F.explode(F.when(down, finer).otherwise(F.array(F.struct("gy", "gx")))))
+        step = step.withColumns({"gy": F.col("g_.gy"), "gx": F.col("g_.gx"), "level": F.when(down, level).otherwise(F.col("level"))}).drop("g_")
+        going = fit(step.join(cells, [*keys, "level", "gy", "gx"], "left_semi"))
+    found = going.join(own, [*keys, "gy", "gx"])
+    far = F.round((F.col("cy") - F.col("y_")) * (F.col("cy") - F.col("y_")) + (F.col("cx") - F.col("x_")) * (F.col("cx") - F.col("x_")), 6)
+    return found.groupBy(*keys, "lid").agg(F.min_by("value_", F.struct(far, F.col("tie_"))).alias(value))
 
 
 def config_diff(before: DataFrame, after: DataFrame, key: str = "name", value: str = "value") -> DataFrame:

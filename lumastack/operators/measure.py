@@ -148,12 +148,15 @@ def deltas(rows: DataFrame, value: Sequence[str] = ("area_px",), key: str = "lab
 
 
 def latency_summary(log: DataFrame, by: Sequence[str] = ("event",), value: str = "duration_us") -> DataFrame:
-    """Per event n, mean, nearest-rank p50 (x[n div 2]) and p99 (x[min(n - 1, trunc(0.99 n))]) in ms, and mean rate."""
-    line = Window.partitionBy(*by).orderBy(value)
-    ranked = log.where(F.col(value).isNotNull()).withColumns({"i": F.row_number().over(line) - 1, "n": F.count("*").over(Window.partitionBy(*by))})
-    ms = F.col(value) / 1000
-    out = ranked.groupBy(*by).agg(
-        F.max("n").alias("n"), F.avg(ms).alias("mean_ms"), F.max(F.when(F.col("i") == F.expr("n div 2"), ms)).alias("p50_ms"),
-        F.max(F.when(F.col("i") == F.least(F.col("n") - 1, F.floor(F.col("n") * 0.99)), ms)).alias("p99_ms"),
-    )
+    """Per event n, mean, nearest-rank p50 (x[n div 2]) and p99 (x[min(n - 1, trunc(0.99 n))]) in ms, and mean rate.
+
+    Exact from counts by value (``ranks``): an event with most of the log is
+    spread over tasks.
+    """
+    from .ranks import median_rank, nearest_ranks, p99_rank
+
+    rows = log.where(F.col(value).isNotNull())
+    picked = nearest_ranks(rows, by, value, p50=median_rank, p99=p99_rank)
+    out = picked.join(rows.groupBy(*by).agg(F.avg(F.col(value) / 1000).alias("mean_ms")), list(by))
+    out = out.select(*by, "n", "mean_ms", (F.col("p50") / 1000).alias("p50_ms"), (F.col("p99") / 1000).alias("p99_ms"))
     return out.withColumn("fps", F.when(F.col("mean_ms") > 0, 1000 / F.col("mean_ms")).otherwise(0.0))

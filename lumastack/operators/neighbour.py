@@ -278,21 +278,35 @@ def morph_gradient(pixels: DataFrame, r: int, height: int, width: int, blend: fl
     return both.withColumn("v", F.floor(F.round(F.col("v") * (1 - blend) + F.col("n_") * blend, 6)).cast("int")).drop("g_", "n_")
 
 
-def local_entropy(pixels: DataFrame, r: int, height: int, width: int, tile: int = 64) -> DataFrame:
-    """Entropy in bits of the 8-bit values in the disk around each pixel; the disk is clipped at the plane's border."""
-    offsets = disk_offsets(r)
+def local_entropy(pixels: DataFrame, r: int, height: int, width: int, tile: int = 128) -> DataFrame:
+    """Entropy in bits of the 8-bit values in the disk around each pixel; the disk is clipped at the plane's border.
+
+    A tile keeps one histogram for each of its rows and slides them all along x
+    at once: a step takes off the disk's left edge and adds its right edge.
+    """
+    half = [math.isqrt(r * r - dy * dy) for dy in range(-r, r + 1)]
+    # c log2 c by count
+    weigh = np.array([c * math.log2(c) if c else 0.0 for c in range(len(disk_offsets(r)) + 1)])
 
     def run(a: np.ndarray) -> np.ndarray:
+        # -1 stands for what lies beyond the plane and is counted apart, in the last bin
+        level = a.astype(np.int64)
         n, m = a.shape[0] - 2 * r, a.shape[1] - 2 * r
-        stack = np.sort(np.stack([a[r + dy : r + dy + n, r + dx : r + dx + m] for dy, dx in offsets], axis=-1), axis=-1)
-        out = np.zeros((n, m))
-        flat = out.ravel()
-        for i, vals in enumerate(stack.reshape(-1, len(offsets))):
-            vals = vals[vals >= 0]
-            c = np.diff(np.concatenate([[0], np.flatnonzero(np.diff(vals)) + 1, [len(vals)]]))
-            p = c / c.sum()
-            flat[i] = -(p * np.log2(p)).sum()
-        return out
+        rows = np.arange(n)
+        held = np.zeros((n, 257), dtype=np.int32)
+        for dy, w in zip(range(-r, r + 1), half):
+            for dx in range(-w, w + 1):
+                held[rows, level[r + dy : r + dy + n, r + dx]] += 1
+        out = np.empty((n, m))
+        for x in range(m):
+            if x:
+                for dy, w in zip(range(-r, r + 1), half):
+                    line = level[r + dy : r + dy + n]
+                    held[rows, line[:, r + x - 1 - w]] -= 1
+                    held[rows, line[:, r + x + w]] += 1
+            total = held[:, :256].sum(axis=1)
+            out[:, x] = np.log2(total) - weigh[held[:, :256]].sum(axis=1) / total
+        return np.maximum(out, 0.0)
 
     shifted = pixels.withColumn("v", F.col("v") + 1)
     return tile_filter(shifted, lambda a: run(a - 1), r, height, width, tile, "constant")
@@ -358,10 +372,18 @@ def haar_denoise(pixels: DataFrame, levels: int = 2, mode: str = "soft", sigma:
 
 
 def rank_normalise(pixels: DataFrame) -> DataFrame:
-    """0 .. 1 by rank of the value in each frame; ties by row and column."""
-    line, whole = Window.partitionBy(*FRAME).orderBy("v", "y", "x"), Window.partitionBy(*FRAME)
-    n = F.count("*").over(whole)
-    return pixels.withColumn("v", F.when(n > 1, (F.row_number().over(line) - 1) / (n - 1)).otherwise(0.0))
+    """0 .. 1 by rank of the value in each frame; ties by row and column.
+
+    The rows ahead of a pixel are those of smaller values, those of its value
+    in rows above (both from counts), and those to its left in its own row.
+    """
+    from .ranks import ranked_values
+
+    ahead = ranked_values(pixels, FRAME, "v", ["y"]).select(*FRAME, "v", "y", "before", "total")
+    line = Window.partitionBy(*FRAME, "v", "y").orderBy("x")
+    placed = pixels.withColumn("i_", F.row_number().over(line) - 1).join(ahead, [*FRAME, "v", "y"])
+    rank = F.when(F.col("total") > 1, (F.col("before") + F.col("i_")) / (F.col("total") - 1)).otherwise(0.0)
+    return placed.withColumn("v", rank).select(*pixels.columns)
 
 
 def local_maxima(response: DataFrame, distance: int, least: float) -> DataFrame:

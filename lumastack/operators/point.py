@@ -130,12 +130,13 @@ def auto_stretch(pixels: DataFrame, low: float = 0.5, high: float = 99.5) -> Dat
 
 
 def export_rescale(pixels: DataFrame, top: int = 255, low: float = 0.5, high: float = 99.5, exact: bool = True) -> DataFrame:
-    """Rescale each channel to 0..top between its percentiles; approximate ones for very large channels."""
+    """Rescale each channel of each file to 0..top between its percentiles; approximate ones for very large channels."""
+    by = [k for k in ("source_file", "c") if k in pixels.columns]
     pick = (lambda p: F.percentile("v", F.lit(p / 100))) if exact else (lambda p: F.percentile_approx("v", p / 100, 100_000).cast("double"))
-    bounds = pixels.groupBy("c").agg(pick(low).alias("lo_"), pick(high).alias("hi_"))
+    bounds = pixels.groupBy(*by).agg(pick(low).alias("lo_"), pick(high).alias("hi_"))
     hi = F.when(F.col("hi_") <= F.col("lo_"), F.col("lo_") + 1).otherwise(F.col("hi_"))
     unit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("v") - F.col("lo_")) / (hi - F.col("lo_"))))
-    return pixels.join(F.broadcast(bounds), "c").withColumn("v", F.floor(unit * top).cast("int")).select(*pixels.columns)
+    return pixels.join(bounds, by).withColumn("v", F.floor(unit * top).cast("int")).select(*pixels.columns)
 
 
 def composite(gray: DataFrame, colours: dict[str, str | tuple[int, int, int]], brightness: dict[str, float] | None = None) -> DataFrame:

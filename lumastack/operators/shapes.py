@@ -71,8 +71,9 @@ def shape_labels(pixels: DataFrame, shapes: DataFrame) -> DataFrame:
 
 
 def voxel_counts(labels: DataFrame) -> DataFrame:
-    """Pixels of each label over all depths of a frame."""
-    return labels.groupBy("t", "label_id").agg(F.count("*").alias("n"))
+    """Pixels of each label over all depths of a frame, of every file, position and channel."""
+    keys = [k for k in ("source_file", "m", "t", "c") if k in labels.columns]
+    return labels.groupBy(*keys, "label_id").agg(F.count("*").alias("n"))
 
 
 def polygonise(shapes: DataFrame, n: int = 32) -> DataFrame:

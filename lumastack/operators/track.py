@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.graph import least_reachable, written
+from ..functions.graph import dropped, least_reachable, reread, written
+from ..functions.grouped import map_groups
 from .joins import link_candidates
+from .ranks import numbered
 
 
 #: Track ids count from 1 in each file; these columns, where a table has them, tell equal ids apart.
@@ -37,10 +42,10 @@ def crop_boxes(rows: DataFrame, height: int, width: int) -> DataFrame:
 def gallery_layout(boxes: DataFrame, per_page: int) -> DataFrame:
     """``track_id, page, place, pad_h, pad_w``: the tracks of each owner in order, ``per_page`` to an output, padded to the owner's largest crop."""
     keys = _owner(boxes)
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy("track_id")) - 1
     pads = boxes.groupBy(*keys).agg(F.max(F.col("cy1") - F.col("cy0")).alias("pad_h"), F.max(F.col("cx1") - F.col("cx0")).alias("pad_w"))
-    ranked = boxes.select(*keys, "track_id", n.alias("n"))
-    joined = ranked.join(pads, keys) if keys else ranked.crossJoin(F.broadcast(pads))
+    stretch = F.floor(F.col("track_id") / 4096).alias("stretch_")
+    ranked = numbered(boxes.select(*keys, "track_id", stretch), keys, ["stretch_"], ["track_id"], name="n").withColumn("n", F.col("n") - 1)
+    joined = ranked.join(pads, keys) if keys else ranked.crossJoin(pads)
     return joined.select(*keys, "track_id", F.expr(f"cast(n div {per_page} as int)").alias("page"), F.expr(f"cast(n % {per_page} as int)").alias("place"), "pad_h", "pad_w")
 
 
@@ -92,6 +97,8 @@ def one_to_one(candidates: DataFrame, distance: float) -> DataFrame:
     parts = least_reachable(crowded.select(node("a").alias("a"), node("b").alias("b"))).where("node.side = 'a'")
     keyed = crowded.withColumn("node", node("a")).join(parts, "node").select(*candidates.columns, F.col("label.side").alias("part_side"), F.col("label.label").alias("part"))
 
+    columns = candidates.columns
+
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, cols = sorted(pdf.label_a.unique()), sorted(pdf.label_b.unique())
         at_r, at_c = {k: i for i, k in enumerate(rows)}, {k: i for i, k in enumerate(cols)}
@@ -101,7 +108,7 @@ def one_to_one(candidates: DataFrame, distance: float) -> DataFrame:
         flip = len(rows) > len(cols)
         chosen = {(j, i) if flip else (i, j) for i, j in enumerate(assign(cost.T if flip else cost))}
         keep = [(at_r[r], at_c[c]) in chosen for r, c in zip(pdf.label_a, pdf.label_b)]
-        return pdf[keep][candidates.columns]
+        return pdf[keep][columns]
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in candidates.schema)
     return alone.unionByName(keyed.groupBy(*PAIR, "part_side", "part").applyInPandas(solve, schema))
@@ -128,14 +135,62 @@ def link_objects(rows: DataFrame, max_displacement: float, min_length: int = 2,
     frames = fit.groupBy(*group).agg(F.count_distinct("frame").alias("n_")).where("n_ > 1").select(*group)
     fit = fit.join(frames, group, "left_semi").withColumns({"y1": F.greatest("y1", F.col("y0") + 1), "x1": F.greatest("x1", F.col("x0") + 1)})
     links = one_to_one(link_candidates(fit, max_displacement), max_displacement)
-    node = lambda f, k: F.struct("m", "c", F.col(f).alias("frame"), F.col(k).alias("label_id"), "source_file")
-    chains = least_reachable(links.select(node("frame_a", "label_a").alias("a"), node("frame_b", "label_b").alias("b")))
-    own = written(fit.select(*group, "frame", "label_id", node("frame", "label_id").alias("node")).join(chains, "node", "left").withColumn("label", F.coalesce("label", "node")), "chains")
-    tracks = own.groupBy("label").agg(F.count("*").alias("track_length"))
-    # ids follow the order of first objects; the running number of a global sort comes from ranges
-    ids = tracks.withColumn("nth", F.row_number().over(Window.partitionBy("label.source_file").orderBy("label.m", "label.c", "label.frame", "label.label_id")))
-    told = own.join(ids, "label").select(*group, "frame", "label_id", F.when(F.col("track_length") >= min_length, F.col("nth")).alias("track_id"), "track_length")
-    return rows.join(told, [*group, "frame", "label_id"], "left")
+    heads = chain_heads(links)
+    object_ = [*group, "frame", "label_id"]
+    own = fit.select(*object_).join(heads, object_, "left").select(*object_, F.coalesce("head_frame", "frame").alias("head_frame"), F.coalesce("head_label", "label_id").alias("head_label"))
+    own = written(own, "chains")
+    tracks = own.groupBy(*group, "head_frame", "head_label").agg(F.count("*").alias("track_length"))
+    ids = numbered(tracks, ["source_file"], ["m", "c"], ["head_frame"], ["head_label"])
+    told = own.join(ids, [*group, "head_frame", "head_label"]).select(*object_, F.when(F.col("track_length") >= min_length, F.col("nth")).alias("track_id"), "track_length")
+    return rows.join(told, object_, "left")
+
+
+#: Frames whose links are followed within one task before pointers are doubled by joins.
+STRIDE = 32
+
+
+def chain_heads(links: DataFrame) -> DataFrame:
+    """The first object of the chain that each linked object is in: ``source_file, m, c, frame, label_id, head_frame, head_label``.
+
+    Links are one to one, so chains are lists and need no components: each
+    object points to the one before it. Within a stretch of STRIDE frames
+    tasks follow the pointers to the stretch's end. Then a round points each
+    object to where its own points, so distances double, and a chain over n
+    stretches takes log2 n rounds of one join; objects whose pointer has
+    reached a head are set aside.
+    """
+    group = ["source_file", "m", "c"]
+    links = written(links.select(*group, "frame_a", "label_a", "frame_b", "label_b"), "track-links")
+    back = links.select(*group, F.col("frame_b").alias("frame"), F.col("label_b").alias("label_id"), F.col("frame_a").alias("head_frame"), F.col("label_a").alias("head_label"))
+
+    def follow(rows: pa.Table, number: np.ndarray) -> pa.Table:
+        ends = [np.stack([number, rows[f].to_numpy(), rows[k].to_numpy()], axis=1) for f, k in (("frame", "label_id"), ("head_frame", "head_label"))]
+        _, code = np.unique(np.concatenate(ends), axis=0, return_inverse=True)
+        own, to = np.split(code.ravel(), 2)
+        row_of = np.full(int(code.max()) + 1, -1)
+        row_of[own] = np.arange(len(own))
+        at = np.where(row_of[to] >= 0, row_of[to], np.arange(len(own)))
+        while not np.array_equal(further := at[at], at):
+            at = further
+        return rows.select([*group, "frame", "label_id"]).append_column("head_frame", rows["head_frame"].take(pa.array(at))).append_column("head_label", rows["head_label"].take(pa.array(at)))
+
+    cut = back.withColumn("stretch_", F.floor(F.col("frame") / STRIDE))
+    form = ", ".join(f"{c} {back.schema[c].dataType.simpleString()}" for c in back.columns)
+    short = map_groups(cut, [*group, "stretch_"], [], follow, form)
+    object_ = [*group, "frame", "label_id"]
+    firsts = links.select(*group, F.col("frame_a").alias("frame"), F.col("label_a").alias("label_id")).join(reread(links).select(*group, F.col("frame_b").alias("frame"), F.col("label_b").alias("label_id")), object_, "left_anti")
+    there = written(firsts.withColumns({"head_frame": F.col("frame"), "head_label": F.col("label_id"), "done": F.lit(True)}).unionByName(short.withColumn("done", F.lit(False))), "chain-heads")
+    made, found, going = [there], [there.where("done")], there.where("NOT done")
+    while going.limit(1).count():
+        known = functools.reduce(DataFrame.unionByName, [reread(t).where("done") for t in made], reread(made[-1]).where("NOT done"))
+        ahead = known.select(*group, F.col("frame").alias("head_frame"), F.col("label_id").alias("head_label"), F.col("head_frame").alias("far_frame"), F.col("head_label").alias("far_label"), F.col("done").alias("far_done"))
+        moved = going.join(ahead, [*group, "head_frame", "head_label"]).select(*object_, F.col("far_frame").alias("head_frame"), F.col("far_label").alias("head_label"), F.col("far_done").alias("done"))
+        made.append(written(moved, "chain-heads"))
+        found.append(made[-1].where("done"))
+        going = made[-1].where("NOT done")
+    out = written(functools.reduce(DataFrame.unionByName, found).drop("done"), "chain-heads")
+    dropped(links, *made)
+    return out
 
 
 def track_queue(tracked: DataFrame) -> DataFrame:
@@ -144,14 +199,53 @@ def track_queue(tracked: DataFrame) -> DataFrame:
     return tracked.where("track_id IS NOT NULL").groupBy(*keys, "track_id").agg(F.min("frame").alias("first_frame"), F.count("*").alias("n")).orderBy(*keys, "first_frame", "track_id")
 
 
-def gallery(rgb: DataFrame, boxes: DataFrame, members: DataFrame) -> DataFrame:
-    """Crops of each track in its own frames: ``track_id, t, y, x, r, g, b`` in crop coordinates, with the owner's columns."""
+def gallery(rgb: DataFrame, boxes: DataFrame, members: DataFrame, tile: int = 64) -> DataFrame:
+    """Crops of each track in its own frames: ``track_id, t, y, x, r, g, b`` in crop coordinates, with the owner's columns.
+
+    Boxes are cut along a grid of tiles, so that a pixel meets the boxes that
+    reach into its own tile, not all those of its frame.
+    """
     keys = _owner(rgb, boxes, members)
-    near = members.join(boxes, [*keys, "track_id"]).select(*keys, "t", "track_id", "cy0", "cx0", "cy1", "cx1")
-    hit = rgb.join(near, [*keys, "t"]).where("y >= cy0 AND y < cy1 AND x >= cx0 AND x < cx1")
+    near = members.join(boxes, [*keys, "track_id"]).select(*keys, "t", "track_id", "cy0", "cx0", "cy1", "cx1").where("cy1 > cy0 AND cx1 > cx0")
+    cut = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / tile), F.floor((F.col(b) - 1) / tile)))
+    near = near.withColumn("ty_", cut("cy0", "cy1")).withColumn("tx_", cut("cx0", "cx1"))
+    cells = rgb.withColumns({"ty_": F.floor(F.col("y") / tile), "tx_": F.floor(F.col("x") / tile)})
+    hit = cells.join(near, [*keys, "t", "ty_", "tx_"]).where("y >= cy0 AND y < cy1 AND x >= cx0 AND x < cx1")
     return hit.select(*keys, "track_id", "t", (F.col("y") - F.col("cy0")).alias("y"), (F.col("x") - F.col("cx0")).alias("x"), "r", "g", "b")
 
 
+def gallery_pages(rgb: DataFrame, labels: DataFrame, boxes: DataFrame, members: DataFrame, per_page: int, per_row: int, blank: tuple[int, int, int] = (0, 0, 0), highlight: bool = True, alpha: float = 0.55) -> DataFrame:
+    """Pages of track crops: ``page, t, y, x, r, g, b`` with the owner's columns.
+
+    Tracks go ``per_page`` to a page and ``per_row`` to a row, each into a cell
+    of the owner's largest crop, its crop in the cell's upper left corner. What
+    a crop doesn't fill, cells of a last page without a track, and the cells
+    of tracks that aren't in a frame are ``blank``. A page has all times at
+    which one of its tracks is there. With ``highlight`` the track's own
+    object (``labels``: ``t, y, x, track_id``) is blended with its colour.
+    """
+    from .point import PALETTE
+
+    keys = _owner(rgb, boxes, members)
+    own = labels.select(*[k for k in keys if k in labels.columns], "t", "y", "x", F.col("track_id").alias("own_"))
+    on = [k for k in own.columns if k != "own_"]
+    marked = rgb.join(own, on, "left") if highlight else rgb.withColumn("own_", F.lit(None).cast("long"))
+    crops = gallery(marked.withColumn("b", F.struct("b", "own_")), boxes, members)
+    colours = F.array(*[F.array(*map(F.lit, c)) for c in PALETTE])
+    of = F.element_at(colours, ((F.col("track_id") - 1) % len(PALETTE) + 1).cast("int"))
+    blend = lambda v, i: F.when(F.col("own_") == F.col("track_id"), F.floor(F.round(v * (1 - alpha) + of[i] * alpha, 6)).cast("int")).otherwise(v)
+    crops = crops.withColumns({"own_": F.col("b.own_"), "b": F.col("b.b")}).withColumns({"r": blend(F.col("r"), 0), "g": blend(F.col("g"), 1), "b": blend(F.col("b"), 2)})
+    layout = gallery_layout(boxes, per_page)
+    corner = {"oy_": F.expr(f"place div {per_row}") * F.col("pad_h"), "ox_": F.col("place") % per_row * F.col("pad_w")}
+    cells = layout.withColumns(corner)
+    placed = crops.join(cells, [*keys, "track_id"]).select(*keys, "page", "t", (F.col("y") + F.col("oy_")).cast("int").alias("y"), (F.col("x") + F.col("ox_")).cast("int").alias("x"), "r", "g", "b")
+    rows = -(-per_page // per_row)
+    times = members.join(cells, [*keys, "track_id"]).select(*keys, "page", "t", "pad_h", "pad_w").distinct()
+    sheet = times.withColumn("y", F.explode(F.expr(f"sequence(0, cast({rows} * pad_h as int) - 1)"))).withColumn("x", F.explode(F.expr(f"sequence(0, cast({per_row} * pad_w as int) - 1)")))
+    full = sheet.drop("pad_h", "pad_w").join(placed, [*keys, "page", "t", "y", "x"], "left")
+    return full.select(*keys, "page", "t", "y", "x", *[F.coalesce(k, F.lit(v)).alias(k) for k, v in zip("rgb", blank)])
+
+
 def detection_score(found: DataFrame, truth: DataFrame, gate: float) -> DataFrame:
     """One-to-one matches within ``gate`` of ``frame, label_id, cy, cx``: ``tp, fp, fn, precision, recall``."""
     box = {k: v for k, v in (("y0", F.col("cy") - gate), ("x0", F.col("cx") - gate), ("y1", F.col("cy") + gate), ("x1", F.col("cx") + gate))}

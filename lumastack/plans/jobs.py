@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,27 +36,82 @@ def job_key(steps: Sequence[tuple[str, dict]], analysis: str, params: dict) -> s
 
 
 LEDGER = "source_file string, m int, job string, status string"
+POSITION = ["source_file", "m"]
+#: Positions that are run in one plan. If it fails, it is halved until the positions that fail stand alone.
+GROUP = 64
 
 
 def run_batch(
-    spark: SparkSession, pixels: DataFrame, steps: Sequence[tuple[str, dict]], analysis: str, params: dict, out: str, ledger: DataFrame | None = None, depth: int = 12
+    spark: SparkSession, pixels: DataFrame, steps: Sequence[tuple[str, dict]], analysis: str, params: dict, out: str, ledger: DataFrame | None = None, depth: int = 12, group: int = GROUP
 ) -> dict[str, DataFrame]:
-    """Recipe, analysis and regions over all files and positions in one plan.
+    """Recipe, analysis and regions over all files and positions; what fails doesn't stop the rest.
 
-    (source_file, m) pairs that the ledger has for this configuration are left
-    out; files whose pixels are null or beyond ``depth`` bits go to ``errors``
-    and don't stop the rest. Regions are written partitioned by source and
-    position. Gives ``regions, errors, ledger`` (the new entries).
+    Positions (source_file, m) are run in order, ``group`` in one plan, whose
+    scan is narrowed to their files. Regions replace the positions' partitions
+    in a folder of this configuration, then the positions are entered in the
+    ledger beside them. So a run that stops anywhere and is repeated goes on
+    behind the last entry and doubles no region. A plan that raises is halved
+    until the failing positions are found; their error is entered, the others
+    are run. Positions whose pixels are null or beyond ``depth`` bits fail
+    beforehand. Positions that the folder's ledger or ``ledger`` has as done
+    for this configuration are left out; failed ones are tried again.
+
+    Gives ``regions`` (all of this configuration), ``errors``
+    (``source_file, m, error``) and ``ledger`` (``LEDGER``) of this run.
     """
+    if unknown := [n for n, _ in steps if n not in STEPS]:
+        raise KeyError(f"unknown steps {unknown}; known: {sorted(STEPS)}")
+    if analysis not in ANALYSES:
+        raise KeyError(f"unknown analysis {analysis!r}; known: {sorted(ANALYSES)}")
     job = job_key(steps, analysis, params)
-    if ledger is not None:
-        pixels = pending(pixels, ledger.where((F.col("job") == job) & (F.col("status") == "done")), ["source_file", "m"])
-    bad = pixels.groupBy("source_file", "m").agg(F.count_if(F.col("v").isNull()).alias("nulls"), F.max("v").alias("top"))
-    bad = bad.where((F.col("nulls") > 0) | (F.col("top") >= 2**depth))
-    errors = bad.select("source_file", "m", F.when(F.col("nulls") > 0, "null intensities").otherwise("intensities beyond the bit depth").alias("error"))
-    good = pixels.join(bad.select("source_file", "m"), ["source_file", "m"], "left_anti")
-    regions = ANALYSES[analysis](apply_recipe(good, steps), **params)["regions"]
-    regions.write.mode("append").partitionBy("source_file", "m").parquet(out)
-    done = good.select("source_file", "m").distinct().select("source_file", "m", F.lit(job).alias("job"), F.lit("done").alias("status"))
-    failed = errors.select("source_file", "m", F.lit(job).alias("job"), F.lit("failed").alias("status"))
-    return {"regions": spark.read.parquet(out), "errors": errors, "ledger": done.unionByName(failed)}
+    place, book = f"{out}/job={job}", f"{out}/_ledger-{job}"
+    entries = f"{LEDGER}, error string, run string"
+    run = uuid.uuid4().hex
+    earlier = spark.read.schema(entries).parquet(book) if _exists(spark, book) else None
+    for known in (ledger, earlier):
+        if known is not None:
+            pixels = pending(pixels, known.where((F.col("job") == job) & (F.col("status") == "done")), POSITION)
+
+    def enter(rows: list[tuple]) -> None:
+        if rows:
+            spark.createDataFrame([(*r[:2], job, *r[2:], run) for r in rows], entries).coalesce(1).write.mode("append").parquet(book)
+
+    # one row a position, in order: which positions there are, and which can't be measured
+    units = pixels.where("source_file IS NOT NULL AND m IS NOT NULL").groupBy(*POSITION).agg(F.count_if(F.col("v").isNull()).alias("nulls"), F.max("v").alias("top")).orderBy(*POSITION)
+    schema = None
+
+    def attempt(keys: list[tuple]) -> None:
+        nonlocal schema
+        # plain conditions reach the scan, and rows of other positions never reach the analysis
+        by_file = {f: [m for _, m in group_] for f, group_ in itertools.groupby(keys, lambda k: k[0])}
+        part = pixels.where(functools.reduce(lambda a, b: a | b, [(F.col("source_file") == f) & F.col("m").isin(ms) for f, ms in by_file.items()]))
+        try:
+            regions = ANALYSES[analysis](apply_recipe(part, steps), **params)["regions"]
+            regions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*POSITION).parquet(place)
+            schema = regions.schema
+        except Exception as e:  # whatever the analysis raises belongs to its positions
+            if len(keys) == 1:
+                enter([(*keys[0], "failed", f"{type(e).__name__}: {e}"[:2000])])
+                return
+            attempt(keys[: len(keys) // 2])
+            attempt(keys[len(keys) // 2 :])
+            return
+        enter([(*k, "done", None) for k in keys])
+
+    for chunk in itertools.batched(units.toLocalIterator(), group):
+        bad = {r for r in chunk if r.nulls or r.top >= 2**depth}
+        enter([(r.source_file, r.m, "failed", "null intensities" if r.nulls else "intensities beyond the bit depth") for r in bad])
+        if good := [(r.source_file, r.m) for r in chunk if r not in bad]:
+            attempt(good)
+
+    told = spark.read.schema(entries).parquet(book).where(F.col("run") == run) if _exists(spark, book) else spark.createDataFrame([], entries)
+    if _exists(spark, place):
+        regions = spark.read.schema(schema).parquet(place) if schema else spark.read.parquet(place)
+    else:
+        regions = spark.createDataFrame([], "source_file string, m int")
+    return {"regions": regions, "errors": told.where("status = 'failed'").select(*POSITION, "error"), "ledger": told.select(*POSITION, "job", "status")}
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
