@@ -56,6 +56,12 @@ class Index:
         self.first = max(spread_, 1e-30) / 16
         self.least = threshold(axes.shape[1])
 
+    def _radii(self, at: np.ndarray) -> np.ndarray:
+        """The radii of the rounds: growing from the index's first until the windows hold all vectors."""
+        far = max(float((at - self.values[:, 0]).max()), float((self.values[:, -1] - at).max()), self.first)
+        rounds = max(1, math.ceil(math.log(far / HALF_WIDTH / self.first) / math.log(GROWTH)) + 1)
+        return self.first * GROWTH ** np.arange(rounds + 1)
+
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and distances of the k nearest found, own id left out.
 
@@ -65,21 +71,19 @@ class Index:
         """
         n = len(self.ids)
         at = query @ self.axes
-        collisions = np.zeros(n, dtype=np.int16)
+        radii = self._radii(at)
+        # where each round's windows begin and end in every sorted array
+        lower = np.array([np.searchsorted(v, x - HALF_WIDTH * radii) for v, x in zip(self.values, at, strict=True)])
+        upper = np.array([np.searchsorted(v, x + HALF_WIDTH * radii, side="right") for v, x in zip(self.values, at, strict=True)])
+        collisions = np.zeros(n, dtype=np.int64)
         verified = self.ids == query_id
         ids, distances = np.zeros(0, dtype=np.int64), np.zeros(0)
-        low = np.array([np.searchsorted(v, x) for v, x in zip(self.values, at, strict=True)])
-        high = low.copy()
-        radius = self.first
-        while not verified.all():
-            reach = HALF_WIDTH * radius
-            lower = np.array([np.searchsorted(v, x - reach) for v, x in zip(self.values, at, strict=True)])
-            upper = np.array([np.searchsorted(v, x + reach, side="right") for v, x in zip(self.values, at, strict=True)])
-            # empty and repeated vectors may put the first window's start inside later ones
-            lower, upper = np.minimum(lower, low), np.maximum(upper, high)
-            fresh = [o[a:b] for o, a, b in zip(self.order, lower, low, strict=True)] + [o[a:b] for o, a, b in zip(self.order, high, upper, strict=True)]
-            collisions += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int16)
-            low, high = lower, upper
+        for r, radius in enumerate(radii):
+            if r:
+                fresh = [o[a:b] for o, a, b in zip(self.order, lower[:, r], lower[:, r - 1])] + [o[a:b] for o, a, b in zip(self.order, upper[:, r - 1], upper[:, r])]
+            else:
+                fresh = [o[a:b] for o, a, b in zip(self.order, lower[:, 0], upper[:, 0])]
+            collisions += np.bincount(np.concatenate(fresh), minlength=n)
             near = np.flatnonzero((collisions >= self.least) & ~verified)
             if len(near):
                 verified[near] = True
@@ -89,7 +93,6 @@ class Index:
                 ids, distances = ids[best], distances[best]
             if len(ids) >= k and distances[-1] <= radius:
                 break
-            radius *= GROWTH
         return ids, distances
 
 
