@@ -13,13 +13,16 @@ def _rules(column: str) -> str:
 
 
 OP1 = f"""WITH RECURSIVE u AS (SELECT page_id, url, html, strpos(url, '://') > 0 has, substr(url, strpos(url, '://') + 3) rest FROM pages),
-b AS (SELECT page_id, url, html, CASE WHEN has THEN translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END host,
+b AS (SELECT page_id, url, html, has, CASE WHEN has THEN translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END host,
  CASE WHEN has THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END path FROM u),
-t AS (SELECT url, regexp_extract(url, '^((?s:.*?)://[^/?#]*)', 1) origin, regexp_extract(url, '^((?s:.*?):)//', 1) scheme,
+t AS (SELECT url, path, has, regexp_extract(url, '^([^?#]*)', 1) whole, regexp_extract(url, '^((?s:.*?)://[^/?#]*)', 1) origin, regexp_extract(url, '^((?s:.*?):)//', 1) scheme,
  regexp_extract(coalesce(html, ''), '(?i)<link\\b[^>]*?\\brel\\s*=\\s*["'']?canonical\\b[^>]*>') rel, regexp_extract(coalesce(html, ''), '(?i)<meta\\b[^>]*?\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>') meta,
- 'page://' || regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '(\\.html|/)$', '') plain FROM b WHERE url IS NOT NULL),
-k AS (SELECT url, origin, scheme, unnest([regexp_extract(rel, '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1), regexp_extract(meta, '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>;]+)', 1), plain]) link FROM t),
-e AS (SELECT DISTINCT url a, CASE WHEN starts_with(link, '//') THEN scheme || link WHEN starts_with(link, '/') THEN origin || link WHEN strpos(link, '://') > 0 THEN link END b FROM k WHERE link <> ''),
+ CASE WHEN has AND host <> '' THEN 'page://' || regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '(\\.html|/)$', '') ELSE '' END plain FROM b WHERE url IS NOT NULL),
+k AS (SELECT url, origin, scheme, whole, has, list_filter(string_split(regexp_extract(path, '^((?s:.*)/)', 1), '/'), lambda x: x <> '') folders, unnest([regexp_extract(rel, '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1), regexp_extract(meta, '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>;]+)', 1), plain]) link FROM t),
+f AS (SELECT *, folders[1:greatest(len(folders) - len(regexp_extract(link, '^((?:\\.\\./)*)', 1)) // 3, 0)] rest FROM k WHERE link <> ''),
+e AS (SELECT DISTINCT url a, CASE WHEN starts_with(link, '//') THEN CASE WHEN has THEN scheme || link END WHEN starts_with(link, '/') THEN CASE WHEN has THEN origin || link END
+ WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN CASE WHEN strpos(link, '://') > 0 THEN link END WHEN strpos(link, '://') > 0 THEN link WHEN starts_with(link, '#') THEN NULL WHEN starts_with(link, '?') THEN CASE WHEN has THEN whole || link END
+ WHEN has THEN origin || '/' || CASE WHEN len(rest) > 0 THEN array_to_string(rest, '/') || '/' ELSE '' END || regexp_replace(link, '^(?:\\./|(?:\\.\\./)+)', '') END b FROM f),
 s AS (SELECT a, b FROM e WHERE b IS NOT NULL AND a <> b UNION SELECT b, a FROM e WHERE b IS NOT NULL AND a <> b),
 r(node, lab) AS (SELECT a, a FROM s UNION SELECT s.b, r.lab FROM r JOIN s ON r.node = s.a),
 l AS (SELECT node, min(lab) lab FROM r GROUP BY 1),

@@ -46,9 +46,11 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     * address variants that servers redirect to one address: scheme, ``www.``
       or ``m.``, fragment, query, ``.html`` and a closing slash.
 
-    Links that start with ``/`` or ``//`` are resolved against the page's own
-    address; other relative links are left out. A null url has no edges, a null
-    html only its address variant.
+    Links are resolved against the page's own address: ``//host/x``, ``/x``,
+    ``?q``, ``x``, ``./x`` and ``../x``, of the latter as many as there are; a
+    link of a page without ``://`` only if it is a whole address. A null url
+    has no edges, a null html only its address variant, a url without ``://``
+    has none.
     """
     at = F.col(url)
     origin, scheme = F.regexp_extract(at, r"^([\s\S]*?://[^/?#]*)", 1), F.regexp_extract(at, r"^([\s\S]*?:)//", 1)
@@ -60,12 +62,25 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     )
     host, path = url_parts(at)
     plain = F.concat(F.lit("page://"), F.regexp_replace(host, r"^(www|m)\.", ""), F.regexp_replace(path, r"(\.html|/)$", ""))
-    tagged = pages.select(at.alias("a"), origin.alias("origin"), scheme.alias("scheme"), F.explode(F.array_append(links, plain)).alias("link"))
+    # only a url with a host has an address to vary: one without would be joined with all others
+    variant = F.when((host != "") & (F.instr(at, "://") > 0), plain).otherwise("")
+    whole = F.regexp_extract(at, r"^([^?#]*)", 1)
+    tagged = pages.select(at.alias("a"), origin.alias("origin"), scheme.alias("scheme"), whole.alias("whole"), path.alias("path"), F.explode(F.array_append(links, variant)).alias("link"))
     tagged = tagged.where("a IS NOT NULL AND link <> ''")
+    link, based = F.col("link"), F.instr("a", "://") > 0
+    ups = F.length(F.regexp_extract(link, r"^((?:\.\./)*)", 1)) / 3
+    # the folders of the path that are left when each ../ has gone up one
+    folders = F.filter(F.split(F.regexp_extract("path", r"^((?:.*/)?)", 1), "/"), lambda x: x != "")
+    left = F.slice(folders, 1, F.greatest(F.size(folders) - ups.cast("int"), F.lit(0)))
+    folder = F.concat(F.col("origin"), F.lit("/"), F.when(F.size(left) > 0, F.concat(F.array_join(left, "/"), F.lit("/"))).otherwise(""))
     b = (
-        F.when(F.col("link").startswith("//"), F.concat("scheme", "link"))
-        .when(F.col("link").startswith("/"), F.concat("origin", "link"))
-        .when(F.instr("link", "://") > 0, F.col("link"))
+        F.when(link.startswith("//"), F.when(based, F.concat("scheme", "link")))
+        .when(link.startswith("/"), F.when(based, F.concat("origin", "link")))
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.when(F.instr("link", "://") > 0, link))
+        .when(F.instr("link", "://") > 0, link)
+        .when(link.startswith("#"), F.lit(None).cast("string"))
+        .when(link.startswith("?"), F.when(based, F.concat("whole", "link")))
+        .when(based, F.concat(folder, F.regexp_replace(link, r"^(?:\./|(?:\.\./)+)", "")))
     )
     return tagged.select("a", b.alias("b")).where("b IS NOT NULL AND a <> b").distinct()
 

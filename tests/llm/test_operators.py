@@ -4,11 +4,14 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from tests.oracle import compare
+
 from lumastack.llm import common, components, debruijn, language_id, mixing, packing, queries, sharding, simhash, stages, suffix_groups, telephony, url_filter, vector_files
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -93,6 +96,32 @@ def test_blocks_spread_over_links_and_allow_wins(spark):
     assert sorted(got) == [(1, "block"), (2, "block"), (3, "block"), (4, "allow"), (5, "block"), (6, "allow"), (7, "allow"), (7, "allow")]
 
 
+def test_urls_without_address_stay_alone_and_relative_links_resolve(spark):
+    link = '<link rel="canonical" href="{}">'
+    pages = [
+        (1, "foo", link.format("http://evil.net/x")),
+        (2, "bar", None),
+        (3, "bar/../baz", link.format("../x")),
+        (4, "http://a.example.com/d/e/p.html", link.format("../../t?q=1")),
+        (5, "http://a.example.com/t?q=1", link.format("http://evil.net/y")),
+        (6, "http://a.example.com/d/e/s", link.format("./u")),
+        (7, "http://a.example.com/d/e/u", link.format("http://evil.net/z")),
+        (8, "http://a.example.com/v?k=2", link.format("?k=3")),
+        (9, "http://a.example.com", link.format("../../../w")),
+        (10, "http://a.example.com/w", link.format("http://evil.net/w")),
+        (11, "http://b.example.com/", link.format("mailto:x@evil.net")),
+        (12, "http://b.example.com/q/", link.format("#top")),
+        (13, "://evil", link.format("http://evil.net/v")),
+        *[(20 + i, f"http://evil.net/{k}", None) for i, k in enumerate("xyzwv")],
+    ]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_pages(table).collect()}
+    assert sorted(i for i, v in got.items() if v == "block") == [1, 4, 5, 6, 7, 9, 10, 13, *range(20, 25)]
+    con = duckdb.connect()
+    con.register("pages", table.toPandas())
+    assert compare(url_filter.judge_pages(table), con, queries.ORACLE_SQL["op1_redirect_equivalence"]) is None
+
+
 def test_components_equal_union_find(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))] + [(i, i + 1) for i in range(100, 130)] + [(200, i) for i in range(201, 240)] + [(5, 5), (None, 3)]
