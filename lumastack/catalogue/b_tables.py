@@ -344,7 +344,7 @@ def r17(spark, sf):
 def r18(spark, sf):
     rows = measurements(spark, sf).select("event_id", F.expr("nullif(label_id % 5, 0)").alias("track_id"))
     n = rows.where("track_id IS NOT NULL").groupBy("track_id").agg(F.count("*").alias("track_length"))
-    return rows.join(F.broadcast(n), "track_id", "left").select("event_id", "track_id", "track_length")
+    return rows.join(n, "track_id", "left").select("event_id", "track_id", "track_length")
 
 
 BOX = OBJ + ", b AS (SELECT label_id track_id, min(y0) y0, min(x0) x0, max(y1) y1, max(x1) x1 FROM ob GROUP BY 1), g AS (SELECT track_id, greatest(0, y0 - (y1 - y0)) cy0, greatest(0, x0 - (x1 - x0)) cx0, least(50, y1 + (y1 - y0)) cy1, least(64, x1 + (x1 - x0)) cx1 FROM b), crops AS (SELECT track_id, CASE WHEN small THEN 0 ELSE cy0 END cy0, CASE WHEN small THEN 0 ELSE cx0 END cx0, CASE WHEN small THEN 50 ELSE cy1 END cy1, CASE WHEN small THEN 64 ELSE cx1 END cx1 FROM (SELECT *, cy1 - cy0 < 4 OR cx1 - cx0 < 4 small FROM g))"

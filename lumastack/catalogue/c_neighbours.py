@@ -136,7 +136,7 @@ def k9(spark, sf):
 
 @query("k10_nlmeans")
 def k10(spark, sf):
-    return neighbour.nlmeans(frames(spark, sf), 3, 5, 80.0, H, W, tile=32)
+    return neighbour.nlmeans(frames(spark, sf), 3, 5, 10.0, H, W, tile=32, top=4095)
 
 
 DISK2 = "(SELECT dy, dx FROM (SELECT unnest(range(-2, 3)) dy), (SELECT unnest(range(-2, 3)) dx) WHERE dy * dy + dx * dx <= 4) d"
@@ -446,6 +446,58 @@ def a1(spark, sf):
     return r.select("t", "label_id", "area_px", F.round("mean_intensity", 6).alias("mean_intensity"))
 
 
+A1_REGIONS = " SELECT t, CAST(dense_rank() OVER (PARTITION BY t ORDER BY l) AS INT) label_id, count(*) area_px, round(avg(v), 6) mean_intensity FROM cl JOIN px USING (t, y, x) GROUP BY t, l"
+
+
+def a1_regions(spark, sf, **params):
+    r = ANALYSES["histogram_threshold"](frames(spark, sf), **params)["regions"]
+    return r.select("t", "label_id", "area_px", F.round("mean_intensity", 6).alias("mean_intensity"))
+
+
+@query("a1_single_threshold", CC + ", mk AS (SELECT t, y, x FROM px WHERE v < 300 OR v > 860), " + cc("cl", "mk", True) + A1_REGIONS)
+def a1_single(spark, sf):
+    return a1_regions(spark, sf, mode="single", method="outside", low=300, high=860)
+
+
+@query("a1_relative_threshold", CC + ", q AS (SELECT t, CAST(round_even(quantile_cont(v, 0.5) * 1.4, 0) AS INT) g FROM px WHERE x < 32 GROUP BY 1), mk AS (SELECT t, y, x FROM px JOIN q USING (t) WHERE v >= g), " + cc("cl", "mk", True) + A1_REGIONS)
+def a1_relative(spark, sf):
+    return a1_regions(spark, sf, mode="relative", method="above", high=1.4, reference=frames(spark, sf).where("x < 32"))
+
+
+@query("a1_hysteresis", CC + ", mk AS (SELECT t, y, x FROM px WHERE v >= 800), " + cc("hy", "mk", False) + ", st AS (SELECT DISTINCT t, l FROM hy JOIN px USING (t, y, x) WHERE v >= 870), ok AS (SELECT t, y, x FROM hy JOIN st USING (t, l)), " + cc("cl", "ok", True) + A1_REGIONS)
+def a1_hysteresis(spark, sf):
+    return a1_regions(spark, sf, mode="hysteresis", method="above", strict=870, permissive=800)
+
+
+@query("a1_guarded_percentile", CC + ", q AS (SELECT t, greatest(quantile_disc(v, 0.95), 840) g FROM px GROUP BY 1), mk AS (SELECT t, y, x FROM px JOIN q USING (t) WHERE v >= g), " + cc("cl", "mk", True) + A1_REGIONS)
+def a1_guarded(spark, sf):
+    return a1_regions(spark, sf, method="above", high=95, ceiling=840)
+
+
+@query("a1_thresholds_used", PX + " SELECT t, quantile_disc(v, 0.05) low_reported, least(quantile_disc(v, 0.05), 250) low, quantile_disc(v, 0.95) high FROM px GROUP BY 1")
+def a1_thresholds(spark, sf):
+    found = analyses.resolved_thresholds(frames(spark, sf), "percentile", 5, 95, floor=250)
+    return found.select("t", *[F.col(k).cast("int").alias(k) for k in ("low_reported", "low", "high")])
+
+
+@query("a2_spot_regions")
+def a2_regions(spark, sf):
+    """Spots as watershed regions within a boundary, widened once more."""
+    px = frames(spark, sf)
+    return ANALYSES["spots"](px, 4.0, contrast=0.5, grow="region", boundary=px.where("v >= 650"), widen="dilation", widen_um=1.0)["regions"]
+
+
+@query("a3_dark_regions_own_tissue")
+def a3_own(spark, sf):
+    """Dark regions within the tissue that the analysis itself finds."""
+    return ANALYSES["dark_regions"](frames(spark, sf), least_score=0.2, least=2)["regions"]
+
+
+@query("k24_blob_interpolate")
+def k24_interpolate(spark, sf):
+    return analyses.blob_subtract(frames(spark, sf), [1.0, 2.0], 0.5, H, W, action="interpolate")
+
+
 @query("a2_spots")
 def a2(spark, sf):
     return ANALYSES["spots"](frames(spark, sf), 4.0, contrast=0.5)["regions"]

@@ -24,13 +24,13 @@ def chain_map(sizes: DataFrame, order: str = "asc") -> DataFrame:
 
 def apply_chain(parts: DataFrame, chain: DataFrame, axis: str = "t") -> DataFrame:
     """Read files as one axis: ``parts`` has ``file_idx`` and the axis; the axis becomes ``out_idx``."""
-    m = F.broadcast(chain.withColumnRenamed("local_idx", axis))
+    m = chain.withColumnRenamed("local_idx", axis)
     return parts.join(m, ["file_idx", axis]).withColumn(axis, F.col("out_idx")).drop("out_idx", "file_idx")
 
 
 def chain_faults(chain: DataFrame, sizes: DataFrame) -> DataFrame:
     """Entries whose file or local index is out of range."""
-    return chain.join(F.broadcast(sizes), "file_idx", "left").where("n IS NULL OR local_idx < 0 OR local_idx >= n").select("out_idx", "file_idx", "local_idx")
+    return chain.join(sizes, "file_idx", "left").where("n IS NULL OR local_idx < 0 OR local_idx >= n").select("out_idx", "file_idx", "local_idx")
 
 
 def axis_mismatches(shapes: DataFrame, axes: Sequence[str], chain_axis: str) -> DataFrame:

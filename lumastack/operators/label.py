@@ -25,12 +25,13 @@ def _dealt(pixels: DataFrame, halo: int, tile: int) -> DataFrame:
     return pixels.withColumn("ty", tiles("y")).withColumn("tx", tiles("x"))
 
 
-def within(on: np.ndarray, r: int) -> np.ndarray:
+def within(on: np.ndarray, r: int, ellipse: bool = False) -> np.ndarray:
     """Where the squared distance to the nearest set cell is at most r squared, in two passes whatever r is.
 
     The first gives each cell's distance g to the nearest set cell of its
     column. A set column at distance g covers sqrt(r^2 - g^2) cells to either
     side along the row; the second adds these stretches' ends and sums them up.
+    With ``ellipse`` the stretches are rounded instead of cut to whole cells.
     """
     h, w = on.shape
     rows, far = np.arange(h)[:, None], 2 * (h + r + 1)
@@ -38,14 +39,14 @@ def within(on: np.ndarray, r: int) -> np.ndarray:
     below = np.minimum.accumulate(np.where(on, rows, far + h)[::-1], axis=0)[::-1]
     g = np.minimum(rows - above, below - rows)
     y, x = np.nonzero(g <= r)
-    half = np.array([math.isqrt(r * r - d * d) for d in range(r + 1)])[g[y, x]]
+    half = np.array([round(math.sqrt(r * r - d * d)) if ellipse else math.isqrt(r * r - d * d) for d in range(r + 1)])[g[y, x]]
     ends = np.zeros((h, w + 1), dtype=np.int32)
     np.add.at(ends, (y, np.maximum(x - half, 0)), 1)
     np.add.at(ends, (y, np.minimum(x + half + 1, w)), -1)
     return np.cumsum(ends, axis=1)[:, :w] > 0
 
 
-def morphology(mask: DataFrame, steps: str, r: int, height: int | None = None, width: int | None = None, tile: int = 256) -> DataFrame:
+def morphology(mask: DataFrame, steps: str, r: int, height: int | None = None, width: int | None = None, tile: int = 256, ellipse: bool = False) -> DataFrame:
     """Dilations (``d``) and erosions (``e``) of a mask by a disk, one after another in one pass over tiles.
 
     Beyond a plane of a given size nothing is mask for a dilation and all is
@@ -66,7 +67,7 @@ def morphology(mask: DataFrame, steps: str, r: int, height: int | None = None, w
             yy, xx = np.arange(y0, y0 + side), np.arange(x0, x0 + side)
             beyond |= ((yy < 0) | (yy >= height))[:, None] | ((xx < 0) | (xx >= width))[None, :]
         for s in steps:
-            on = within(on & ~beyond, r) if s == "d" else ~within(~(on | beyond), r)
+            on = within(on & ~beyond, r, ellipse) if s == "d" else ~within(~(on | beyond), r, ellipse)
         on &= ~beyond
         y, x = np.nonzero(on[halo : halo + tile, halo : halo + tile])
         return pd.DataFrame({**{k: pdf[k].iloc[0] for k in FRAME}, "y": (y + y0 + halo).astype(np.int32), "x": (x + x0 + halo).astype(np.int32)})
@@ -246,7 +247,7 @@ def fill_holes(mask: DataFrame, plane: DataFrame, most: int | None = None, tile:
         inner = holes.withColumn("n_", n).where(F.col("n_") < most)
     else:
         size = plane.groupBy(*FRAME).agg(F.max("y").alias("h_"), F.max("x").alias("w_"))
-        edge = holes.join(F.broadcast(size), FRAME).where("y = 0 OR x = 0 OR y = h_ OR x = w_").select(*FRAME, "label_id").distinct()
+        edge = holes.join(size, FRAME).where("y = 0 OR x = 0 OR y = h_ OR x = w_").select(*FRAME, "label_id").distinct()
         inner = holes.join(edge, [*FRAME, "label_id"], "left_anti")
     return mask.select(*AT).union(inner.select(*AT))
 

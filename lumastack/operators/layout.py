@@ -59,7 +59,7 @@ def serpentine(i: Column, columns: int, tile_h: int, tile_w: int) -> tuple[Colum
 
 def stitch(pixels: DataFrame, layout: DataFrame, height: int | None = None, width: int | None = None, fill: bool = False) -> DataFrame:
     """Mosaic per (source_file, t, z, c): tiles moved to their offsets; on overlap the later tile wins. Uncovered pixels only with ``fill``, as 0."""
-    moved = pixels.join(F.broadcast(layout), "m").withColumns({"y": F.col("y") + F.col("off_y"), "x": F.col("x") + F.col("off_x")})
+    moved = pixels.join(layout, "m").withColumns({"y": F.col("y") + F.col("off_y"), "x": F.col("x") + F.col("off_x")})
     if height is not None:
         moved = moved.where((F.col("y") >= 0) & (F.col("y") < height) & (F.col("x") >= 0) & (F.col("x") < width))
     keys = ["source_file", "t", "z", "c"]

@@ -111,6 +111,11 @@ def _with(pixels: DataFrame, **others: DataFrame) -> DataFrame:
     return out
 
 
+def _with_frame(pixels: DataFrame, **stats: Column) -> DataFrame:
+    """Pixels with statistics of their frame, summed up before any shuffle and joined back: no task holds a plane."""
+    return pixels.join(pixels.groupBy(*FRAME).agg(*[v.alias(k) for k, v in stats.items()]), FRAME)
+
+
 def dog_response(pixels: DataFrame, inner: float, outer: float, border: str = "reflect") -> DataFrame:
     """Signed difference of Gaussians."""
     return _with(gaussian(pixels, inner, border), o_=gaussian(pixels, outer, border)).withColumn("v", F.col("v") - F.col("o_")).drop("o_")
@@ -120,8 +125,8 @@ def dog_response(pixels: DataFrame, inner: float, outer: float, border: str = "r
 def dog_step(pixels: DataFrame, inner: float, outer: float, top: int = 65535) -> DataFrame:
     """Difference of Gaussians, negative parts 0, stretched so that the frame's maximum is ``top``."""
     d = dog_response(pixels, inner, outer, "mirror").withColumn("v", F.greatest("v", F.lit(0.0)))
-    peak = F.max("v").over(Window.partitionBy(*FRAME))
-    return d.withColumn("v", F.when(peak > 0, F.floor(F.round(F.col("v") / peak * top, 4))).otherwise(0).cast("int"))
+    both, peak = _with_frame(d, peak_=F.max("v")), F.col("peak_")
+    return both.withColumn("v", F.when(peak > 0, F.floor(F.round(F.col("v") / peak * top, 4))).otherwise(0).cast("int")).select(*d.columns)
 
 
 def log_response(pixels: DataFrame, sigma: float) -> DataFrame:
@@ -133,7 +138,8 @@ def log_response(pixels: DataFrame, sigma: float) -> DataFrame:
 
 def normalise_response(response: DataFrame) -> DataFrame:
     """Divide by the frame's largest magnitude (at least 1e-8)."""
-    return response.withColumn("v", F.col("v") / F.greatest(F.max(F.abs("v")).over(Window.partitionBy(*FRAME)), F.lit(1e-8)))
+    both = _with_frame(response, peak_=F.max(F.abs("v")))
+    return both.withColumn("v", F.col("v") / F.greatest("peak_", F.lit(1e-8))).select(*response.columns)
 
 
 @step("unsharp")
@@ -156,7 +162,7 @@ def flatness(pixels: DataFrame, sigma: float, mode: str = "divide", over_time: b
     back = gaussian(pixels, sigma).withColumn("v", F.greatest("v", F.lit(1.0)))
     if over_time:
         back = back.withColumn("v", F.avg("v").over(Window.partitionBy(*SERIES, "y", "x")))
-    back = back.withColumn("mean_", F.avg("v").over(Window.partitionBy(*FRAME))).withColumnRenamed("v", "b_")
+    back = _with_frame(back, mean_=F.avg("v")).withColumnRenamed("v", "b_").select(*FRAME, "y", "x", "b_", "mean_")
     both = pixels.join(back, [*FRAME, "y", "x"])
     flat = F.col("v") / F.col("b_") * F.col("mean_") if mode == "divide" else F.col("v") - F.col("b_") + F.col("mean_")
     return both.withColumn("v", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(float(top)), F.round(flat, 6)))).cast("int")).drop("b_", "mean_")
@@ -221,8 +227,17 @@ def bilateral(pixels: DataFrame, d: int, sigma_colour: float, sigma_space: float
 
 
 @step("nlmeans")
-def nlmeans(pixels: DataFrame, patch: int, search: int, h: float, height: int, width: int, tile: int = 256) -> DataFrame:
-    """Non-local means: each pixel the mean over a search window, weighted by how alike the patches are."""
+def nlmeans(pixels: DataFrame, patch: int, search: int, h: float, height: int, width: int, tile: int = 256, top: int | None = None) -> DataFrame:
+    """Non-local means: each pixel the mean over a search window, weighted by how alike the patches are.
+
+    With ``top`` (65535 for 16 bits) on 8-bit values: v / top x 255 truncated,
+    the means rounded, and back, truncated.
+    """
+    if top is not None:
+        kind = pixels.schema["v"].dataType
+        eight = pixels.withColumn("v", F.floor(F.col("v") / top * 255).cast("int"))
+        smooth = nlmeans(eight, patch, search, h, height, width, tile)
+        return smooth.withColumn("v", F.floor(F.round(F.rint(F.round("v", 9)) / 255 * top, 6)).cast(kind))
     p, s = patch // 2, search // 2
 
     def run(a: np.ndarray) -> np.ndarray:
@@ -273,9 +288,9 @@ def morph_gradient(pixels: DataFrame, r: int, height: int, width: int, blend: fl
     """Dilation minus erosion by a disk, stretched to ``top``, blended with the image."""
     offsets = disk_offsets(r)
     g = tile_filter(pixels, lambda a: _extreme(a, offsets, r, np.maximum) - _extreme(a, offsets, r, np.minimum), r, height, width, tile)
-    peak = F.max("g_").over(Window.partitionBy(*FRAME))
-    both = _with(pixels, g_=g).withColumn("n_", F.when(peak > 0, F.col("g_") / peak * top).otherwise(0.0))
-    return both.withColumn("v", F.floor(F.round(F.col("v") * (1 - blend) + F.col("n_") * blend, 6)).cast("int")).drop("g_", "n_")
+    both, peak = _with_frame(_with(pixels, g_=g), peak_=F.max("g_")), F.col("peak_")
+    both = both.withColumn("n_", F.when(peak > 0, F.col("g_") / peak * top).otherwise(0.0))
+    return both.withColumn("v", F.floor(F.round(F.col("v") * (1 - blend) + F.col("n_") * blend, 6)).cast("int")).select(*pixels.columns)
 
 
 def local_entropy(pixels: DataFrame, r: int, height: int, width: int, tile: int = 128) -> DataFrame:
@@ -360,7 +375,7 @@ def haar_denoise(pixels: DataFrame, levels: int = 2, mode: str = "soft", sigma:
     cut = noise.join(n, FRAME).select(*FRAME, (F.col("s") * F.sqrt(2 * F.log(F.col("n")))).alias("cut"))
     for level in reversed(details):
         shrink = lambda k: F.signum(k) * F.greatest(F.abs(k) - F.col("cut"), F.lit(0.0)) if mode == "soft" else F.when(F.abs(k) >= F.col("cut"), F.col(k)).otherwise(0.0)
-        both = at.join(level, keys).join(F.broadcast(cut), FRAME).select(*keys, "v", shrink("h").alias("h"), shrink("w").alias("w"), shrink("g").alias("g"))
+        both = at.join(level, keys).join(cut, FRAME).select(*keys, "v", shrink("h").alias("h"), shrink("w").alias("w"), shrink("g").alias("g"))
         v, h, w, g = (F.col(k) for k in ("v", "h", "w", "g"))
         cells = [(0, 0, v + h + w + g), (0, 1, v - h + w - g), (1, 0, v + h - w - g), (1, 1, v - h - w + g)]
         both = both.withColumn("q", F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), (e / 2).alias("v")) for dy, dx, e in cells])))
@@ -400,7 +415,7 @@ def intensity_gate(spots: DataFrame, pixels: DataFrame, p: float, bright: bool =
     from .hist import hist_percentile
 
     gate = hist_percentile(pixels, p, name="gate_")
-    at = spots.join(pixels.select(*FRAME, "y", "x", F.col("v").alias("i_")), [*FRAME, "y", "x"]).join(F.broadcast(gate), FRAME)
+    at = spots.join(pixels.select(*FRAME, "y", "x", F.col("v").alias("i_")), [*FRAME, "y", "x"]).join(gate, FRAME)
     return at.where(F.col("i_") >= F.col("gate_") if bright else F.col("i_") <= F.col("gate_")).drop("i_", "gate_")
 
 
@@ -412,7 +427,7 @@ def frame_mean_normalise(pixels: DataFrame, top: int = 65535) -> DataFrame:
     """v / frame mean x grand mean, clipped and truncated; a frame whose mean is not positive stays."""
     from .project import frame_means
 
-    both = pixels.join(F.broadcast(frame_means(pixels)), FRAME)
+    both = pixels.join(frame_means(pixels), FRAME)
     scaled = F.greatest(F.lit(0.0), F.least(F.lit(float(top)), F.round(F.col("v") / F.col("mean") * F.col("grand_mean"), 6)))
     return both.withColumn("v", F.when(F.col("mean") > 0, F.floor(scaled)).otherwise(F.col("v")).cast("int")).select(*pixels.columns)
 
@@ -440,7 +455,7 @@ def temporal_fold(pixels: DataFrame, window: int, threshold: float, tile: tuple[
     wanted = means.join(ends, series).withColumn("o", F.explode(offsets)).select(*series, "t", "mean", F.least("t1", F.greatest("t0", F.col("t") + F.col("o"))).alias("at"))
     rolled = wanted.join(means.select(*series, F.col("t").alias("at"), F.col("mean").alias("near")), [*series, "at"]).groupBy(*series, "t", "mean").agg(F.avg("near").alias("rolling"))
     ratio = F.when(F.col("mean") > 0, F.col("rolling") / F.col("mean")).otherwise(1.0)
-    both = px.join(F.broadcast(rolled.withColumn("ratio", ratio).select(*series, "t", "ratio")), [*series, "t"])
+    both = px.join(rolled.withColumn("ratio", ratio).select(*series, "t", "ratio"), [*series, "t"])
     scaled = F.floor(F.round(F.greatest(F.lit(0.0), F.least(F.lit(float(top)), F.col("v") * F.col("ratio"))), 6)).cast("int")
     return both.withColumn("v", F.when(F.abs(F.col("ratio") - 1) > threshold, scaled).otherwise(F.col("v"))).select(*pixels.columns)
 

@@ -90,7 +90,7 @@ def infer_bit_depth(pixels: DataFrame) -> DataFrame:
 
 def _with_bounds(pixels: DataFrame, low: float, high: float, by: Sequence[str] = FRAME) -> DataFrame:
     lo, hi = F.percentile("v", F.lit(low / 100)).alias("lo_"), F.percentile("v", F.lit(high / 100)).alias("hi_")
-    return pixels.join(F.broadcast(pixels.groupBy(*by).agg(lo, hi)), list(by))
+    return pixels.join(pixels.groupBy(*by).agg(lo, hi), list(by))
 
 
 @step("normalise_percentile")

@@ -16,7 +16,7 @@ def z_project(pixels: DataFrame, mode: str = "max") -> DataFrame:
     """Project the depths: ``max``, ``min``, ``mean`` (truncated) or ``middle`` (depth n div 2)."""
     if mode == "middle":
         n = pixels.groupBy(*_NO_Z).agg((F.max("z") + 1).alias("nz_"))
-        out = pixels.join(F.broadcast(n), _NO_Z).where(F.col("z") == F.expr("nz_ div 2"))
+        out = pixels.join(n, _NO_Z).where(F.col("z") == F.expr("nz_ div 2"))
         return out.withColumn("z", F.lit(0)).select(*pixels.columns)
     value = {"max": F.max("v"), "min": F.min("v"), "mean": F.floor(F.avg("v")).cast("int")}
     if mode not in value:
@@ -53,5 +53,6 @@ def pyramid(pixels: DataFrame, height: int, width: int, levels: int, least: int
 def frame_means(pixels: DataFrame) -> DataFrame:
     """``mean`` of each frame and ``grand_mean``, the mean of a series' frame means."""
     means = pixels.groupBy(*FRAME).agg(F.avg("v").alias("mean"))
-    grand = means.groupBy(*SERIES).agg(F.avg("mean").alias("grand_mean"))
-    return means.join(F.broadcast(grand), SERIES).select(*FRAME, "mean", "grand_mean")
+    # summed as decimals, so that the result doesn't depend on the order of frames
+    grand = means.groupBy(*SERIES).agg((F.sum(F.col("mean").cast("decimal(28,15)")).cast("double") / F.count("mean")).alias("grand_mean"))
+    return means.join(grand, SERIES).select(*FRAME, "mean", "grand_mean")
