@@ -299,7 +299,11 @@ def m9(spark, sf):
     return label.relabel(blocks(spark, sf).withColumn("label_id", F.col("label_id") * 7)).select("t", "y", "x", "label_id")
 
 
-@query("m10_symmetry_gate")
+@query("m10_symmetry_gate", CC + ", mk AS (SELECT t, y, x FROM px WHERE v >= 750), " + cc("cl", "mk", True) + """, lab AS (SELECT t, y, x, CAST(dense_rank() OVER (PARTITION BY t ORDER BY l) AS INT) label_id FROM cl),
+ inn AS (SELECT a.t, a.label_id, a.y, a.x FROM lab a JOIN lab b ON a.t = b.t AND a.label_id = b.label_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1 GROUP BY ALL HAVING count(*) = 4), bo AS (SELECT t, label_id, y, x FROM lab EXCEPT SELECT t, label_id, y, x FROM inn),
+ co AS (SELECT a.t, a.label_id, a.y, a.x, sum(CASE WHEN a.y = b.y AND a.x = b.x THEN 1 WHEN a.y = b.y OR a.x = b.x THEN 2 ELSE 10 END) code FROM bo a JOIN bo b ON a.t = b.t AND a.label_id = b.label_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL),
+ pe AS (SELECT t, label_id, sum(CASE WHEN code IN (5, 7, 15, 17, 25, 27) THEN 1 WHEN code IN (21, 33) THEN sqrt(2) WHEN code IN (13, 23) THEN (1 + sqrt(2)) / 2 ELSE 0 END) p FROM co GROUP BY ALL),
+ ok AS (SELECT t, label_id FROM (SELECT t, label_id, count(*) a FROM lab GROUP BY ALL) JOIN pe USING (t, label_id) WHERE p > 0 AND least(1, 4 * pi() * a / (p * p)) >= 0.45) SELECT t, y, x, label_id FROM lab JOIN ok USING (t, label_id)""")
 def m10(spark, sf):
     return label.symmetry_gate(label.components(frames(spark, sf).where("v >= 750"), tile=32), "more").select("t", "y", "x", "label_id")
 
@@ -435,9 +439,9 @@ def x1(spark, sf):
     return STEPS["gamma"](frames(spark, sf), g=0.5, top=4095)
 
 
-@query("x2_analysis_registry")
+@query("x2_analysis_registry", CC + ", q AS (SELECT t, quantile_disc(v, 0.97) g FROM px GROUP BY 1), mk AS (SELECT t, y, x, v FROM px JOIN q USING (t) WHERE v >= g), " + cc("cl", "mk", True) + ", a AS (SELECT t, l, count(*) n FROM cl GROUP BY ALL) SELECT count(*) n_objects, count(DISTINCT t) n_frames, round(avg(n), 6) mean_area_px, round(stddev_pop(n), 6) std_area_px, round(avg(n), 6) mean_area_um2, round(stddev_pop(n), 6) std_area_um2 FROM a")
 def x2(spark, sf):
-    return ANALYSES["histogram_threshold"](frames(spark, sf), high=97)["summary"]
+    return R6(ANALYSES["histogram_threshold"](frames(spark, sf), high=97)["summary"], "mean_area_px", "std_area_px", "mean_area_um2", "std_area_um2")
 
 
 @query("a1_histogram_segmenter", CC + ", q AS (SELECT t, quantile_disc(v, 0.97) g FROM px GROUP BY 1), mk AS (SELECT t, y, x, v FROM px JOIN q USING (t) WHERE v >= g), " + cc("cl", "mk", True) + " SELECT t, CAST(dense_rank() OVER (PARTITION BY t ORDER BY l) AS INT) label_id, count(*) area_px, round(avg(v), 6) mean_intensity FROM cl JOIN px USING (t, y, x) GROUP BY t, l")
@@ -563,11 +567,11 @@ def a14(spark, sf):
     return jobs.apply_recipe(frames(spark, sf), [("gamma", {"g": 0.8, "top": 4095}), ("no such step", {}), ("rolling_ball", {"radius": 4})], skip_unknown=True)
 
 
-@query("a15_batch")
+@query("a15_batch", CC + ", gm AS (SELECT t, y, x, CAST(floor(pow(v / 4095, 0.9) * 4095) AS INT) v FROM px), q AS (SELECT t, quantile_disc(v, 0.97) g FROM gm GROUP BY 1), mk AS (SELECT t, y, x, v FROM gm JOIN q USING (t) WHERE v >= g), " + cc("cl", "mk", True) + " SELECT t, 0 z, 'ch0' c, CAST(dense_rank() OVER (PARTITION BY t ORDER BY l) AS INT) label_id, count(*) area_px, round(avg(y), 6) centroid_y_px, round(avg(x), 6) centroid_x_px, min(y) bbox_min_row, min(x) bbox_min_col, max(y) + 1 bbox_max_row, max(x) + 1 bbox_max_col, round(avg(v), 6) mean_intensity, min(v) min_intensity, max(v) max_intensity, 'embeddings' source_file, t % 3 m FROM cl JOIN gm USING (t, y, x) GROUP BY t, l")
 def a15(spark, sf):
     px = frames(spark, sf).withColumns({"m": F.col("t") % 3})
     out = jobs.run_batch(spark, px, [("gamma", {"g": 0.9, "top": 4095})], "histogram_threshold", {"high": 97}, scratch(spark, "batch"))
-    return out["regions"]
+    return R6(out["regions"], "centroid_y_px", "centroid_x_px", "mean_intensity")
 
 
 @query("a16_intensity_choice", LAB + " SELECT t, label_id, round(avg(floor(pow(v / 4095, 0.5) * 4095)), 6) mean_intensity FROM lab GROUP BY ALL")
