@@ -444,7 +444,8 @@ def removed_spans(found: DataFrame, origins: DataFrame, k: int) -> DataFrame:
     mine = F.filter("runs", lambda r: r["first"] < F.col("doc_id"))
     spans = F.transform(mine, lambda r: F.struct((F.col("start") + r["at"]).alias("lo"), (F.col("start") + r["at"] + r["n"] + k - 1).alias("hi")))
     spans = hits.select("rid", spans.alias("spans")).where(F.size("spans") > 0)
-    return spans.groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    # copies of a row have the same spans, which count once
+    return spans.groupBy("rid").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def covered(lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:

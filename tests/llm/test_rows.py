@@ -99,3 +99,19 @@ def test_parity_maps_never_refute_similar_sets():
 def test_kept_hash_of_an_untouched_text(spark):
     df = spark.createDataFrame([(5, B, None, None, None)], DOCS)
     assert suffix_groups.remove_repeated_bytes(df).first().kept_sha256 == hashlib.sha256(B.encode()).hexdigest()
+
+
+def test_spans_of_copies_are_gathered_once(spark):
+    first = [(1, A, "en", "a", 0), (2, B, "en", "a", 0)]
+    copy = (3, A + " between " + B, "en", "a", 0)
+    units = repeats.Units("word", debruijn.WINDOW, debruijn.ANCHOR)
+
+    def longest(copies):
+        docs = spark.createDataFrame([*first, *[copy] * copies], DOCS)
+        packed = repeats.packed_documents(docs, "doc_id", "text", False)
+        shared = repeats.shared_anchors(docs.select(repeats.row_id("doc_id", "text").alias("rid"), "text"), units)
+        return debruijn.repeated_spans(packed, shared, units).agg(F.max(F.size("spans"))).first()[0]
+
+    assert longest(40) == longest(1)
+    docs = spark.createDataFrame([*first, *[copy] * 40], DOCS)
+    assert {r.n_removed for r in debruijn.remove_repeated_windows(docs).collect() if r.doc_id == 3} == {60 + 18}
