@@ -25,11 +25,11 @@ def numbered(rows: DataFrame, within: Sequence[str], *levels: Sequence[str], nam
     ranked = rows.withColumn("r_", F.row_number().over(Window.partitionBy(*keys).orderBy(*levels[-1])))
     if len(levels) == 1:
         return ranked.withColumnRenamed("r_", name)
-    sums = _before(rows.groupBy(*keys).agg(F.count("*").alias("n_")), within, levels[:-1], "n_")
+    sums = running(rows.groupBy(*keys).agg(F.count("*").alias("n_")), within, levels[:-1], "n_")
     return ranked.join(sums.select(*keys, "before"), keys).withColumn(name, F.col("r_") + F.col("before")).drop("r_", "before")
 
 
-def _before(counts: DataFrame, within: Sequence[str], levels: Sequence[Sequence[str]], n: str) -> DataFrame:
+def running(counts: DataFrame, within: Sequence[str], levels: Sequence[Sequence[str]], n: str) -> DataFrame:
     """``counts`` with ``before``, the sum of ``n`` over the rows ahead in order of all levels, and ``total``."""
     upper = [*within, *levels[0]]
     top = counts.groupBy(*upper).agg(F.sum(n).alias("s_"))
@@ -38,7 +38,7 @@ def _before(counts: DataFrame, within: Sequence[str], levels: Sequence[Sequence[
     if len(levels) == 1:
         return counts.withColumns({"before": ahead(within, levels[0], n), "total": F.sum(n).over(group)})
     top = top.select(*upper, ahead(within, levels[0], "s_").alias("up_"), F.sum("s_").over(group).alias("total"))
-    lower = _before(counts, upper, levels[1:], n).drop("total")
+    lower = running(counts, upper, levels[1:], n).drop("total")
     return lower.join(top, upper).withColumn("before", F.col("before") + F.col("up_")).drop("up_")
 
 
@@ -59,7 +59,7 @@ def ranked_values(rows: DataFrame, by: Sequence[str], value: str, finer: Sequenc
     cut = counts.withColumn("salt_", F.pmod(F.xxhash64(value, *finer), F.lit(SALTS)).cast("int")).join(ends, [*by, "salt_"])
     cut = cut.withColumn("fine_", stretch).withColumn("coarse_", F.floor(F.col("fine_") / STRETCH)).drop("salt_", "lo_", "hi_")
     levels = [["coarse_"], ["fine_"], [value], *[[k] for k in finer]]
-    return _before(cut, list(by), levels, "n").drop("coarse_", "fine_")
+    return running(cut, list(by), levels, "n").drop("coarse_", "fine_")
 
 
 def nearest_ranks(rows: DataFrame, by: Sequence[str], value: str, count: Column | None = None, **ranks) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..model import FRAME
+from ..operators.ranks import running
 
 
 def page_keys(page: Column, n_z: int, n_c: int) -> tuple[Column, Column, Column]:
@@ -97,22 +100,59 @@ def source_fingerprint(size: Column, mtime: Column, head: Column, tail: Column)
 
 
 def probe_fingerprint(pixels: DataFrame, probes: int = 3, length: int = 256) -> DataFrame:
-    """16 hex digits per frame of its extent and ``probes`` runs of ``length`` pixels, spread over the frame."""
-    line = Window.partitionBy(*FRAME).orderBy("y", "x")
-    rows = pixels.withColumns({"i": F.row_number().over(line) - 1, "n": F.count("*").over(Window.partitionBy(*FRAME))})
-    starts = [F.expr(f"(n - least(n, {length})) * {k} div {max(probes - 1, 1)}") for k in range(probes)]
-    hit = F.lit(False)
-    for s in starts:
-        hit = hit | ((F.col("i") >= s) & (F.col("i") < s + length))
-    listed = F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.when(hit, F.struct("i", "v")))), lambda p: p["v"].cast("string")))
-    shape = F.concat_ws("x", F.max("y") + 1, F.max("x") + 1)
-    return rows.groupBy(*FRAME).agg(F.substring(F.sha2(F.concat(shape, F.lit(":"), listed), 256), 1, 16).alias("fingerprint"))
+    """16 hex digits per frame of its extent and ``probes`` runs of ``length`` pixels, spread over the frame.
+
+    Pixels are counted by line; only the lines that a run lies in are read for
+    their order.
+    """
+    lines = running(pixels.groupBy(*FRAME, "y").agg(F.count("*").alias("n_")), FRAME, [["y"]], "n_")
+    starts = [F.expr(f"(total - least(total, {length})) * {k} div {max(probes - 1, 1)}") for k in range(probes)]
+
+    def within(low, high):
+        hit = F.lit(False)
+        for s in starts:
+            hit = hit | ((low < s + length) & (high > s))
+        return hit
+
+    met = lines.where(within(F.col("before"), F.col("before") + F.col("n_"))).select(*FRAME, "y", "before", "total")
+    line = Window.partitionBy(*FRAME, "y").orderBy("x")
+    rows = pixels.join(met, [*FRAME, "y"]).withColumn("i", F.col("before") + F.row_number().over(line) - 1)
+    rows = rows.where(within(F.col("i"), F.col("i") + 1))
+    shape = pixels.groupBy(*FRAME).agg(F.concat_ws("x", F.max("y") + 1, F.max("x") + 1).alias("shape"))
+    listed = rows.groupBy(*FRAME).agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda p: p["v"].cast("string"))).alias("listed"))
+    return listed.join(shape, FRAME).select(*FRAME, F.substring(F.sha2(F.concat("shape", F.lit(":"), "listed"), 256), 1, 16).alias("fingerprint"))
 
 
 def full_fingerprint(pixels: DataFrame) -> DataFrame:
-    """SHA-256 per frame of all its values in raster order."""
-    values = F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "v"))), lambda p: p["v"].cast("string"))
-    return pixels.groupBy(*FRAME).agg(F.sha2(F.concat_ws(",", values), 256).alias("fingerprint"))
+    """SHA-256 per frame of all its values in raster order. Lines are made text side by side, then each frame's are hashed as they stream by."""
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("x", "v"))), lambda p: p["v"].cast("string"))
+    lines = pixels.groupBy(*FRAME, "y").agg(F.concat_ws(",", listed).alias("line"))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, kinds = None, None, None
+        for batch in batches:
+            kinds = [batch.schema.field(k) for k in FRAME]
+            out = []
+            for *own, line in zip(*(batch.column(k).to_pylist() for k in [*FRAME, "line"]), strict=True):
+                if own == key:
+                    state.update(b",")
+                else:
+                    if state is not None:
+                        out.append([*key, state.hexdigest()])
+                    key, state = own, hashlib.sha256()
+                state.update(line.encode())
+            if out:
+                yield _records(out, kinds)
+        if state is not None:
+            yield _records([[*key, state.hexdigest()]], kinds)
+
+    form = ", ".join(f"{k} {pixels.schema[k].dataType.simpleString()}" for k in FRAME) + ", fingerprint string"
+    return lines.repartition(*FRAME).sortWithinPartitions(*FRAME, "y").mapInArrow(digest, form)
+
+
+def _records(rows: list[list], kinds: list[pa.Field]) -> pa.RecordBatch:
+    columns = [pa.array([r[i] for r in rows], k.type) for i, k in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([r[-1] for r in rows], pa.string())], [*[k.name for k in kinds], "fingerprint"])
 
 
 def frame_name(prefix: Column, axes: dict[str, tuple[Column, Column]]) -> Column:
