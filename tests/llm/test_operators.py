@@ -199,11 +199,10 @@ def test_g711_tables(law):
     assert telephony.TABLES[law].tolist() == [g711(i, law) for i in range(256)]
 
 
-def test_adpcm_blocks_equal_a_plain_decoder():
-    data = np.random.default_rng(0).integers(0, 256, 64 * 7, dtype=np.uint8)
+def plain_ima(data):
     out = []
     for at in range(0, len(data), 64):
-        b = data[at : at + 64].tolist()
+        b = list(data[at : at + 64])
         value, index = int.from_bytes(bytes(b[:2]), "little", signed=True), min(b[2], 88)
         line = [value]
         for byte in b[4:]:
@@ -217,7 +216,25 @@ def test_adpcm_blocks_equal_a_plain_decoder():
                 index = max(0, min(88, index + int(telephony.IMA_MOVES[code & 7])))
                 line.append(value)
         out.append(line)
-    assert telephony.ima_decode(data).tolist() == out
+    return out
+
+
+def test_adpcm_blocks_equal_a_plain_decoder():
+    data = np.random.default_rng(0).integers(0, 256, 64 * 7, dtype=np.uint8)
+    assert telephony.ima_decode(data).tolist() == plain_ima(data.tolist())
+
+
+def test_features_equal_a_plain_decoder(docs):
+    for r in telephony.telephony_columns(docs, with_media=True).limit(25).collect():
+        _, back = telephony.wav_payload(bytes(r.media))
+        told = dict(x.rsplit("=", 1) for x in r.feature.split(";")[:-1])
+        for law in ("mulaw", "alaw"):
+            samples = [g711(b, law) for b in back]
+            assert int(told[f"{law}:energy"]) == sum(v * v for v in samples)
+            assert int(told[f"{law}:crossings"]) == sum((a < 0) != (b < 0) for a, b in zip(samples, samples[1:]))
+        ima = [v for line in plain_ima(back) for v in line]
+        assert (int(told["ima:energy"]), int(told["ima:peak"])) == (sum(v * v for v in ima), max(map(abs, ima)))
+        assert r.feature.split(";")[-1] == f"pcm16000:{hashlib.sha256(r.pcm).hexdigest()[:16]}"
 
 
 def test_audio_is_lossless(docs, rows):
