@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.graph import written
+from .ranks import numbered
 
 
 def chain_map(sizes: DataFrame, order: str = "asc") -> DataFrame:
     """``out_idx, file_idx, local_idx`` of files with ``file_idx, n``: one file after the other (asc, desc) or interleaved."""
     rows = sizes.where("n > 0").select("file_idx", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("local_idx"))
-    keys = {"asc": ["file_idx", "local_idx"], "desc": [F.desc("file_idx"), "local_idx"], "interleaved": ["local_idx", "file_idx"]}
-    if order not in keys:
+    levels = {"asc": (["file_idx"], ["local_idx"]), "desc": (["back_"], ["local_idx"]), "interleaved": (["local_idx"], ["file_idx"])}
+    if order not in levels:
         raise ValueError(f"unknown order {order!r}")
-    # a chain has one entry per index of one axis, so one ordered window is small
-    return rows.select((F.row_number().over(Window.orderBy(*keys[order])) - 1).cast("int").alias("out_idx"), "file_idx", "local_idx")
+    placed = numbered(rows.withColumn("back_", -F.col("file_idx")), [], *levels[order], name="nth_")
+    return placed.select((F.col("nth_") - 1).cast("int").alias("out_idx"), "file_idx", "local_idx")
 
 
 def apply_chain(parts: DataFrame, chain: DataFrame, axis: str = "t") -> DataFrame:

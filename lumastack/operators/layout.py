@@ -6,23 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import numbered
+
 
 def stage_layout(tiles: DataFrame, pixel_um: float, tile_h: int, tile_w: int) -> DataFrame:
     """``m, off_y, off_x``: both stage axes negated, from the least x and the greatest y; positions within 0.1 um of each other fall back to a square grid.
 
-    ``tiles``: ``m, stage_x, stage_y``; there are as many rows as positions of
-    one plate, so one unpartitioned window is small.
+    ``tiles``: ``m, stage_x, stage_y``. Extremes are one aggregate, positions
+    are numbered by counts of stretches of ``m``.
     """
-    whole = Window.partitionBy()
-    x, y = -F.col("stage_x"), -F.col("stage_y")
-    spread = F.greatest(F.max("stage_x").over(whole) - F.min("stage_x").over(whole), F.max("stage_y").over(whole) - F.min("stage_y").over(whole))
-    n = F.count("*").over(whole)
-    side = F.ceil(F.sqrt(n))
-    i = F.row_number().over(Window.orderBy("m")) - 1
-    off_x = F.bround((x - F.min(x).over(whole)) / pixel_um, 0)
-    off_y = F.bround((F.max(y).over(whole) - y) / pixel_um, 0)
-    flat = spread <= 0.1
-    return tiles.select(
+    ends = tiles.agg(F.count("*").alias("n"), *[f(k).alias(f"{f.__name__}_{k}") for f in (F.min, F.max) for k in ("stage_x", "stage_y")])
+    numbers = numbered(tiles.withColumn("stretch_", F.floor(F.col("m") / 4096)), [], ["stretch_"], ["m"], name="i").crossJoin(F.broadcast(ends))
+    x, y, i = F.col("stage_x"), F.col("stage_y"), F.col("i") - 1
+    side = F.ceil(F.sqrt("n"))
+    flat = F.greatest(F.col("max_stage_x") - F.col("min_stage_x"), F.col("max_stage_y") - F.col("min_stage_y")) <= 0.1
+    off_x, off_y = F.bround((F.col("max_stage_x") - x) / pixel_um, 0), F.bround((y - F.col("min_stage_y")) / pixel_um, 0)
+    return numbers.select(
         "m",
         F.when(flat, F.floor(i / side) * tile_h).otherwise(off_y).cast("int").alias("off_y"),
         F.when(flat, (i % side) * tile_w).otherwise(off_x).cast("int").alias("off_x"),
