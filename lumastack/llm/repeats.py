@@ -257,7 +257,7 @@ def _groups(docs: DataFrame, units: Units, text: str) -> int:
 
 
 def shared_anchors(rows: DataFrame, units: Units, rid: str = "rid", text: str = "text") -> DataFrame:
-    """``rid, anchors array<long>``: each row's anchors that another row has too; a row may have several rows.
+    """``rid, anchor``: each row's anchors that another row has too, several times perhaps.
 
     Tasks gather the (anchor, row) pairs of some texts. An anchor that several
     of these have is known to be shared: its rows are told at once, and one pair
@@ -334,22 +334,16 @@ def shared_anchors(rows: DataFrame, units: Units, rid: str = "rid", text: str =
             more = ((least != most) | (np.maximum.reduceat(known, np.flatnonzero(first)) > 0))[run]
             docs_.append(doc[more])
             marks.append(low[more])
-        doc, low = np.concatenate(docs_), np.concatenate(marks)
-        order = np.argsort(doc, kind="stable")
-        doc, low = doc[order], low[order].astype(np.int64)
-        cuts = np.flatnonzero(doc[1:] != doc[:-1]) + 1
-        lo = [0, *cuts.tolist()] if len(doc) else []
-        lists = pa.ListArray.from_arrays(pa.array([*lo, len(doc)] if len(lo) else [0], pa.int32()), pa.array(low))
-        return pa.table({"rid": pa.array(doc[lo]), "anchors": lists})
+        return pa.table({"rid": pa.array(np.concatenate(docs_)), "anchor": pa.array(np.concatenate(marks).astype(np.int64))})
 
     named = rows.select(F.col(rid), F.col(text).cast("binary")).where(F.col(rid).isNotNull() & F.col(text).isNotNull())
     pairs = named.mapInArrow(gather, "g long, kind int, low binary, doc binary, known binary")
-    return pairs.groupBy("g").applyInArrow(settle, "rid long, anchors array<long>")
+    return pairs.groupBy("g").applyInArrow(settle, "rid long, anchor long")
 
 
 def marked(shared: DataFrame) -> DataFrame:
     """One row per rid; its anchors are bounded by its own text."""
-    return shared.groupBy("rid").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
+    return shared.groupBy("rid").agg(F.collect_list("anchor").alias("anchors"))
 
 
 SEGMENTS = "skey binary, anchor long, doc_id long, rid long, start int, windows int, content binary"
