@@ -179,13 +179,17 @@ def union_rows(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def write_labels(labels: DataFrame, path: str, by: Sequence[str] = ("m",)) -> None:
-    """Labels as Parquet by position (or channel), sorted by frame and row within."""
-    labels.repartition(*by).sortWithinPartitions("t", "y", "x").write.mode("overwrite").partitionBy(*by).parquet(path)
+    """Labels as Parquet by position (or channel), sorted by frame and row within and over a position's files, whose names follow that order."""
+    labels.repartitionByRange(*by, "t", "y").sortWithinPartitions(*by, "t", "y", "x").write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
 def write_frames(pixels: DataFrame, path: str, by: Sequence[str] = ("source_file", "m")) -> None:
-    """Frames as Parquet partitioned by source and position, in T, Z, C order within; plane shapes must agree over channels."""
+    """Frames as Parquet partitioned by source and position, in T, Z, C order within; plane shapes must agree over channels.
+
+    Lines are dealt by range, so that a position is spread over tasks; the
+    names of its files follow the order.
+    """
     shapes = pixels.groupBy("c").agg(F.max("y").alias("h"), F.max("x").alias("w")).select("h", "w").distinct().limit(2).count()
     if shapes > 1:
         raise ValueError("channels differ in plane shape")
-    pixels.repartition(*by).sortWithinPartitions("t", "z", "c", "y", "x").write.mode("overwrite").partitionBy(*by).parquet(path)
+    pixels.repartitionByRange(*by, "t", "z", "c", "y").sortWithinPartitions(*by, "t", "z", "c", "y", "x").write.mode("overwrite").partitionBy(*by).parquet(path)
