@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -52,25 +53,31 @@ def morphology(mask: DataFrame, steps: str, r: int, height: int | None = None, w
     Beyond a plane of a given size nothing is mask for a dilation and all is
     for an erosion; without a size planes have no end. A tile's halo is r for
     each step, so a pixel goes to its own tile and, near its border, to the
-    next; a task holds one tile.
+    next; a task holds one tile, cut to the plane if its size is given.
     """
     halo = r * len(steps)
     side = tile + 2 * halo
+    ends = [None if n is None else (0, n) for n in (height, width)]
     types = ", ".join(f"{k} {mask.schema[k].dataType.simpleString()}" for k in FRAME)
 
+    def cut(at: int, end: tuple[int, int] | None) -> tuple[int, int]:
+        low = at * tile - halo
+        return (low, low + side) if end is None else (max(low, end[0]), min(low + side, end[1]))
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = int(pdf.ty.iloc[0]) * tile - halo, int(pdf.tx.iloc[0]) * tile - halo
-        on = np.zeros((side, side), dtype=bool)
-        on[pdf.y.to_numpy() - y0, pdf.x.to_numpy() - x0] = True
-        beyond = np.zeros((side, side), dtype=bool)
-        if height is not None:
-            yy, xx = np.arange(y0, y0 + side), np.arange(x0, x0 + side)
-            beyond |= ((yy < 0) | (yy >= height))[:, None] | ((xx < 0) | (xx >= width))[None, :]
+        ty, tx = int(pdf.ty.iloc[0]), int(pdf.tx.iloc[0])
+        (y0, y1), (x0, x1) = cut(ty, ends[0]), cut(tx, ends[1])
+        if y0 >= y1 or x0 >= x1:
+            return pd.DataFrame(columns=[*FRAME, "y", "x"])
+        on = np.zeros((y1 - y0, x1 - x0), dtype=bool)
+        y, x = pdf.y.to_numpy(), pdf.x.to_numpy()
+        seen = (y >= y0) & (y < y1) & (x >= x0) & (x < x1)
+        on[y[seen] - y0, x[seen] - x0] = True
         for s in steps:
-            on = within(on & ~beyond, r, ellipse) if s == "d" else ~within(~(on | beyond), r, ellipse)
-        on &= ~beyond
-        y, x = np.nonzero(on[halo : halo + tile, halo : halo + tile])
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in FRAME}, "y": (y + y0 + halo).astype(np.int32), "x": (x + x0 + halo).astype(np.int32)})
+            on = within(on, r, ellipse) if s == "d" else ~within(~on, r, ellipse)
+        core_y, core_x = max(ty * tile - y0, 0), max(tx * tile - x0, 0)
+        y, x = np.nonzero(on[core_y : (ty + 1) * tile - y0, core_x : (tx + 1) * tile - x0])
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in FRAME}, "y": (y + y0 + core_y).astype(np.int32), "x": (x + x0 + core_x).astype(np.int32)})
 
     return _dealt(mask.select(*AT), halo, tile).groupBy(*FRAME, "ty", "tx").applyInPandas(run, f"{types}, y int, x int")
 
@@ -167,14 +174,14 @@ def components(mask: DataFrame, eight: bool = True, tile: int = 256) -> DataFram
             changes = change
         else:  # what became (gy, gx) before may have become something else now
             later = change.select(*FRAME, F.col("fy").alias("gy"), F.col("fx").alias("gx"), F.col("gy").alias("hy"), F.col("gx").alias("hx"))
-            on = changes.join(later, [*FRAME, "gy", "gx"], "left").select(*FRAME, "fy", "fx", F.coalesce("hy", "gy").alias("gy"), F.coalesce("hx", "gx").alias("gx"))
+            on = changes.join(later.hint("merge"), [*FRAME, "gy", "gx"], "left").select(*FRAME, "fy", "fx", F.coalesce("hy", "gy").alias("gy"), F.coalesce("hx", "gx").alias("gx"))
             changes = on.unionByName(change)
         rim = merged.where("gy IS NULL").select(*AT, "fy", "fx")
     if changes is not None:
-        tiled = tiled.join(changes, [*FRAME, "fy", "fx"], "left").select(*AT, F.coalesce("gy", "fy").alias("fy"), F.coalesce("gx", "fx").alias("fx"))
+        tiled = tiled.join(changes.hint("merge"), [*FRAME, "fy", "fx"], "left").select(*AT, F.coalesce("gy", "fy").alias("fy"), F.coalesce("gx", "fx").alias("fx"))
     firsts = tiled.where("y = fy AND x = fx").select(*FRAME, "fy", "fx")
     ids = firsts.withColumn("label_id", F.row_number().over(Window.partitionBy(*FRAME).orderBy("fy", "fx")))
-    return tiled.select(*AT, "fy", "fx").join(ids, [*FRAME, "fy", "fx"]).select(*AT, "label_id")
+    return tiled.select(*AT, "fy", "fx").join(ids.hint("merge"), [*FRAME, "fy", "fx"]).select(*AT, "label_id")
 
 
 def _rim(labelled: DataFrame, side: int, origin: tuple[int, int]) -> DataFrame:
@@ -219,7 +226,7 @@ def relabel(labels: DataFrame) -> DataFrame:
 def hysteresis(permissive: DataFrame, strict: DataFrame, tile: int = 256) -> DataFrame:
     """Permissive pixels 4-connected to a strict pixel."""
     labels = components(permissive, eight=False, tile=tile)
-    seeded = labels.join(strict.select(*AT), AT, "left_semi").select(*FRAME, "label_id").distinct()
+    seeded = labels.join(strict.select(*AT).hint("merge"), AT, "left_semi").select(*FRAME, "label_id").distinct()
     return labels.join(seeded, [*FRAME, "label_id"], "left_semi").select(*AT)
 
 
@@ -231,7 +238,7 @@ def by_size(labels: DataFrame, least: int = 0, most: int = 0) -> DataFrame:
 
 
 def complement(mask: DataFrame, plane: DataFrame) -> DataFrame:
-    return plane.select(*AT).join(mask.select(*AT), AT, "left_anti")
+    return plane.select(*AT).join(mask.select(*AT).hint("merge"), AT, "left_anti")
 
 
 def background_mask(labels: DataFrame, plane: DataFrame) -> DataFrame:
@@ -289,20 +296,25 @@ def _settle_tiles(state: DataFrame, values: Sequence[str], settle, tile: int, se
     What changed along a side is sent to the tile beyond it, and only tiles
     that are sent something settle again. So work goes on at the frontier
     only, and rounds are counted in tiles, not in pixels. A tile is one row
-    with its values as an array; a task holds one tile. ``settle`` takes and
-    gives arrays by value, NaN where there is none. ``settled`` gets the
-    number of tiles of each round.
+    with its values as a packed array; a task holds one tile, which is no wider
+    than the planes need. ``settle`` takes and gives arrays by value, NaN where
+    there is none. ``settled`` gets the number of tiles of each round.
     """
+    ends = state.agg(F.least(F.min("y"), F.min("x")), F.greatest(F.max("y"), F.max("x"))).first()
+    if ends[0] is not None and ends[0] >= 0:
+        tile = min(tile, ends[1] + 1)
     types = ", ".join(f"{k} {state.schema[k].dataType.simpleString()}" for k in FRAME)
     form = f"{types}, ty int, tx int, dy int, dx int, cells binary"
     shape = (len(values), tile + 2, tile + 2)
+    pack = lambda a: zlib.compress(np.ascontiguousarray(a).tobytes(), 1)
+    unpack = lambda b: np.frombuffer(zlib.decompress(b))
 
     def rows(keys: dict, before: np.ndarray, after: np.ndarray) -> pd.DataFrame:
-        out = [{**keys, "dy": None, "dx": None, "cells": after.tobytes()}]
+        out = [{**keys, "dy": None, "dx": None, "cells": pack(after)}]
         for dy, dx in _SIDES:
             at = (slice(None), *_strip(dy, dx, tile, inner=True))
             if not np.array_equal(before[at], after[at], equal_nan=True):
-                out.append({**keys, "ty": keys["ty"] + dy, "tx": keys["tx"] + dx, "dy": -dy, "dx": -dx, "cells": np.ascontiguousarray(after[at]).tobytes()})
+                out.append({**keys, "ty": keys["ty"] + dy, "tx": keys["tx"] + dx, "dy": -dy, "dx": -dx, "cells": pack(after[at])})
         return pd.DataFrame(out, columns=[*FRAME, "ty", "tx", "dy", "dx", "cells"]).astype({"dy": "Int32", "dx": "Int32"})
 
     def settled_rows(keys: dict, before: np.ndarray, now: np.ndarray) -> pd.DataFrame:
@@ -322,11 +334,11 @@ def _settle_tiles(state: DataFrame, values: Sequence[str], settle, tile: int, se
     def again(tiles: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
         if not len(tiles) or not len(sent):
             return pd.DataFrame(columns=[*FRAME, "ty", "tx", "dy", "dx", "cells"])
-        before = np.frombuffer(tiles.cells.iloc[0]).reshape(shape)
+        before = unpack(tiles.cells.iloc[0]).reshape(shape)
         now = before.copy()
         for dy, dx, cells in zip(sent.dy, sent.dx, sent.cells):
             at = (slice(None), *_strip(int(dy), int(dx), tile, inner=False))
-            now[at] = np.frombuffer(cells).reshape(now[at].shape)
+            now[at] = unpack(cells).reshape(now[at].shape)
         return settled_rows({k: tiles[k].iloc[0] for k in [*FRAME, "ty", "tx"]}, before, now)
 
     place = [*FRAME, "ty", "tx"]
@@ -357,7 +369,7 @@ def _settle_tiles(state: DataFrame, values: Sequence[str], settle, tile: int, se
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples():
-                cells = np.frombuffer(row.cells).reshape(shape)[:, 1:-1, 1:-1]
+                cells = unpack(row.cells).reshape(shape)[:, 1:-1, 1:-1]
                 y, x = np.nonzero(~np.isnan(cells[0]))
                 yield pd.DataFrame({**{k: getattr(row, k) for k in FRAME}, "y": (y + row.ty * tile).astype(np.int32), "x": (x + row.tx * tile).astype(np.int32), **{v: cells[i, y, x] for i, v in enumerate(values)}})
 
@@ -384,9 +396,9 @@ def watershed(pixels: DataFrame, seeds: DataFrame, mask: DataFrame, bright: bool
     flood downwards from their peaks.
     """
     cost = (-F.col("v") if bright else F.col("v")).cast("double")
-    ground = pixels.join(mask.select(*AT), AT, "left_semi").select(*AT, cost.alias("g"))
+    ground = pixels.join(mask.select(*AT).hint("merge"), AT, "left_semi").select(*AT, cost.alias("g"))
     marks = seeds.select(*AT, F.col("label_id").cast("double").alias("s"))
-    state = written(ground.join(marks, AT, "left").select(*AT, "g", F.when(F.col("s").isNotNull(), F.col("g")).alias("h"), "s"), "flood")
+    state = written(ground.join(marks.hint("merge"), AT, "left").select(*AT, "g", F.when(F.col("s").isNotNull(), F.col("g")).alias("h"), "s"), "flood")
     four = ((-1, 0), (1, 0), (0, -1), (0, 1))
 
     def rise(a: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
