@@ -137,7 +137,7 @@ def per_frame(rows: DataFrame, spine: DataFrame) -> DataFrame:
 
 def background_stats(pixels: DataFrame, labels: DataFrame) -> DataFrame:
     """Mean and population deviation of each frame's pixels outside objects."""
-    rest = pixels.join(labels.select(*FRAME, "y", "x"), [*FRAME, "y", "x"], "left_anti")
+    rest = pixels.join(labels.select(*FRAME, "y", "x").hint("merge"), [*FRAME, "y", "x"], "left_anti")
     return rest.groupBy(*FRAME).agg(F.avg("v").alias("background_mean"), F.stddev_pop("v").alias("background_std"))
 
 

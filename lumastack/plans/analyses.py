@@ -42,7 +42,7 @@ def resolved_thresholds(
         out = found.withColumns({"low": low_ if floor is None else F.least(low_, F.lit(floor)), "high": high_ if ceiling is None else F.greatest(high_, F.lit(ceiling))})
         out = out.withColumns({"low": F.when(low_.isNotNull(), F.col("low")), "high": F.when(high_.isNotNull(), F.col("high")), "reference_median": F.lit(None).cast("double")})
     elif mode == "relative":
-        inside = pixels if reference is None else pixels.join(reference.select(*AT), AT, "left_semi")
+        inside = pixels if reference is None else pixels.join(reference.select(*AT).hint("merge"), AT, "left_semi")
         found = inside.groupBy(*FRAME).agg(F.percentile("v", F.lit(0.5)).cast("double").alias("reference_median"))
         part = lambda f: null if f is None else F.col("reference_median") * f
         shown = lambda f: null if not f else F.col("reference_median") * f
@@ -107,10 +107,10 @@ def segment_by_histogram(
             sharp = point.percentile_threshold(pixels, method, strict if method == "below" else None, strict if method == "above" else None)
             mask = label.hysteresis(mask, sharp)
     if quiet:
-        mask = neighbour.quiet_pixels(mask.select(*AT).join(pixels, AT), *quiet)
+        mask = neighbour.quiet_pixels(mask.select(*AT).join(pixels.hint("merge"), AT), *quiet)
     mask = label.spatial_cleanup(mask.select(*AT), pixels, height, width, open_r, close_r, holes, least, most)
     labels = written(label.components(mask), "labels")
-    regions = measure.regions(labels.join(pixels, AT))
+    regions = measure.regions(labels.join(pixels.hint("merge"), AT))
     rows = regions.withColumn("frame", F.col("t"))
     from ..sources.stacks import probe_fingerprint
 
@@ -158,15 +158,15 @@ def find_spots(
         if widen == "dilation":
             mask = label.dilate(mask, max(1, round(widen_um / um)), height, width)
         else:
-            seeds = spots.join(mask, AT, "left_semi")
+            seeds = spots.join(mask.hint("merge"), AT, "left_semi")
             # seeds keep their pixels also where they lie outside the boundary
             mask = label.watershed(pixels, seeds, (boundary if boundary is not None else pixels).select(*AT), bright).select(*AT).union(mask).distinct()
         labels = label.components(mask)
     else:
         labels = label.relabel(kept)
     labels = written(labels, "spot-labels")
-    regions = measure.regions(labels.join(pixels, AT))
-    score = labels.join(peaks.select(*AT, F.col("v").alias("score")), AT).groupBy(*FRAME, "label_id").agg(F.max("score").alias("score"))
+    regions = measure.regions(labels.join(pixels.hint("merge"), AT))
+    score = labels.join(peaks.select(*AT, F.col("v").alias("score")).hint("merge"), AT).groupBy(*FRAME, "label_id").agg(F.max("score").alias("score"))
     back = measure.background_stats(pixels, labels)
     return {"labels": labels, "regions": regions.join(score, [*FRAME, "label_id"], "left").join(back, FRAME, "left"), "peaks": peaks, "background": back}
 
@@ -192,17 +192,17 @@ def homogeneity(pixels: DataFrame, mask: DataFrame, win: int, r: int, height: in
     """(1 - intensity)(1 - variance)(1 - entropy), of the box and disk around each pixel, each by rank within the mask: high where dark and even."""
     ranked = lambda d, name: neighbour.rank_normalise(d.select(*AT, "v")).withColumnRenamed("v", name)
     box = neighbour.local_stats(pixels, win)
-    inside, var = (box.select(*AT, F.round(k, 6).alias("v")).join(mask.select(*AT), AT, "left_semi") for k in ("mean", "variance"))
+    inside, var = (box.select(*AT, F.round(k, 6).alias("v")).join(mask.select(*AT).hint("merge"), AT, "left_semi") for k in ("mean", "variance"))
     eight = point.auto_stretch(pixels)
-    ent = neighbour.local_entropy(eight, r, height, width).withColumn("v", F.round("v", 9)).join(mask.select(*AT), AT, "left_semi")
-    all_ = ranked(inside, "i_").join(ranked(var, "w_"), AT).join(ranked(ent, "e_"), AT)
+    ent = neighbour.local_entropy(eight, r, height, width).withColumn("v", F.round("v", 9)).join(mask.select(*AT).hint("merge"), AT, "left_semi")
+    all_ = ranked(inside, "i_").join(ranked(var, "w_").hint("merge"), AT).join(ranked(ent, "e_").hint("merge"), AT)
     return all_.select(*AT, ((1 - F.col("i_")) * (1 - F.col("w_")) * (1 - F.col("e_"))).alias("v"))
 
 
 def region_classes(labels: DataFrame, counterstain: DataFrame, mask: DataFrame) -> DataFrame:
     """Class of each region by its counterstain mean against the frame's 15th percentile in tissue: tear below it, weak_stain at or above, unknown without."""
-    low = counterstain.join(mask.select(*AT), AT, "left_semi").groupBy(*FRAME).agg(F.percentile("v", F.lit(0.15)).alias("low"))
-    mean = labels.join(counterstain, AT, "left").groupBy(*FRAME, "label_id").agg(F.avg("v").alias("mean_"))
+    low = counterstain.join(mask.select(*AT).hint("merge"), AT, "left_semi").groupBy(*FRAME).agg(F.percentile("v", F.lit(0.15)).alias("low"))
+    mean = labels.join(counterstain.hint("merge"), AT, "left").groupBy(*FRAME, "label_id").agg(F.avg("v").alias("mean_"))
     kind = F.when(F.col("mean_").isNull() | F.col("low").isNull(), "unknown").when(F.col("mean_") < F.col("low"), "tear").otherwise("weak_stain")
     return mean.join(low, FRAME, "left").select(*FRAME, "label_id", kind.alias("region_class"))
 
@@ -221,8 +221,8 @@ def find_dark_regions(
     score = written(homogeneity(pixels, mask, win, r, height, width).where(F.col("v") > least_score), "dark-score")
     labels = written(label.relabel(label.by_size(label.components(score.select(*AT)), least, most)), "dark-labels")
     by = [*FRAME, "label_id"]
-    regions = measure.regions(labels.join(pixels, AT)).join(measure.moments(labels), by).join(measure.solidity(labels), by)
-    even = labels.join(score, AT).groupBy(*by).agg(F.round(F.avg("v"), 4).alias("homogeneity_score"))
+    regions = measure.regions(labels.join(pixels.hint("merge"), AT)).join(measure.moments(labels), by).join(measure.solidity(labels), by)
+    even = labels.join(score.hint("merge"), AT).groupBy(*by).agg(F.round(F.avg("v"), 4).alias("homogeneity_score"))
     kinds = region_classes(labels, pixels if counterstain is None else counterstain, mask)
     return {"labels": labels, "regions": regions.join(even, by).join(kinds, by), "tissue": mask}
 
@@ -250,7 +250,7 @@ def full_measurements(labels: DataFrame, pixels: DataFrame, channels: list[str],
     come in px and um, deltas from frame to frame.
     """
     by = [*FRAME, "label_id"]
-    base = measure.regions(labels.join(pixels, AT)).drop("mean_intensity", "min_intensity", "max_intensity")
+    base = measure.regions(labels.join(pixels.hint("merge"), AT)).drop("mean_intensity", "min_intensity", "max_intensity")
     shaped = base.join(measure.perimeter(labels), by).join(measure.moments(labels), by).join(measure.solidity(labels), by)
     stats = measure.channel_intensities(labels, intensities if intensities is not None else pixels, channels).withColumnRenamed("segmentation_channel", "c")
     rows = point.to_units(shaped.join(stats, by, "left"), pixel_um)
@@ -281,15 +281,15 @@ def blob_subtract(pixels: DataFrame, sigmas: list[float], least: float, height:
     peaks = peaks.withColumns({"label_id": F.row_number().over(Window.partitionBy(*FRAME).orderBy("y", "x")), "r": F.col("sigma") * (2**0.5) * expand})
     disks = label.rasterise_disks(peaks, height, width).select(*AT, F.lit(1).alias("hit_"))
     if action == "zero":
-        return pixels.join(disks, AT, "left").withColumn("v", F.when(F.col("hit_") == 1, 0).otherwise(F.col("v"))).drop("hit_")
+        return pixels.join(disks.hint("merge"), AT, "left").withColumn("v", F.when(F.col("hit_") == 1, 0).otherwise(F.col("v"))).drop("hit_")
     if action == "interpolate":
         disks = written(disks, "blob-disks")
         wide = label.morphology(disks, "d", 7, height, width, ellipse=True).select(*AT, F.lit(1).alias("wide_"))
-        marked = pixels.join(disks, AT, "left").join(wide, AT, "left")
+        marked = pixels.join(disks.hint("merge"), AT, "left").join(wide.hint("merge"), AT, "left")
         free, ring = F.col("hit_").isNull(), F.col("hit_").isNull() & F.col("wide_").isNotNull()
         fill = marked.groupBy(*FRAME).agg(F.coalesce(F.avg(F.when(ring, F.col("v"))), F.avg(F.when(free, F.col("v"))), F.lit(0.0)).alias("fill_"))
         filled = marked.join(fill, FRAME)
         return filled.withColumn("v", F.when(free, F.col("v")).otherwise(F.floor(F.greatest(F.round("fill_", 6), F.lit(0.0))).cast("int"))).select(*pixels.columns)
     smooth = neighbour.median(pixels, 15, height, width).withColumnRenamed("v", "s_")
-    out = pixels.join(disks, AT, "left").join(smooth, AT)
+    out = pixels.join(disks.hint("merge"), AT, "left").join(smooth.hint("merge"), AT)
     return out.withColumn("v", F.when(F.col("hit_") == 1, F.floor("s_").cast("int")).otherwise(F.col("v"))).drop("hit_", "s_")
