@@ -146,22 +146,33 @@ def sketch(prefixes: DataFrame, cells: int) -> np.ndarray:
 
 
 def _screened(prefixes: DataFrame, cells: int) -> DataFrame:
-    """``prefixes`` with ``single``, which is only set where the sketch proves that one conversation has the prefix, and ``top``: the first such prefix of its conversation."""
+    """``prefixes`` with ``single``, which is only set where the sketch proves that one conversation has the prefix or a shorter one of it, and ``top``: the first such prefix of its conversation.
+
+    A prefix of a proven one can be in a full cell all the same. So that it
+    stays with its tail, rows are streamed in the order of their conversation.
+    """
     sent = prefixes.sparkSession.sparkContext.broadcast(sketch(prefixes, cells))
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sent.value
-
-        def one(a: pa.Array, b: pa.Array) -> np.ndarray:
-            at = _cells(a.to_numpy(), b.to_numpy(), cells)
-            return ((counts[at >> 2] >> (2 * (at & 3)).astype(np.uint8)) & 3).min(axis=0) == 1
-
+        last, proven = None, False  # the conversation of the row before, and whether one of its prefixes is proven
         for batch in batches:
-            single = one(batch.column("a"), batch.column("b"))
-            before = one(batch.column("pa"), batch.column("pb")) & (batch.column("depth").to_numpy() > 0)
+            if not batch.num_rows:
+                continue
+            conv = batch.column("conv_id").to_numpy()
+            at = _cells(batch.column("a").to_numpy(), batch.column("b").to_numpy(), cells)
+            one = ((counts[at >> 2] >> (2 * (at & 3)).astype(np.uint8)) & 3).min(axis=0) == 1
+            fresh = np.concatenate([[last is None or conv[0] != last], conv[1:] != conv[:-1]])
+            carried = proven and not fresh[0]
+            one[0] |= carried
+            found, first = np.cumsum(one), np.maximum.accumulate(np.where(fresh, np.arange(len(conv)), 0))
+            single = found - found[first] + one[first] > 0
+            before = np.concatenate([[carried], single[:-1] & ~fresh[1:]])
+            last, proven = conv[-1], bool(single[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(single), pa.array(single & ~before)], [*batch.schema.names, "single", "top"])
 
-    return prefixes.mapInArrow(screen, "conv_id long, depth int, a long, b long, pa long, pb long, words long, last boolean, single boolean, top boolean")
+    ordered = prefixes.repartition("conv_id").sortWithinPartitions("conv_id", "depth")
+    return ordered.mapInArrow(screen, "conv_id long, depth int, a long, b long, pa long, pb long, words long, last boolean, single boolean, top boolean")
 
 
 def _ends(shared: DataFrame) -> DataFrame:
@@ -223,9 +234,9 @@ def prefix_trie(turns: DataFrame) -> DataFrame:
     the subtree; ``ends_sha256`` hashes the ids of the members that end there.
 
     All prefixes of all conversations go into a count-min sketch. A prefix
-    that it counts once has one member, and so have all longer ones: these
-    tails become nodes where they are. Only the other prefixes are shuffled
-    and grouped exactly. A subtree's sums are carried by each node's smallest
+    that it counts once has one member, and so have all longer ones, whatever
+    their own counts: these tails become nodes where they are. Only the other
+    prefixes are grouped exactly. A subtree's sums are carried by each node's smallest
     member: along that conversation they are summed from the end, then over
     all members of a node. A sketch that is too small for the rows lets more
     prefixes through, it never changes the result.

@@ -185,6 +185,15 @@ def test_trie_equals_brute_force(spark, monkeypatch, cells, piece):
     assert as_rows(prefix_trie.conversation_trie(table)) == nodes(rebuilt(rows, group=None))
 
 
+@pytest.mark.parametrize("cells", [256, 1024])
+def test_full_cells_below_a_proven_prefix_change_nothing(spark, monkeypatch, cells):
+    """A tail's longer prefixes that the sketch takes for shared stay nodes of their conversation."""
+    monkeypatch.setattr(prefix_trie, "CELLS", cells)
+    rows = [(c, t, "user", f"turn {t} of {c if t else c % 3}") for c in range(60) for t in range(9)]
+    table = spark.createDataFrame(rows, TURNS).repartition(3)
+    assert as_rows(prefix_trie.conversation_trie(table)) == nodes(rebuilt(rows, group=None))
+
+
 def test_screening_keeps_tails_out_of_the_shuffle(spark):
     """A proven singleton has one member; most single prefixes are proven so, no shared one is."""
     conversations = rebuilt(talk(), group=None)
