@@ -36,44 +36,85 @@ def suffix_order(symbols: Sequence[int]) -> list[int]:
     suffix before the one just placed, and what its prev pointers lead to, get
     the next place of their groups. Both are linear; nothing is renamed.
     """
+    symbols = np.asarray(symbols)
     n = len(symbols)
-    counts = np.bincount(np.asarray(symbols))
-    first = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    group = first[np.asarray(symbols)].tolist()
-    members: dict[int, list[int]] = {}
-    for i, g in enumerate(group):
-        members.setdefault(g, []).append(i)
-    size = {g: len(m) for g, m in members.items()}
-    ending = {g + c: g for g, c in size.items()}
+    by = np.argsort(symbols, kind="stable")
+    opens = np.flatnonzero(np.diff(symbols[by], prepend=-1))
+    sizes = np.diff(opens, append=n)
+    group = np.empty(n, dtype=np.int64)
+    group[by] = np.repeat(opens, sizes)
+    group, by = group.tolist(), by.tolist()
+    members, size, ending = [None] * n, [0] * n, [0] * (n + 1)
+    for g, c in zip(opens.tolist(), sizes.tolist(), strict=True):
+        members[g], size[g], ending[g + c] = by[g : g + c], c, g
     prev = [-1] * n
     top = n
     while top:
         g = ending[top]
-        pointed: dict[int, int] = {}
-        mine = [i for i in members.pop(g) if group[i] == g]
+        mine = members[g]
+        if len(mine) > top - g:
+            mine = [i for i in mine if group[i] == g]
+        members[g] = None
+        top = g
+        if len(mine) == 1:
+            # a group of one points at one suffix at most
+            i = mine[0]
+            j = i - 1
+            while j >= 0 and group[j] >= g:
+                j = prev[j]
+            prev[i] = j
+            if j >= 0:
+                of = group[j]
+                c = size[of] - 1
+                if c:
+                    name = of + c
+                    size[of] = c
+                    size[name] = 1
+                    ending[name + 1], ending[name] = name, of
+                    members[name] = [j]
+                    group[j] = name
+            continue
         mine.sort()
+        ahead = []
         for i in mine:
             j = i - 1
             while j >= 0 and group[j] >= g:
                 j = prev[j]
             prev[i] = j
             if j >= 0:
+                ahead.append(j)
+        parts: dict = {}
+        if len(set(ahead)) == len(ahead):
+            # each is pointed at once
+            for j in ahead:
+                of = group[j]
+                if of in parts:
+                    parts[of].append(j)
+                else:
+                    parts[of] = [j]
+            moves = parts.items()
+        else:
+            pointed = {}
+            for j in ahead:
                 pointed[j] = pointed.get(j, 0) + 1
-        parts: dict[tuple[int, int], list[int]] = {}
-        for j, times in pointed.items():
-            parts.setdefault((times, group[j]), []).append(j)
-        for part in sorted(parts, reverse=True) if len(parts) > 1 else parts:
-            of, leaving = part[1], parts[part]
-            end = of + size[of]
-            name = end - len(leaving)
-            if name != of:
-                size[of] -= len(leaving)
-                size[name] = len(leaving)
+            for j, times in pointed.items():
+                key = times, group[j]
+                if key in parts:
+                    parts[key].append(j)
+                else:
+                    parts[key] = [j]
+            moves = [(part[1], parts[part]) for part in sorted(parts, reverse=True)]
+        for of, leaving in moves:
+            c = size[of] - len(leaving)
+            if c:
+                end = of + size[of]
+                name = of + c
+                size[of] = c
+                size[name] = end - name
                 ending[end], ending[name] = name, of
                 members[name] = leaving
                 for j in leaving:
                     group[j] = name
-        top = g
     order, place, done = [n - 1] * n, list(range(n)), bytearray(n)
     done[n - 1] = 1
     for r in range(n):
