@@ -22,6 +22,8 @@ TOKENIZER = "byte_bpe_50k.json"
 KEPT_UNITS = 150_000
 #: Characters of the texts that are encoded together.
 BATCH_CHARS = 1 << 20
+#: Units that are encoded as one text: the tokenizer keeps some hundred bytes for each of its tokens.
+LINES = 2_000
 
 #: A blank between blanks (or at the end): only there a cut before a single blank could part a token.
 _UNSAFE = re.compile(r"\s \s|\s $")
@@ -87,8 +89,8 @@ class UnitEncoder:
         lines = [p for p in new if p and not p[-1].isspace() and (not p[0].isspace() or p[0] == " " and not p[1].isspace())]
         for p in new.keys() - set(lines) if len(lines) < len(new) else ():
             kept[p] = self._ids(p).tobytes()
-        for at in range(0, len(lines), 20_000):
-            part = lines[at : at + 20_000]
+        for at in range(0, len(lines), LINES):
+            part = lines[at : at + LINES]
             text = "\n".join(part)
             ids = self._ids(text)
             raw, reached = ids.tobytes(), np.cumsum(self.width[ids])
@@ -143,6 +145,7 @@ def token_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        pa.default_memory_pool().release_unused()  # what the worker holds of earlier tasks
         encoder, end = UnitEncoder(path), np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
             names, texts = (batch.column(0).to_pylist(), batch.column(1).to_pylist()), batch.column(2)

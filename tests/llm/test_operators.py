@@ -302,6 +302,15 @@ def test_texts_that_repeat_themselves(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_groups.remove_repeated_bytes(df).collect()} == want
 
 
+def test_ids_do_not_follow_the_number_of_lines_encoded_together(monkeypatch):
+    texts = ["one two, three. four\nfive " * 3 + f"word{i} more{i}x." for i in range(40)]
+    encoder = packing.UnitEncoder(queries.public_tokenizer())
+    want = [encoder._ids(t).tobytes() for t in texts]
+    for lines in (1, 3, 2_000):
+        monkeypatch.setattr(packing, "LINES", lines)
+        assert packing.UnitEncoder(queries.public_tokenizer()).encode(texts) == want
+
+
 def test_suffix_order_equals_sorting():
     rng = np.random.default_rng(8)
     for _ in range(300):
