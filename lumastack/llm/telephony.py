@@ -80,6 +80,22 @@ def resample_double(pcm: np.ndarray) -> np.ndarray:
     return out
 
 
+def pack_pcm(pcm: np.ndarray) -> bytes:
+    """PCM of twice the rate as its even samples, then what its odd ones differ by from the mean of their neighbours (modulo 2^16). Lossless for any samples; interpolated ones leave zeros, which compress away."""
+    even, odd = pcm[0::2].astype(np.int32), pcm[1::2].astype(np.int32)
+    guess = (even + np.append(even[1:], even[-1:])) >> 1
+    return even.astype("<i2").tobytes() + (odd - guess).astype("<i2").tobytes()
+
+
+def unpack_pcm(stored: bytes) -> np.ndarray:
+    """The 16-bit samples again."""
+    even, rest = np.frombuffer(stored, dtype="<i2").reshape(2, -1).astype(np.int32)
+    out = np.empty(2 * len(even), dtype="<i2")
+    out[0::2] = even
+    out[1::2] = (((even + np.append(even[1:], even[-1:])) >> 1) + rest).astype("<i2")
+    return out
+
+
 def wav_bytes(payload: bytes, codec: str, rate: int = RATE) -> bytes:
     """A mono 8-bit WAVE file of G.711 samples."""
     body = struct.pack("<4sIHHIIHHH", b"fmt ", 18, CODES[codec], 1, rate, rate, 1, 8, 0) + struct.pack("<4sI", b"data", len(payload)) + payload
@@ -106,8 +122,8 @@ def padded(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + bytes(-len(raw) % PAD or PAD * (not raw))
 
 
-def features(payloads: list[bytes]) -> list[str]:
-    """Per payload, integers measured on its three decodings and the digest of the resampled PCM of the first.
+def features(payloads: list[bytes], pcms: list[bytes]) -> list[str]:
+    """Per payload, integers measured on its three decodings and the digest of its resampled PCM, as ``pack_pcm`` stored it.
 
     Payloads are cut into parts of at most ``CHUNK`` bytes and measured many at
     a time, so that short texts share numpy's steps and long ones stay bounded.
@@ -152,24 +168,14 @@ def features(payloads: list[bytes]) -> list[str]:
                 size = 0
     if held:
         measure()
-    return [";".join([*(f"{k}={v}" for k, v in t.items()), f"pcm{2 * RATE}:{_pcm_digest(p)[:16]}"]) for t, p in zip(totals, payloads, strict=True)]
-
-
-def _pcm_digest(payload: bytes) -> str:
-    """Digest of the expanded and resampled PCM, chunk by chunk; a chunk looks one sample ahead."""
-    digest, data = hashlib.sha256(), np.frombuffer(payload, dtype=np.uint8)
-    for at in range(0, len(data), CHUNK):
-        part = TABLES["mulaw"][data[at : at + CHUNK + 1]]
-        wanted = min(CHUNK, len(data) - at)
-        digest.update(resample_double(part)[: 2 * wanted].tobytes())
-    return digest.hexdigest()
+    return [";".join([*(f"{k}={v}" for k, v in t.items()), f"pcm{2 * RATE}:{hashlib.sha256(unpack_pcm(p).tobytes()).hexdigest()[:16]}"]) for t, p in zip(totals, pcms, strict=True)]
 
 
 MEDIA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def stored_media(docs: DataFrame, key: str = "doc_id", text: str = "text", codec: str = "mulaw", with_pcm: bool = True) -> DataFrame:
-    """``key, n_bytes, media`` of each text, the telephony WAVE file whose 8-bit samples are the padded bytes, and ``with_pcm`` also ``pcm``, its 16-bit samples at twice the rate.
+def stored_media(docs: DataFrame, key: str = "doc_id", text: str = "text", codec: str = "mulaw") -> DataFrame:
+    """``key, n_bytes, media, pcm`` of each text: the telephony WAVE file whose 8-bit samples are the padded bytes, and its 16-bit samples at twice the rate, packed by ``pack_pcm``.
 
     Texts are UTF-8, padded with zero bytes to a positive multiple of 64; null
     counts as empty.
@@ -180,16 +186,15 @@ def stored_media(docs: DataFrame, key: str = "doc_id", text: str = "text", codec
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 rows = [padded(v.as_py()) for v in part.column(1)]
-                columns = [pa.array([n for n, _ in rows], pa.int64()), pa.array([wav_bytes(p, codec) for _, p in rows], pa.binary())]
-                if with_pcm:
-                    columns.append(pa.array([resample_double(TABLES[codec][np.frombuffer(p, dtype=np.uint8)]).tobytes() for _, p in rows], pa.binary()))
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], [key, "n_bytes", "media", "pcm"][: 3 + with_pcm])
+                pcm = [pack_pcm(resample_double(TABLES[codec][np.frombuffer(p, dtype=np.uint8)])) for _, p in rows]
+                columns = [pa.array([n for n, _ in rows], pa.int64()), pa.array([wav_bytes(p, codec) for _, p in rows], pa.binary()), pa.array(pcm, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], [key, "n_bytes", "media", "pcm"])
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(store, f"{key} {docs.schema[key].dataType.simpleString()}, n_bytes long, media binary" + ", pcm binary" * with_pcm)
+    return docs.select(F.col(key), F.col(text)).mapInArrow(store, f"{key} {docs.schema[key].dataType.simpleString()}, n_bytes long, media binary, pcm binary")
 
 
 def measured_media(stored: DataFrame, key: str = "doc_id", codec: str = "mulaw", with_media: bool = False) -> DataFrame:
-    """``key`` and the columns of ``MEDIA``, all from the files of a table of ``stored_media``; with ``with_media`` also ``media, pcm``. A file in another format is an error."""
+    """``key`` and the columns of ``MEDIA``, all from the files and PCM of a table of ``stored_media``; with ``with_media`` also ``media, pcm``. A file in another format is an error."""
     schema = f"{key} {stored.schema[key].dataType.simpleString()}, {MEDIA}" + ", media binary, pcm binary" * with_media
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,28 +210,32 @@ def measured_media(stored: DataFrame, key: str = "doc_id", codec: str = "mulaw",
                         raise ValueError(f"stored as format {code}")
                     rows.append((n, len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-PAD:]), len(media), hashlib.sha256(media).hexdigest()))
                     back.append(read)
-                rows = [(*r, f) for r, f in zip(rows, features(back), strict=True)]
+                packed = batch.column(3).to_pylist()
+                rows = [(*r, f) for r, f in zip(rows, features(back, packed), strict=True)]
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+                if with_media:
+                    columns += [batch.column(2), pa.array([unpack_pcm(p).tobytes() for p in packed], pa.binary())]
                 names = [key, *[x.split()[0] for x in MEDIA.split(", ")], *["media", "pcm"][: 2 * with_media]]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[2 : 2 + 2 * with_media]], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
-    return stored.select(key, "n_bytes", "media", *["pcm"] * with_media).mapInArrow(measure, schema)
+    return stored.select(key, "n_bytes", "media", "pcm").mapInArrow(measure, schema)
 
 
 #: Rows that are stored or measured together.
 ROWS = 256
+#: Compression of the stored table: files and PCM say the same, so that disk counts twice.
+LEVEL = 6
 
 
 def telephony_columns(docs: DataFrame, key: str = "doc_id", text: str = "text", codec: str = "mulaw", with_media: bool = False) -> DataFrame:
-    """Store each whole text as a telephony WAVE file in a table of the shared folder, read the files back and measure them.
+    """Store each whole text as a telephony WAVE file and as its PCM at twice the rate in a table of the shared folder, read both back and measure them.
 
-    Returns ``key``, the columns of ``MEDIA``, and with ``with_media``, which
-    stores the resampled PCM beside the files, also ``media binary`` and ``pcm
-    binary`` (16-bit samples at twice the rate). Without it the PCM is made
-    from the files that are read back and only its digest is kept. The codec's byte is the sample, so storing is lossless; every value
-    but the text's own length derives from the bytes that the table gives back.
+    Returns ``key``, the columns of ``MEDIA``, and with ``with_media`` also
+    ``media binary`` and ``pcm binary`` (16-bit samples at twice the rate). The
+    codec's byte is the sample, so storing is lossless; every value but the
+    text's own length derives from the bytes that the table gives back.
     Null texts count as empty; equal texts give equal values; rows are
     independent and nothing is shuffled.
     """
-    return measured_media(materialise(stored_media(docs, key, text, codec, with_media), "telephony-media"), key, codec, with_media)
+    return measured_media(materialise(stored_media(docs, key, text, codec), "telephony-media", LEVEL), key, codec, with_media)

@@ -237,6 +237,22 @@ def test_features_equal_a_plain_decoder(docs):
         assert r.feature.split(";")[-1] == f"pcm16000:{hashlib.sha256(r.pcm).hexdigest()[:16]}"
 
 
+def test_pcm_is_packed_without_loss():
+    """Any samples come back, those that no interpolation made too."""
+    rng = np.random.default_rng(1)
+    for pcm in (rng.integers(-32768, 32768, 640).astype(np.int16), np.array([-32768, 32767] * 64, dtype=np.int16), telephony.resample_double(telephony.TABLES["mulaw"][rng.integers(0, 256, 128)])):
+        assert telephony.unpack_pcm(telephony.pack_pcm(pcm)).tolist() == pcm.tolist()
+
+
+def test_the_feature_tells_the_stored_pcm(docs):
+    """The table holds the PCM, and the feature changes with what the table holds."""
+    stored = telephony.stored_media(docs.limit(3))
+    assert {r.doc_id: len(r.pcm) for r in stored.collect()} == {r.doc_id: 4 * len(telephony.wav_payload(bytes(r.media))[1]) for r in stored.collect()}
+    louder = stored.withColumn("pcm", F.unhex(F.regexp_replace(F.hex("pcm"), "^....", "0100")))
+    one, other = ({r.doc_id: r.feature.split(";")[-1] for r in telephony.measured_media(d).collect()} for d in (stored, louder))
+    assert all(one[k] != other[k] for k in one)
+
+
 def test_audio_is_lossless(docs, rows):
     got = telephony.telephony_columns(docs, with_media=True).collect()
     assert len(got) == len(rows)
