@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,120 +19,150 @@ from .common import bucket_count, integral, materialise, spread
 CAPACITY = 2048
 END_ID = 1
 TOKENIZER = "byte_bpe_50k.json"
-#: Distinct units (a blank and what follows it) whose ids a task keeps in each of two generations; what isn't used again is dropped with the older one.
-KEPT_UNITS = 150_000
+#: Bytes of distinct units and their ids that a task keeps; beyond it those go that weren't met again since they were learned.
+KEPT_BYTES = 24 << 20
 #: Characters of the texts that are encoded together.
 BATCH_CHARS = 1 << 20
-#: Units that are encoded as one text: the tokenizer keeps some hundred bytes for each of its tokens.
+#: Units, other than words, that are encoded as one text: the tokenizer keeps some hundred bytes for each of its tokens.
 LINES = 2_000
 
 #: A blank between blanks (or at the end): only there a cut before a single blank could part a token.
 _UNSAFE = re.compile(r"\s \s|\s $")
-_CLOSING = ".,;:!?"
+#: What ends a word for the tokenizer, whatever follows.
+_CLOSING = np.isin(np.arange(256), list(b".,;:!?"))
+_LETTER = np.array([chr(i).isalpha() and i < 128 for i in range(256)])
+_VISIBLE = np.array([32 < i < 127 for i in range(256)])
+#: Units that are one word to the tokenizer, so that its model can be asked without the steps before it.
+_WORD = "^ ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+$"
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that a byte-level vocabulary writes for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [i for i in range(256) if i not in plain]
+    return {**{i: chr(i) for i in plain}, **{i: chr(256 + at) for at, i in enumerate(others)}}
+
+
+def _cuts(raw: np.ndarray) -> np.ndarray:
+    """Where texts, which stand between blanks, can be cut without parting a token: before a blank, around a single line feed between
+    visible characters, and between a letter and a closing mark. C3 leads the letters from U+00C0, which are not blank."""
+    cut = raw == 0x20
+    lines = np.flatnonzero(raw == 0x0A)
+    lines = lines[(_VISIBLE[raw[lines - 1]] | (raw[lines - 2] == 0xC3)) & (_VISIBLE[raw[lines + 1]] | (raw[lines + 1] == 0xC3))]
+    cut[lines] = cut[lines + 1] = True
+    marks = np.flatnonzero(_CLOSING[raw])
+    before = raw[marks - 1]
+    cut[marks[_LETTER[before] | ((raw[marks - 2] == 0xC3) & (before != 0x97) & (before != 0xB7))]] = True
+    return cut
 
 
 class UnitEncoder:
     """Token ids of texts as little-endian 32-bit bytes, by the given tokenizer.
 
     The byte-level pre-tokenizer never joins what stands before a blank with
-    the blank, if not both sides are blank; nor a letter with a line feed or a
-    closing mark after it. Texts are cut there, and each distinct unit is
-    encoded once while it is kept; other texts are encoded whole. Two generations
-    of ``KEPT_UNITS`` bound the memory; the encoder ends with its task.
+    the blank, if not both sides are blank; nor a letter with a closing mark
+    after it. Texts are cut there (``_cuts``), each distinct unit is encoded
+    once while it is kept, and ids are dealt to the places by index; other texts
+    are encoded whole. ``KEPT_BYTES`` bounds the memory; the encoder ends with its task.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.characters = self.tokenizer.model, _byte_characters()
         vocabulary = self.tokenizer.get_vocab()
         #: Bytes of each id: the vocabulary writes every byte as one character.
         self.width = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.width[i] = len(token)
-        self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        #: Units, where their ids begin in ``ids`` and how many they are, and whether they were met again.
+        self.units = pa.array([], pa.binary())
+        self.sizes, self.ids, self.again = np.zeros(0, dtype=np.int64), np.zeros(0, dtype="<u4"), np.zeros(0, dtype=bool)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    @staticmethod
-    def _parts(unit: str) -> list[str]:
-        """The unit cut at single line feeds within it and before one closing mark."""
-        lines = unit.split("\n") if "\n" in unit else [unit]
-        if len(lines) > 1 and not all(x and not x[0].isspace() and not x[-1].isspace() for x in [lines[0].lstrip(" "), *lines[1:]]):
-            return [unit]
-        parts = []
-        for i, line in enumerate(lines):
-            if i:
-                parts.append("\n")
-            if len(line) > 1 and line[-1] in _CLOSING and line[-2].isalpha():
-                parts += [line[:-1], line[-1]]
-            elif line:
-                parts.append(line)
-        return parts
-
-    def _learn(self, units: set[str]) -> None:
-        """Encode units that are not kept: their parts as lines of one text, whose ids are dealt out again by their bytes."""
-        kept, whole, cut = self.kept, [], {}
-        for u in units:
-            if "\n" in u or u[-1:] in _CLOSING:
-                parts = self._parts(u)
-                if len(parts) != 1:
-                    cut[u] = parts
-                    continue
-            whole.append(u)
-        new = dict.fromkeys(whole)
-        for parts in cut.values():
-            for p in parts:
-                if p not in kept and p not in self.older:
-                    new[p] = None
-        lines = [p for p in new if p and not p[-1].isspace() and (not p[0].isspace() or p[0] == " " and not p[1].isspace())]
-        for p in new.keys() - set(lines) if len(lines) < len(new) else ():
-            kept[p] = self._ids(p).tobytes()
+    def _encoded(self, units: pa.BinaryArray) -> list[list[int]]:
+        """The ids of each unit: words by the model, others as lines of one text, whose ids are dealt out again by their bytes."""
+        out: list = [None] * len(units)
+        word = pc.match_substring_regex(units.cast(pa.string()), _WORD).to_numpy(zero_copy_only=False)
+        lines, tokenize = [], self.model.tokenize
+        for i, (u, alone) in enumerate(zip(units.to_pylist(), word.tolist(), strict=True)):
+            if alone:
+                out[i] = [t.id for t in tokenize(u.decode("latin-1").translate(self.characters))]
+                continue
+            p = u.decode()
+            if not p[-1].isspace() and (not p[0].isspace() or p[0] == " " and not p[1].isspace()):
+                lines.append((i, p, len(u)))
+            else:
+                out[i] = self._ids(p).tolist()
         for at in range(0, len(lines), LINES):
             part = lines[at : at + LINES]
-            text = "\n".join(part)
-            ids = self._ids(text)
-            raw, reached = ids.tobytes(), np.cumsum(self.width[ids])
-            ends = np.cumsum(np.fromiter((len(p.encode()) for p in part), dtype=np.int64, count=len(part)) + 1) - 1
-            stops = 4 * np.searchsorted(reached, ends) + 4
-            starts = np.concatenate([[0], stops[:-1] + 4])
-            kept.update({p: raw[lo:hi] for p, lo, hi in zip(part, starts.tolist(), stops.tolist(), strict=True)})
-        for unit, parts in cut.items():
-            kept[unit] = b"".join([kept[p] if p in kept else self.older[p] for p in parts])
+            ids = self._ids("\n".join([p for _, p, _ in part]))
+            ends = np.cumsum(np.array([n for *_, n in part], dtype=np.int64) + 1) - 1
+            stops = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
+            starts = np.concatenate([[0], stops[:-1] + 1])
+            for (i, *_), lo, hi in zip(part, starts.tolist(), stops.tolist(), strict=True):
+                out[i] = ids[lo:hi].tolist()
+        return out
+
+    def _places(self, units: pa.BinaryArray) -> np.ndarray:
+        """Where distinct units are kept; those that aren't yet are encoded."""
+        found = pc.index_in(units, value_set=self.units)
+        places, new = pc.fill_null(found, -1).to_numpy().astype(np.int64), found.is_null()
+        self.again[places[places >= 0]] = True
+        missing = units.filter(new)
+        ids = self._encoded(missing)
+        places[places < 0] = np.arange(len(ids)) + len(self.units)
+        self.units = pa.concat_arrays([self.units, missing])
+        self.sizes = np.concatenate([self.sizes, np.array([len(x) for x in ids], dtype=np.int64)])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), dtype="<u4")])
+        self.again = np.concatenate([self.again, np.zeros(len(ids), dtype=bool)])
+        return places
+
+    def _trim(self) -> None:
+        """Drop units over the bound: those not met again; all, if that isn't half."""
+        if self.units.nbytes + self.ids.nbytes <= KEPT_BYTES:
+            return
+        keep = self.again
+        units, ids = self.units.filter(pa.array(keep)), self.ids[np.repeat(keep, self.sizes)]
+        if units.nbytes + ids.nbytes > KEPT_BYTES // 2:
+            keep = np.zeros(len(keep), dtype=bool)
+            units, ids = units[:0], ids[:0]
+        self.units, self.ids, self.sizes = pa.concat_arrays([units]), ids, self.sizes[keep]
+        self.again = np.zeros(len(self.sizes), dtype=bool)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        kept, older = self.kept, self.older
-        out: list[bytes] = [b""] * len(texts)
-        open_: list[tuple[int, list[bytes | None], list[tuple[int, str]]]] = []
-        missing: set[str] = set()
+        out, parts = [b""] * len(texts), {}
         for i, text in enumerate(texts):
-            if "<|" in text or "\0" in text or _UNSAFE.search(text):
+            if "<|" in text or _UNSAFE.search(text):
                 out[i] = self._ids(text).tobytes()
-                continue
-            units = text.replace(" ", "\0 ").split("\0")
-            found = list(map(kept.get, units))
-            if None not in found:
-                out[i] = b"".join(found)
-                continue
-            gaps = [(at, u) for at, (u, f) in enumerate(zip(units, found, strict=True)) if f is None]
-            if older:
-                for at, u in gaps:
-                    if (f := older.get(u)) is not None:
-                        kept[u] = found[at] = f
-                gaps = [g for g in gaps if found[g[0]] is None]
-            missing.update([u for _, u in gaps])
-            open_.append((i, found, gaps))
-        if missing:
-            self._learn(missing)
-        for i, found, gaps in open_:
-            for at, u in gaps:
-                found[at] = kept[u]
-            out[i] = b"".join(found)
-        if len(self.kept) > KEPT_UNITS:
-            self.older, self.kept = self.kept, {}
+            elif text:
+                parts[i] = text.encode()
+        if not parts:
+            return out
+        data = b"  " + b" ".join(parts.values()) + b"  "
+        raw = np.frombuffer(data, dtype=np.uint8)
+        ends = np.cumsum([len(p) + 1 for p in parts.values()]) + 1
+        begins = np.concatenate([[2], ends[:-1] + 1])
+        cut = _cuts(raw)
+        cut[begins] = cut[ends] = True
+        starts = np.flatnonzero(cut)
+        offsets = pa.py_buffer(np.append(starts, len(raw)).astype(np.int32))
+        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
+        places = self._places(coded.dictionary)[coded.indices.to_numpy()]
+        sizes = self.sizes[places]
+        lo, hi = np.searchsorted(starts, begins), np.searchsorted(starts, ends)
+        # the blanks between texts are no text's
+        sizes[:2] = sizes[hi] = sizes[-1] = 0
+        reached = np.concatenate([[0], np.cumsum(sizes)])
+        first = (np.cumsum(self.sizes) - self.sizes)[places]
+        ids = self.ids[np.repeat(first - reached[:-1], sizes) + np.arange(reached[-1])]
+        for i, a, b in zip(parts, reached[lo].tolist(), reached[hi].tolist(), strict=True):
+            out[i] = ids[a:b].tobytes()
+        self._trim()
         return out
 
     def __call__(self, text: str) -> bytes:

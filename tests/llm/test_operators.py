@@ -327,6 +327,23 @@ def test_ids_do_not_follow_the_number_of_lines_encoded_together(monkeypatch):
         assert packing.UnitEncoder(queries.public_tokenizer()).encode(texts) == want
 
 
+def test_units_are_encoded_once_while_they_fit_and_ids_do_not_follow_what_is_kept(monkeypatch):
+    encoder, asked = packing.UnitEncoder(queries.public_tokenizer()), []
+    learn = encoder._encoded
+    monkeypatch.setattr(encoder, "_encoded", lambda units: asked.append(len(units)) or learn(units))
+    letters = np.array(list("abcdefghij"))
+    texts = [" ".join("".join(letters[list(map(int, f"{i:06}"))]) for i in range(at, at + 160_000)) for at in (0, 160_000, 320_000)]
+    first = [encoder(t) for t in texts]
+    assert [encoder(t) for t in texts] == first and sum(asked) <= 480_001 and asked[3:] == [0, 0, 0]
+    texts = ["one two, three. four\nfive: " * 3 + f"more\u00e9. x{i % 7} word{i}!\n" for i in range(40)]
+    want = [encoder._ids(t).tobytes() for t in texts]
+    for kept in (0, 300, 1 << 20):
+        monkeypatch.setattr(packing, "KEPT_BYTES", kept)
+        small = packing.UnitEncoder(queries.public_tokenizer())
+        assert [small(t) for t in texts + texts] == want + want
+        assert small.units.nbytes + small.ids.nbytes <= kept
+
+
 def test_suffix_order_equals_sorting():
     rng = np.random.default_rng(8)
     for _ in range(300):
