@@ -246,15 +246,23 @@ def background_mask(labels: DataFrame, plane: DataFrame) -> DataFrame:
     return complement(labels, plane).withColumn("label_id", F.lit(1))
 
 
-def fill_holes(mask: DataFrame, plane: DataFrame, most: int | None = None, tile: int = 256) -> DataFrame:
-    """Add holes: components of the complement below ``most`` pixels (4-connected), or, without it, those that don't touch the plane's border."""
+def fill_holes(mask: DataFrame, plane: DataFrame, most: int | None = None, tile: int = 256, height: int | None = None, width: int | None = None) -> DataFrame:
+    """Add holes: components of the complement below ``most`` pixels (4-connected), or, without it, those that don't touch the plane's border.
+
+    The border is that of a plane of the given size, also where a plane has
+    fewer pixels; without a size it is where the plane's own pixels end.
+    """
     holes = components(complement(mask, plane), eight=False, tile=tile)
     if most is not None:
         n = F.count("*").over(Window.partitionBy(*FRAME, "label_id"))
         inner = holes.withColumn("n_", n).where(F.col("n_") < most)
     else:
-        size = plane.groupBy(*FRAME).agg(F.max("y").alias("h_"), F.max("x").alias("w_"))
-        edge = holes.join(size, FRAME).where("y = 0 OR x = 0 OR y = h_ OR x = w_").select(*FRAME, "label_id").distinct()
+        if height is None or width is None:
+            size = plane.groupBy(*FRAME).agg(F.max("y").alias("h_"), F.max("x").alias("w_"))
+            sized = holes.join(size, FRAME)
+        else:
+            sized = holes.withColumns({"h_": F.lit(height - 1), "w_": F.lit(width - 1)})
+        edge = sized.where("y = 0 OR x = 0 OR y = h_ OR x = w_").select(*FRAME, "label_id").distinct()
         inner = holes.join(edge, [*FRAME, "label_id"], "left_anti")
     return mask.select(*AT).union(inner.select(*AT))
 
