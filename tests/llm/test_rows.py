@@ -115,3 +115,21 @@ def test_spans_of_copies_are_gathered_once(spark):
     assert longest(40) == longest(1)
     docs = spark.createDataFrame([*first, *[copy] * 40], DOCS)
     assert {r.n_removed for r in debruijn.remove_repeated_windows(docs).collect() if r.doc_id == 3} == {60 + 18}
+
+
+def test_near_copies_without_an_id_go_too(spark):
+    """A row without an id is a copy like any other; of copies none of which has an id one stays."""
+    near_a, near_b, c = A + " tail", B.upper() + " tail", " ".join(f"only{i}" for i in range(30))
+    rows = [(7, A), (3, near_a), (None, A), (None, A), (None, A + " more"), (None, B + " " + A), (None, B), (None, B), (None, near_b), (None, c), (None, c), (None, None), (None, ""), (9, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS).repartition(3)
+    left = [(r.doc_id, r.text) for r in stages.near_duplicate_stage(spark, docs, "").collect()]
+    assert sorted(left, key=str) in [sorted([(3, near_a), (9, " "), (None, B + " " + A), (None, c), (None, b)], key=str) for b in (B, near_b)]
+    again = [(r.doc_id, r.text) for r in stages.near_duplicate_stage(spark, docs.repartition(1), "").collect()]
+    assert sorted(again, key=str) == sorted(left, key=str)
+
+
+def test_groups_without_an_id_are_told_apart(spark):
+    rows = [(None, A), (None, A + " tail"), (None, B), (5, B + " tail"), (6, "one two")]
+    found = near_copies.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(r.component_id) for r in found) == ["5", "5", "6", "None", "None"]
+    assert len({r.linked for r in found}) == 3 and len({r.linked for r in found if r.component_id is None}) == 1
